@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ambulo.llm.common import once
+
 #: The control strings, once with room for backslashes behind the bracket.
 SQUARE = r"\[(\\*)(/?(?:SYS|INST|ROLE)|ANS|SAYS|NEXT)\]"
 ANGLE = r"<(\\*)(/?s)>"
@@ -55,10 +57,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     a value.
     """
     rows = turns.select("conv_id", F.struct("turn", escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    collected = rows.groupBy("conv_id").agg(F.collect_list("t").alias("t"))
+    sorted_turns = once(collected, "turns", F.sort_array("t")).drop("t")
     n = F.size("turns")
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
-    runs = sorted_turns.select("conv_id", n.cast("long").alias("n_turns"), "turns", starts.alias("starts"))
+    runs = once(sorted_turns.withColumn("n_turns", n.cast("long")), "starts", starts)
 
     def block(i: Column, k: Column) -> Column:
         """The segments of the k-th run, which starts at turn i."""
@@ -74,7 +77,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     start = F.array(F.struct(F.lit("<s>").alias("text"), F.lit(False).alias("loss")))
     segments = F.filter(F.concat(start, F.flatten(F.transform("starts", block))), lambda s: (s["text"] != "") | s["loss"])
-    formed = runs.select("conv_id", "n_turns", segments.alias("segments"))
+    formed = once(runs, "segments", segments)
     return formed.select("conv_id", "n_turns", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 
@@ -89,7 +92,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         return F.transform(F.split(body, r"\[NEXT\]", -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
     blocks = F.regexp_extract_all("formatted", F.lit(BLOCK), F.lit(0))
-    return formatted.withColumn("read_turns", F.flatten(F.transform(blocks, turns_of)))
+    return once(formatted, "read_turns", F.flatten(F.transform(blocks, turns_of)))
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

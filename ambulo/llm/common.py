@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Multipliers of the rolling hashes; any odd 64-bit numbers would do.
 BYTE_BASE = 0x9E3779B97F4A7C15
@@ -113,3 +114,13 @@ def minimisers(h: np.ndarray, window: int) -> np.ndarray:
         chosen = ~sliding_min(~padded, window) == h
     chosen[1:] &= h[1:] != h[:-1]
     return np.flatnonzero(chosen)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, whatever uses it.
+
+    The optimizer copies a plain column's expression into filters and lambda
+    bodies, where it would be evaluated for every element of an array.  It
+    doesn't look through a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ambulo.llm.common import once
+
 #: Hamming radius and the blocks that guarantee it: BLOCKS * (NEAR_BITS + 1) - 1.
 BLOCKS, BLOCK_BITS, NEAR_BITS = 8, 8, 2
 RADIUS = BLOCKS * (NEAR_BITS + 1) - 1
@@ -34,14 +36,14 @@ def shingle_hashes(hashes: str, width: int) -> Column:
 
 def simhash(shingles: str) -> Column:
     """Majority of each of 64 bits over an array of hashes, repeats included."""
-    half = F.size(shingles) / 2
-    bit = lambda j: F.when(F.size(F.filter(shingles, lambda h: F.shiftright(h, j).bitwiseAND(F.lit(1)) == 1)) > half, F.shiftleft(F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))
-    return reduce(Column.bitwiseOR, [bit(j) for j in range(64)])
+    votes = f"size(filter({shingles}, h -> (shiftright(h, j) & 1) = 1)) * 2 > size({shingles})"
+    return F.expr(f"aggregate(sequence(0, 63), 0L, (fp, j) -> fp | if({votes}, shiftleft(1L, j), 0L))")
 
 
-def block_values(fp: str) -> Column:
-    """(block, value) of the eight bytes of a fingerprint."""
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(fp), i * BLOCK_BITS).bitwiseAND(F.lit(255)).cast("int").alias("value")) for i in range(BLOCKS)])
+def with_blocks(df: DataFrame, fp: str) -> DataFrame:
+    """One row for each of the eight bytes of a fingerprint, with columns block and value."""
+    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    return rows.withColumn("value", F.expr(f"cast(shiftrightunsigned({fp}, block * {BLOCK_BITS}) & 255 as int)"))
 
 
 def near_values() -> list[int]:
@@ -77,13 +79,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, similar
     The benchmark is the query set: its shingles are broadcast in groups of at
     most SHINGLES_AT_ONCE, over each of which the documents are read once.
     """
-    items = benchmark.select("item_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where("size(w) > 0").distinct()
+    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    items = benchmark.select("item_id", hashed.alias("w")).where("size(w) > 0").distinct()
     items = items.withColumn("own_width", F.least(F.size("w"), F.lit(width)))
     widths = [r[0] for r in items.select("own_width").distinct().orderBy("own_width").collect()]  # at most ``width`` values
-    docs_w = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    docs_w = once(docs.select("doc_id", "text"), "w", hashed).drop("text")
     found = []
     for own in widths:
-        with_shingles = items.where(F.col("own_width") == own).withColumn("s", shingle_hashes("w", own))
+        with_shingles = once(items.where(F.col("own_width") == own), "s", shingle_hashes("w", own))
         n = with_shingles.agg(F.sum(F.size("s"))).first()[0]
         groups = -(-n // SHINGLES_AT_ONCE)
         for group in range(groups):
@@ -102,24 +105,20 @@ def _windows_in(docs_w: DataFrame, items: DataFrame, width: int, similarity: flo
     listed = items.select("item_id", F.size("s").alias("m"), "s", F.posexplode("s").alias("off", "shingle"))
     # A run of common shingles stands for its first: prev is what the shingle before would be.
     listed = listed.select("shingle", "m", "off", F.when(F.col("off") > 0, F.get("s", F.col("off") - 1)).alias("prev")).distinct()
-    in_docs = docs_w.select("doc_id", shingle_hashes("w", width).alias("s")).select("doc_id", "s", F.posexplode("s").alias("pos", "shingle"))
+    in_docs = once(docs_w, "s", shingle_hashes("w", width)).select("doc_id", "s", F.posexplode("s").alias("pos", "shingle"))
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.size("s") - F.col("m")))
     hits = in_docs.join(F.broadcast(listed), "shingle").where(F.col("prev").isNull() | (F.col("pos") == 0) | (F.get("s", F.col("pos") - 1) != F.col("prev")))
     windows = hits.select("doc_id", start.alias("start"), "m", F.slice("s", start + 1, F.col("m")).alias("window"))
-    windows = windows.dropDuplicates(["doc_id", "start", "m", "window"]).withColumn("fp", simhash("window"))
-    by_block = windows.select("*", F.explode(block_values("fp")).alias("b")).select("doc_id", "start", "m", "window", "fp", "b.*")
+    by_block = with_blocks(once(windows.distinct(), "fp", simhash("window")), "fp")
 
     masks = F.array(*[F.lit(m) for m in near_values()])
-    prints = items.select("item_id", F.size("s").alias("m"), F.col("s").alias("item"), simhash("s").alias("item_fp"))
-    prints = prints.select("*", F.explode(block_values("item_fp")).alias("b")).select("*", "b.*").drop("b")
+    prints = items.select("item_id", F.size("s").alias("m"), F.col("s").alias("item"))
+    prints = with_blocks(once(prints, "item_fp", simhash("item")), "item_fp")
     # 8 blocks and 37 masks for each item of a group: bounded like its shingles
     prints = prints.select("item_id", "m", "item", "item_fp", "block", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
     met = by_block.join(prints, ["m", "block", "value"])
     gap = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     # Of the blocks in which a pair meets only the first counts.
-    earlier = reduce(
-        Column.__or__,
-        [(F.col("block") > i) & (F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("item_fp")), i * BLOCK_BITS).bitwiseAND(F.lit(255))) <= NEAR_BITS) for i in range(BLOCKS - 1)],
-    )
-    met = met.where((gap <= RADIUS) & ~earlier).withColumn("similarity", weighted_similarity("window", "item"))
+    earlier = F.expr(f"exists(sequence(0, {BLOCKS - 1}), i -> i < block and bit_count(shiftrightunsigned(fp ^ item_fp, i * {BLOCK_BITS}) & 255) <= {NEAR_BITS})")
+    met = once(met.where((gap <= RADIUS) & ~earlier), "similarity", weighted_similarity("window", "item"))
     return met.where(F.col("similarity") >= similarity).select("doc_id", "item_id", F.col("start").alias("start_word"), (F.size("window") + width - 1).alias("n_words"), "similarity")
