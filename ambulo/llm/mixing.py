@@ -26,9 +26,9 @@ RANGES, SLOT_RANGE = 4096, 1 << 16
 
 def word_count(text: Column) -> Column:
     """Runs of characters other than ASCII white space; 0 for null."""
-    # A leading mark makes every first piece of the split empty, so that the number of words is one less than that of the pieces.
-    pieces = F.split(F.concat(F.lit(" "), F.rtrim(F.translate(text, "\t\n\x0b\x0c\r", "     "))), " +")
-    return F.coalesce((F.size(pieces) - 1).cast("long"), F.lit(0).cast("long"))
+    # With one more word in front the text can't be empty nor start with white space.
+    line = F.rtrim(F.concat(F.lit("x "), F.translate(text, "\t\n\x0b\x0c\r", "     ")))
+    return F.coalesce((F.size(F.split(line, " +")) - 1).cast("long"), F.lit(0).cast("long"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def slots(targets: DataFrame, total: int, slot_words: int) -> DataFrame:
     n = -(-total // slot_words)
     by_place = Window.orderBy("place")
     bounds = targets.withColumn("upto", F.sum("target").over(by_place)).withColumn("all", F.sum("target").over(Window.partitionBy(F.lit(1))))
-    bounds = bounds.select("place", (F.coalesce(F.lag("upto").over(by_place), F.lit(0.0)) / F.col("all")).alias("low"), (F.col("upto") / F.col("all")).alias("high"), F.ceil(F.col("target") / slot_words).alias("need"))
+    bounds = bounds.select("place", F.try_divide(F.coalesce(F.lag("upto").over(by_place), F.lit(0.0)), F.col("all")).alias("low"), F.try_divide(F.col("upto"), F.col("all")).alias("high"), F.ceil(F.col("target") / slot_words).alias("need"))
     # Points meet weights by thousandths: a stretch and a point share one, and the exact bounds decide.
     cells = bounds.select("*", F.explode(F.sequence(F.floor(F.col("low") * 1000), F.floor(F.col("high") * 1000))).alias("cell"))
     turn = F.col("slot") * F.lit(GOLDEN)
@@ -93,7 +93,9 @@ def slots(targets: DataFrame, total: int, slot_words: int) -> DataFrame:
     ranked = running(dealt, ["place"], "stretch", [F.col("slot")], F.lit(1), "rank").where("rank < need").select("place", "rank", "slot")
     had = ranked.groupBy("place").agg(F.count("*").alias("had"))
     short = bounds.join(had, "place", "left").select("place", "need", F.coalesce("had", F.lit(0)).alias("had")).where("need > had")
-    last = short.select("place", F.explode(F.sequence(F.col("had"), F.col("need") - 1)).alias("rank")).withColumn("slot", F.lit(n) + F.col("rank"))
+    # a few slots a source
+    closing = F.row_number().over(Window.orderBy(F.col("rank") - F.col("had"), "place"))
+    last = short.select("place", "had", F.explode(F.sequence(F.col("had"), F.col("need") - 1)).alias("rank")).select("place", "rank", (closing + F.lit(n - 1)).cast("long").alias("slot"))
     return ranked.unionByName(last)
 
 
