@@ -43,7 +43,7 @@ VIEWS: dict[str, dict[str, str]] = {
     },
     "contacts": {"rec": "user_id", "id": "event_id", "ic": "{second}", "lr_label": "CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END"},
     "reference": {"rec": "user_id", "id": "event_id", "start": "{second}", "end": "{second} + CAST(floor(value * 100) AS BIGINT) + 10", "value": "value"},
-    "detected": {"rec": "user_id", "id": "event_id", "start": "{second} + (event_id % 7) * 30", "end": "{second} + CAST(floor(value * 100) AS BIGINT) + 10 + (event_id % 3) * 40", "value": "value * (1 + (event_id % 11) / 1e2)"},
+    "detected": {"rec": "user_id", "id": "event_id", "start": "{second} + (event_id % 7) * 30", "end": "{second} + CAST(floor(value * 100) AS BIGINT) + 10 + (event_id % 7) * 30 + (event_id % 3) * 40", "value": "value * (1 + (event_id % 11) / 1e2)"},
     "strides": {"rec": "user_id", "s_id": "event_id", "start": "{second}", "end": "{second} + CAST(floor(value * 100) AS BIGINT) + 10", "lr_label": "CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END", "stride_length_m": "CASE WHEN event_id % 19 <> 0 THEN (event_id % 150) / 1e2 END"},
 }
 WHERE = {"detected": "event_id % 5 <> 0", "reference": "event_id % 6 <> 0"}
