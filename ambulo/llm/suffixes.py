@@ -1,11 +1,13 @@
 """Exact repeated passages by a sparse suffix array.
 
-Suffixes are kept at minimiser positions only.  Each is represented by the
-hashes of its first ``head``, 2 * head and 4 * head words, an order in which
-suffixes with a long common start stand together.  A range sort deals them out
-(ties by doc_id and position, so one frequent passage is spread too), each is
-compared with its neighbour of another document, and matches are extended
-word by word to both sides.
+Suffixes are kept at minimiser positions only.  Each is represented by hashes
+of its first ``head``, 2 * head and 4 * head words and of the words in front of
+it.  A range sort on the first hash brings suffixes with a common start
+together (ties by doc_id and position, so one frequent passage is spread over
+tasks too).  Each suffix is compared with its neighbours: the one of the
+document before it among those that agree in the head, and likewise among
+those that agree in more words behind or in front.  Matches are extended word
+by word to both sides.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ from pyspark.sql import functions as F
 from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, cut_lineage, minimisers, span_hashes, word_hashes
 from ambulo.llm.substrings import PIECE, islands, match_array, matched_pairs, run_length
 
-ORDER = ["h1", "h2", "h3", "doc_id", "pos"]
+COLUMNS = ["h1", "h2", "h3", "front", "doc_id", "pos"]
+ORDER = ["h1", "doc_id", "pos"]
+#: Sets of columns in which neighbours agree.
+LEVELS = ((0,), (0, 1), (0, 2), (0, 3), (0, 1, 3))
 
 
 def sparse_suffixes(docs: DataFrame, least_words: int, k: int, window: int) -> DataFrame:
-    """(h1, h2, h3, doc_id, pos) of the suffixes at minimisers with a whole head."""
+    """(h1, h2, h3, front, doc_id, pos) of the suffixes at minimisers with a whole head."""
     head = least_words - window - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,65 +45,64 @@ def sparse_suffixes(docs: DataFrame, least_words: int, k: int, window: int) -> D
                 pos = minimisers(span_hashes(words, at, at + k, of_words), window)
                 pos = pos[pos + head <= n]
                 heads = [span_hashes(words, pos, np.minimum(pos + head * m, n), of_words).view(np.int64) for m in (1, 2, 4)]
-                columns.append([*heads, np.full(len(pos), doc), pos.astype(np.int32)])
+                front = span_hashes(words, np.maximum(pos - window, 0), pos, of_words).view(np.int64)
+                columns.append([*heads, front, np.full(len(pos), doc), pos.astype(np.int32)])
             if columns:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ORDER)
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], COLUMNS)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "h1 long, h2 long, h3 long, doc_id long, pos int")
+    return rows.mapInArrow(run, "h1 long, h2 long, h3 long, front long, doc_id long, pos int")
+
+
+def neighbour_pairs(rows: np.ndarray) -> np.ndarray:
+    """(index, index of its neighbour) for rows of COLUMNS: the next smaller doc_id that agrees, at each level."""
+    found = []
+    for level in LEVELS:
+        order = np.lexsort((rows[:, 5], rows[:, 4], *(rows[:, c] for c in reversed(level))))
+        ranked = rows[order]
+        agree = (ranked[1:, level] == ranked[:-1, level]).all(axis=1)
+        new = np.ones(len(rows), bool)
+        new[1:] = ~agree | (ranked[1:, 4] != ranked[:-1, 4])
+        # the row just before the first one of the own document
+        before = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0)) - 1
+        hit = np.flatnonzero((before >= 0) & (ranked[:, level] == ranked[np.maximum(before, 0)][:, level]).all(axis=1))
+        found.append(np.stack([order[hit], order[before[hit]]], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def neighbours(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, pos, kept_doc_id, other_pos) of suffixes next to each other in the sorted order.
+    """(doc_id, pos, kept_doc_id, other_pos) of neighbouring suffixes; the larger doc_id comes first.
 
-    Only neighbours with the same head and of different documents; the larger
-    doc_id comes first.  A partition's edge rows are compared afterwards.
+    A task holds the rows of one partition of the range sort.  The edge rows of
+    all partitions, three of each, are compared afterwards.
     """
     parts = max(1, int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*ORDER, "other_doc", "other_pos", "edge"]
-        last: np.ndarray | None = None  # rows carried over: the last one and the last of another document
-        first = True
-        for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            if not len(rows):
-                continue
-            if first:
-                yield _rows(rows[:1], None, names)
-            first = False
-            carried = 0 if last is None else len(last)
-            rows = rows if last is None else np.concatenate([last, rows])
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 3] != rows[:-1, 3])
-            before = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0)) - 1
-            hit = (before >= 0) & (rows[:, 0] == rows[np.maximum(before, 0), 0])
-            hit[:carried] = False
-            hit = np.flatnonzero(hit)
-            if len(hit):
-                yield _rows(rows[hit], rows[before[hit]], names)
-            last = rows[[max(before[-1], 0), len(rows) - 1]] if before[-1] >= 0 else rows[-1:]
-        if last is not None:
-            yield _rows(last, None, names)
-
-    schema = "h1 long, h2 long, h3 long, doc_id long, pos int, other_doc long, other_pos int, edge boolean"
+        held = [np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1) for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = np.concatenate(held)
+        pairs = neighbour_pairs(rows)
+        for i in range(0, len(pairs), 1 << 16):
+            own, other = rows[pairs[i : i + (1 << 16), 0]], rows[pairs[i : i + (1 << 16), 1]]
+            yield _rows(own, other)
+        different = np.flatnonzero(rows[:, 4] != rows[-1, 4])
+        yield _rows(rows[sorted({0, int(different[-1]) if len(different) else 0, len(rows) - 1})], None)
+
+    schema = "h1 long, doc_id long, pos int, other_doc long, other_pos int"
     found = cut_lineage(suffixes.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(run, schema))
-    order = Window.partitionBy("h1").orderBy(*ORDER[1:])
-    edges = found.where("edge").select(*ORDER).distinct()
+    order = Window.partitionBy("h1").orderBy("doc_id", "pos")
+    edges = found.where("other_doc is null").select(*ORDER).distinct()
     edges = edges.withColumns({"other_doc": F.lag("doc_id").over(order), "other_pos": F.lag("pos").over(order)})
-    pairs = found.where("not edge").select("doc_id", "pos", "other_doc", "other_pos").unionByName(edges.where("other_doc <> doc_id").select("doc_id", "pos", "other_doc", "other_pos"))
-    later = F.col("doc_id") > F.col("other_doc")
-    return pairs.select(
-        F.greatest("doc_id", "other_doc").alias("doc_id"), F.when(later, F.col("pos")).otherwise(F.col("other_pos")).alias("pos"),
-        F.least("doc_id", "other_doc").alias("kept_doc_id"), F.when(later, F.col("other_pos")).otherwise(F.col("pos")).alias("other_pos"),
-    )
+    pairs = found.where("other_doc is not null").unionByName(edges.where("other_doc <> doc_id"))
+    return pairs.select("doc_id", "pos", F.col("other_doc").alias("kept_doc_id"), "other_pos")
 
 
-def _rows(rows: np.ndarray, others: np.ndarray | None, names: list[str]) -> pa.RecordBatch:
+def _rows(rows: np.ndarray, others: np.ndarray | None) -> pa.RecordBatch:
     n = len(rows)
-    doc, pos = (pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())) if others is None else (pa.array(others[:, 3]), pa.array(others[:, 4].astype(np.int32)))
-    own = [pa.array(rows[:, i]) for i in range(4)] + [pa.array(rows[:, 4].astype(np.int32))]
-    return pa.record_batch([*own, doc, pos, pa.array(np.full(n, others is None))], names)
+    doc, pos = (pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())) if others is None else (pa.array(others[:, 4]), pa.array(others[:, 5].astype(np.int32)))
+    return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 4]), pa.array(rows[:, 5].astype(np.int32)), doc, pos], ["h1", "doc_id", "pos", "other_doc", "other_pos"])
 
 
 def exact_matches(matches: np.ndarray, x: np.ndarray, y: np.ndarray, least_words: int) -> list[tuple[int, int, int]]:
@@ -126,9 +130,9 @@ def repeated_substrings(docs: DataFrame, least_words: int = 50, k: int = 8, wind
 
     A shared run of least_words words has its first kept suffix in its first
     ``window`` words, with a whole head of least_words - window - 2 words
-    behind it, so its suffixes meet in the sorted order.  Where documents
-    share the head but not the words before it, the neighbour decides: a
-    passage is reported from the matches with neighbours, not with all holders.
+    behind it, so its suffixes meet in the sorted order.  Among documents that
+    share the head but not the whole passage, only the neighbours of LEVELS are
+    tried, not all holders.
 
     Null doc_id or text and short texts have none; rows with the same doc_id
     count as one document; an empty table gives an empty result; other columns
