@@ -73,7 +73,7 @@ class Counter:
         if not text:
             return 0
         known, total = self.known, 0
-        for word in text.removeprefix(" ").split(" "):
+        for word in text.replace(MARK, " ").removeprefix(" ").split(" "):
             n = known.get(word)
             if n is None:
                 if len(known) >= REMEMBERED:
