@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ambulo.functions.columns import walking_speed
 from ambulo.operators import bouts, dmo, intervals, series, stages
+from ambulo.plans.lineage import settled
 
 
 @dataclass(frozen=True)
@@ -57,12 +58,12 @@ def analyse(samples: DataFrame, recordings: DataFrame, by: list[str], fs: float,
         raise ValueError(f"missing columns: {missing}")
     gs = [*by, "gs_id"]
     found = stages.gait_sequences(samples, by, fs)
-    numbered = found.withColumn("gs_id", F.row_number().over(series.Window.partitionBy(*by).orderBy("start")).cast("long"))
+    numbered = settled(found.withColumn("gs_id", F.row_number().over(series.Window.partitionBy(*by).orderBy("start")).cast("long")))
     inside = bouts.regions_of(samples, numbered, by, "gs_id").drop("sample").withColumnRenamed("offset", "sample")
     detect = stages.initial_contacts if settings.contacts == "wavelet" else stages.initial_contacts_by_crossings
-    contacts = stages.laterality_by_rate(inside, detect(inside, gs, fs), gs, fs)
+    contacts = settled(stages.laterality_by_rate(inside, detect(inside, gs, fs), gs, fs))
     turned = stages.filtered(inside, gs, "gyr_is", stages.K.lift(stages.K.butterworth_filter, order=4, cutoff=0.5), fs)
-    turns = series.turns(turned, gs, "sample", "filtered", fs)
+    turns = settled(series.turns(settled(turned), gs, "sample", "filtered", fs))
 
     refined = bouts.refine_regions(contacts, gs).where("end - start > 1")
     moved = intervals.relative_to(contacts.join(refined.select(*gs), gs, "left_semi"), refined, gs, ["ic"])
@@ -72,7 +73,7 @@ def analyse(samples: DataFrame, recordings: DataFrame, by: list[str], fs: float,
     length = stages.stride_length(region, moved, gs, fs, factor=settings.stride_factor)
     seconds = pace.join(length, [*gs, "sec_center_samples"], "full").join(refined.select(*gs, F.col("start").alias("at")), gs)
     seconds = seconds.withColumn("sec_center_samples", F.col("sec_center_samples") + F.col("at")).drop("at")
-    seconds = seconds.withColumn("walking_speed_mps", walking_speed(F.col("stride_length_m"), F.col("cadence_spm")))
+    seconds = settled(seconds.withColumn("walking_speed_mps", walking_speed(F.col("stride_length_m"), F.col("cadence_spm"))))
 
     strides = bouts.strides_per_foot(contacts, gs).withColumn("s_id", F.xxhash64(*gs, "start", "lr_label"))
     values = ["cadence_spm", "stride_length_m", "walking_speed_mps"]
@@ -82,11 +83,11 @@ def analyse(samples: DataFrame, recordings: DataFrame, by: list[str], fs: float,
     strides = lift(strides, "start", "end", "ic").withColumn("stride_duration_s", (F.col("end") - F.col("start")) / fs)
     contacts, turns = lift(contacts, "ic"), lift(turns, "start", "end")
     picked = bouts.select_strides(strides, fs)
-    assembled = bouts.assemble_bouts(picked.where("exclusion_reason is null"), by, fs, settings.bout_break_s, settings.min_strides)
+    assembled = settled(bouts.assemble_bouts(picked.where("exclusion_reason is null"), by, fs, settings.bout_break_s, settings.min_strides))
     per_bout = bouts.bout_summary(assembled, by, fs, contacts, means=("stride_duration_s", *values))
     middle = turns.select(*by, ((F.col("start") + F.col("end")) / 2).cast("long").alias("centre"))
     n_turns = intervals.count_points(per_bout, middle, by, "centre", "wb_id").withColumnRenamed("n_points", "n_turns")
-    per_bout = per_bout.join(n_turns, [*by, "wb_id"]).join(recordings.drop("sensor_height_m"), by)
+    per_bout = settled(per_bout.join(n_turns, [*by, "wb_id"]).join(recordings.drop("sensor_height_m"), by))
     mask = dmo.apply_thresholds(per_bout, dmo.threshold_table(samples.sparkSession), condition, keys=[*by, "wb_id"], height="height_m")
     daily = dmo.Aggregator(keys)(dmo.mask_bouts(per_bout, mask, [*by, "wb_id"]))
     return Results(numbered, contacts, turns, seconds, assembled, per_bout, mask, daily)
@@ -97,8 +98,8 @@ def by_cohort(samples: DataFrame, recordings: DataFrame, by: list[str], fs: floa
     names = [c for s in settings for c in s.cohorts]
     if len(names) != len(set(names)):
         raise ValueError("a cohort is named by more than one setting")
-    known = F.when(F.col("cohort").isin(names), True).otherwise(F.raise_error(F.lit("a recording's cohort has no setting")).cast("boolean"))
-    recordings = recordings.where(known)
+    if recordings.where(~F.coalesce(F.col("cohort").isin(names), F.lit(False))).limit(1).count():
+        raise ValueError("a recording's cohort has no setting")
     parts = []
     for s in settings:
         own = recordings.where(F.col("cohort").isin(list(s.cohorts)))
