@@ -28,7 +28,7 @@ FAMILIES = {
     "turkic": "tr az kk uz".split(),
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
-BITS = 13
+BITS = 12
 
 
 def features(text: bytes, bits: int = BITS) -> np.ndarray | None:
@@ -113,11 +113,11 @@ def squash(margin: float) -> float:
     return float(1 / (1 + np.exp(-2 * np.clip(margin, -20, 20))))
 
 
-def train(sample: list[tuple[str, np.ndarray]]) -> LanguageModel | None:
-    """Fit all machines on (language, feature vector) rows; None without any."""
-    if not sample:
+def train(languages_of: list[str], x: np.ndarray) -> LanguageModel | None:
+    """Fit all machines on the languages and feature vectors of a sample; None without any."""
+    if not languages_of:
         return None
-    labels, x = np.array([a for a, _ in sample]), np.stack([b for _, b in sample])
+    labels = np.array(languages_of)
     languages = sorted(set(labels.tolist()))
     family = np.array([FAMILY_OF.get(c, c) for c in labels])
     families = sorted(set(family.tolist()))
@@ -134,7 +134,7 @@ def train(sample: list[tuple[str, np.ndarray]]) -> LanguageModel | None:
     return LanguageModel(languages, families, *stack(one_against_rest), pairs, *stack(machines))
 
 
-def fit(docs: DataFrame, per_language: int = 1000) -> LanguageModel | None:
+def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel | None:
     """Learn from at most per_language rows of each language that aren't held out."""
     labelled = docs.where(~held_out("doc_id", 4, 2) & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("label"), "text")
 
@@ -146,11 +146,14 @@ def fit(docs: DataFrame, per_language: int = 1000) -> LanguageModel | None:
                 yield pa.record_batch([pa.array([a for a, _ in rows], pa.string()), pa.array([x.astype(np.float16).tobytes() for _, x in rows], pa.binary())], ["label", "x"])
 
     rows = label_sample(labelled, per_language).select("label", "text").mapInArrow(run, "label string, x binary").collect()
-    vectors = [(r.label, np.frombuffer(r.x, np.float16).astype(np.float32)) for r in rows]
-    return train(sorted(vectors, key=lambda v: (v[0], v[1].tobytes())))
+    if not rows:
+        return None
+    rows.sort(key=lambda r: (r.label, r.x))
+    x = np.frombuffer(b"".join(r.x for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+    return train([r.label for r in rows], x)
 
 
-def identify(docs: DataFrame, model: LanguageModel | None = None, per_language: int = 1000) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel | None = None, per_language: int = 500) -> DataFrame:
     """Predict the language of every whole text of docs (doc_id, text, lang, ...).
 
     Returns doc_id, held_out, lang_pred and score.  lang_pred is ``und`` with
