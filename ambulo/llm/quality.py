@@ -83,7 +83,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 12, epochs:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1000) -> QualityModel | None:
     """Learn from at most per_label documents of each label that aren't held out."""
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label")).where("label in (0, 1)")
     marks = label_sample(marks.where(~held_out("doc_id", 3, 1)), per_label)
@@ -102,10 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> QualityMod
     if not rows:
         return None
     rows.sort(key=lambda r: (r.label, r.slot, r.n))
-    return train([(r.label, np.frombuffer(r.slot, np.uint16).astype(np.int64), np.frombuffer(r.n, np.int32)) for r in rows])
+    return train([(r.label, np.frombuffer(r.slot, np.uint16), np.frombuffer(r.n, np.int32)) for r in rows])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None, per_label: int = 2000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None, per_label: int = 1000) -> DataFrame:
     """Score every whole text of docs (doc_id, text, ...) as labels (doc_id, quality) mark it.
 
     Returns doc_id, held_out, score (0 to 1, higher: label 1 is likelier) and
