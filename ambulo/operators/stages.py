@@ -202,3 +202,138 @@ def orientations(samples: DataFrame, by: list[str], fs: float, beta: float = 0.2
         return pd.DataFrame({"sample": rows["sample"], "orientation": list(q)})
 
     return per_group(samples, by, [f"{s}_{a}" for s in ("acc", "gyr") for a in "xyz"], kernel, "sample long, orientation array<double>")
+
+
+def analytic_envelope(x: np.ndarray) -> np.ndarray:
+    """Magnitude of the analytic signal."""
+    n = len(x)
+    weight = np.zeros(n)
+    weight[0] = 1
+    weight[1 : (n + 1) // 2] = 2
+    if n % 2 == 0:
+        weight[n // 2] = 1
+    return np.abs(np.fft.ifft(np.fft.fft(x) * weight))
+
+
+def pulse_trains(at: np.ndarray, first_gap: float, margin: float, least: int) -> list[tuple[int, int]]:
+    """(first, last) positions of trains of pulses: the next gap may exceed the mean gap so far by ``margin``.
+
+    A train starts with a gap up to first_gap; one of fewer than least pulses is left out.
+    """
+    out, i = [], 0
+    while i < len(at) - 1:
+        j = i
+        while j + 1 < len(at):
+            limit = first_gap if j == i else (at[j] - at[i]) / (j - i) + margin
+            if at[j + 1] - at[j] > limit:
+                break
+            j += 1
+        if j - i + 1 >= least:
+            out.append((int(at[i]), int(at[j])))
+        i = max(j, i + 1)
+    return out
+
+
+def common_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> np.ndarray:
+    """Overlaps of two lists of spans, merged."""
+    found = [(max(s, u), min(e, v)) for s, e in a for u, v in b if s < v and u < e]
+    return unite(np.array(found, int).reshape(-1, 2))
+
+
+def gait_sequences_by_pulses(samples: DataFrame, by: list[str], fs: float, *, threshold_g: float | None = 0.1, fallback_g: float = 0.15, least_steps: int = 5, first_gap_s: float = 3.5, margin_s: float = 1.5, padding_s: float = 0.75, max_gap_s: float = 3.5) -> DataFrame:
+    """(by, start, end): trains of steps in both the maxima and the minima of the smoothed acceleration norm.
+
+    threshold_g: least height of an extremum; None takes the 5 % quantile of
+    the maxima in active parts (where the envelope exceeds its mean), or
+    fallback_g without any.
+    """
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        norm = np.sqrt((rows[["acc_is", "acc_ml", "acc_pa"]].to_numpy(float) ** 2).sum(axis=1))
+        chain = K.chain(K.resample(40), K.pad(4), K.lift(K.savgol, window_s=0.525, poly_rel=0.3), K.lift(K.dedrifted_gait_band), K.crop(4))
+        x, rate = chain(norm, fs)
+        x = K.gaussian(K.gaus2_cwt(x, 10), 0.05, rate)
+        high = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1
+        low = np.flatnonzero((x[1:-1] < x[:-2]) & (x[1:-1] <= x[2:])) + 1
+        least = threshold_g
+        if least is None:
+            active = analytic_envelope(x)
+            peaks = x[high[active[high] > active.mean()]]
+            peaks = peaks[peaks > 0]
+            least = float(np.percentile(peaks, 5)) / GRAVITY_MS2 if len(peaks) else fallback_g
+        least *= GRAVITY_MS2
+        trains = [pulse_trains(at, first_gap_s * rate, margin_s * rate, least_steps) for at in (high[x[high] > least], low[x[low] < -least])]
+        spans = common_spans(*trains)
+        wide = np.stack([spans[:, 0] - padding_s * rate, spans[:, 1] + padding_s * rate], axis=1).astype(int) if len(spans) else spans
+        spans = unite(wide, round(max_gap_s * rate))
+        spans = np.clip(np.rint(spans * fs / rate).astype(int), 0, len(norm))
+        return pd.DataFrame(spans, columns=["start", "end"])
+
+    return per_group(samples, by, ["acc_is", "acc_ml", "acc_pa"], kernel, "start long, end long")
+
+
+def opened(x: np.ndarray, width: int) -> np.ndarray:
+    """Grey opening: sliding minimum, then maximum, with repeated ends."""
+    half = (width // 2, width - 1 - width // 2)
+    slide = lambda v, f: f(np.lib.stride_tricks.sliding_window_view(np.pad(v, half, mode="edge"), width), axis=1)
+    return slide(slide(x, np.min), np.max)
+
+
+def closed(x: np.ndarray, width: int) -> np.ndarray:
+    return -opened(-x, width)
+
+
+def initial_contacts_by_morphology(samples: DataFrame, by: list[str], fs: float) -> DataFrame:
+    """(by, ic): the peak of each positive run of closing minus opening of the smoothed acceleration norm, at 120 Hz."""
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        norm = np.sqrt((rows[["acc_is", "acc_ml", "acc_pa"]].to_numpy(float) ** 2).sum(axis=1))
+        chain = K.chain(K.resample(40), K.pad(4), K.lift(K.savgol, window_s=0.525, poly_rel=0.3), K.lift(K.dedrifted_gait_band), K.crop(4))
+        x, rate = chain(norm, fs)
+        x, rate = K.resample(120)(K.gaussian(K.gaus2_cwt(x, 6), 0.05, rate), rate)
+        shape = closed(x, 32)
+        top = shape - opened(shape, 18)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (top > 0).astype(int), [0]])))
+        at = [a + int(np.argmax(top[a:b])) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a > 1]
+        return pd.DataFrame({"ic": np.rint(np.array(at, float) * fs / rate).astype("int64")})
+
+    return per_group(samples, by, ["acc_is", "acc_ml", "acc_pa"], kernel, "ic long")
+
+
+def reorient(samples: DataFrame, by: list[str], fs: float, threshold: float = 6.37, band: tuple[float, float] = (0.5, 3)) -> DataFrame:
+    """(by, sample, acc_is .. gyr_pa, detected_orientation) with the axes of a walking region put right.
+
+    The axis whose mean exceeds the threshold is vertical, its sign tells up
+    from down; the phase between vertical and forward acceleration in the gait
+    band, weighted by power, tells front from back.  Without a vertical axis
+    the data stays as it is, detected_orientation is NULL.
+    """
+    axes = ("is", "ml", "pa")
+
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        acc = rows[[f"acc_{a}" for a in axes]].to_numpy(float)
+        gyr = rows[[f"gyr_{a}" for a in axes]].to_numpy(float)
+        means = acc.mean(axis=0)
+        k = int(np.argmax(np.abs(means)))
+        label = None
+        if abs(means[k]) > threshold and k != 2:
+            turn = np.eye(3)
+            if k == 1:  # the sideways axis is vertical: a quarter turn about the forward axis
+                turn = np.array([[0, 1, 0], [-1, 0, 0], [0, 0, 1.0]])
+            if means[k] < 0:  # upside down: a half turn about the forward axis
+                turn = np.diag([-1.0, -1, 1]) @ turn
+            acc, gyr = acc @ turn.T, gyr @ turn.T
+            label = f"{'+' if means[k] > 0 else '-'}{axes[k]}"
+            spectrum = np.fft.rfft((acc - acc.mean(axis=0)) * np.hanning(len(acc))[:, None], axis=0)
+            hertz = np.fft.rfftfreq(len(acc), 1 / fs)
+            cross = (spectrum[:, 0] * np.conj(spectrum[:, 2]))[(hertz >= band[0]) & (hertz <= band[1])]
+            if len(cross) and np.average(np.angle(cross), weights=np.abs(cross) + 1e-12) > 0:
+                acc, gyr = acc * [1, -1, -1], gyr * [1, -1, -1]
+                label += ",back"
+        out = pd.DataFrame({"sample": rows["sample"]})
+        for sensor, values in (("acc", acc), ("gyr", gyr)):
+            for i, a in enumerate(axes):
+                out[f"{sensor}_{a}"] = values[:, i]
+        out["detected_orientation"] = pd.Series([label] * len(out), dtype=object)
+        return out
+
+    columns = [f"{s}_{a}" for s in ("acc", "gyr") for a in axes]
+    return per_group(samples, by, columns, kernel, ", ".join(["sample long", *[f"{c} double" for c in columns], "detected_orientation string"]))

@@ -98,3 +98,62 @@ def test_streamed_bouts_and_days(spark, tmp_path):
         run.awaitTermination()
         found = streaming.latest_daily(spark.read.parquet(str(tmp_path / "out/daily")), ("participant_id", "day"))
         assert {r.participant_id: r.wb_all_sum for r in found.collect()} == {"p": 2 * (i + 1), "q": i + 1}
+
+
+def test_other_detectors_agree_with_the_walk(samples):
+    one = samples.where("rec = 'r1'")
+    for threshold in (0.1, None):
+        found = stages.gait_sequences_by_pulses(one, ["rec"], FS, threshold_g=threshold).collect()
+        assert found and min(r.start for r in found) <= 12 * FS and max(r.end for r in found) >= 48 * FS
+    part = one.where("sample >= 1000 and sample < 5000").withColumn("sample", F.col("sample") - 1000)
+    assert abs(stages.initial_contacts_by_morphology(part, ["rec"], FS).count() - 72) <= 6
+
+
+def test_pulse_trains():
+    at = np.array([0, 10, 20, 30, 100, 110, 121, 130, 140, 300])
+    assert stages.pulse_trains(at, 35, 15, 4) == [(0, 30), (100, 140)]
+    assert stages.pulse_trains(at, 5, 15, 2) == []
+    assert stages.common_spans([(0, 30), (50, 90)], [(20, 60)]).tolist() == [[20, 30], [50, 60]]
+
+
+def test_turned_sensors_are_put_right(samples):
+    from ambulo.operators.evaluation import ORIENTATIONS, misoriented
+
+    part = samples.where("rec = 'r1' and sample >= 1500 and sample < 4500")
+    turned = misoriented(part)
+    assert turned.count() == part.count() * len(ORIENTATIONS)
+    fixed = stages.reorient(turned, ["rec", "orientation"], FS)
+    means = fixed.drop("orientation").groupBy("rec").agg(F.min("acc_is").alias("least")).first()
+    assert means.least > 0
+    truth = {r.sample: r.acc_pa for r in part.collect()}
+    flips = {np.sign(r.acc_pa * truth[r.sample]) for r in fixed.where("sample % 50 = 7").collect() if abs(truth[r.sample]) > 0.5}
+    assert len(flips) == 1
+
+
+def test_harness(spark):
+    from ambulo.operators import evaluation as E
+
+    df = spark.createDataFrame([(i, i % 3, float(i)) for i in range(30)], "id long, g long, v double")
+    folded = E.with_folds(df, ["id"], 3)
+    assert {r.fold for r in folded.collect()} == {0, 1, 2}
+    scores = E.cross_validate(folded, 3, lambda t: t.agg(F.avg("v")).first()[0], lambda m, t: t.agg(F.avg(F.abs(F.col("v") - m)).alias("error")))
+    assert scores.count() == 3
+    long = E.aggregate_long(df, ["g"], {"mean": F.avg("v"), "n": F.count("v")})
+    assert {(r.g, r.aggregation, r.value) for r in long.where("g = 1").collect()} == {(1, "mean", 14.5), (1, "n", 10.0)}
+    assert "w" in E.add_columns(df, {"w": (["v"], lambda v: v * 2), "x": (["none"], lambda v: v)}, "ignore").columns
+    with pytest.raises(ValueError):
+        E.add_columns(df, {"x": (["none"], lambda v: v)})
+    assert {(r.g, r.id) for r in E.best_in_group(df, ["g"], "v").collect()} == {(0, 27), (1, 28), (2, 29)}
+    assert df.limit(1).select(E.with_range(F.lit(1.234), F.lit(1.0), F.lit(2.0))).first()[0] == "1.23 [1.00, 2.00]"
+
+
+def test_left_right_machine(spark):
+    from ambulo.operators import evaluation as E
+
+    rows = [("a", i, math.sin(i / 20), math.cos(i / 20)) for i in range(600)]
+    samples = spark.createDataFrame(rows, "rec string, sample long, v_is double, v_pa double")
+    contacts = spark.createDataFrame([("a", i, "right" if math.sin(i / 20) > 0 else "left") for i in range(5, 590, 7)], "rec string, ic long, lr_label string")
+    features = E.pendulum_features(samples, contacts, ["rec"], FS)
+    model = E.train_laterality(features)
+    truth = {r.ic: r.lr_label for r in contacts.collect()}
+    assert np.mean([truth[r.ic] == r.lr_label for r in E.predict_laterality(model, features).collect()]) > 0.95
