@@ -28,5 +28,10 @@ def test_query_equals_sql(spark, db, name):
     found, truth = core.QUERIES[name](spark, FOLDER).toPandas(), db.sql(core.ORACLES[name]).df()
     names = sorted(found.columns)
     assert names == sorted(truth.columns) and len(found) == len(truth)
-    order = lambda df: df[names].sort_values(names, key=lambda c: c.astype(str) if c.dtype == object else c).reset_index(drop=True)
+
+    def order(df):
+        df = pd.DataFrame({n: df[n].map({True: "true", False: "false"}) if str(df[n].dropna().infer_objects().dtype) in ("bool", "boolean") else df[n] for n in names})
+        df = pd.DataFrame({n: c.astype(object).where(c.notna(), "none").astype(str) if c.dtype == object else c for n, c in df.items()})
+        return df.sort_values(names).reset_index(drop=True)
+
     pd.testing.assert_frame_equal(order(found), order(truth), check_dtype=False, check_exact=False, rtol=1e-9, atol=1e-9)
