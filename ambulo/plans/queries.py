@@ -484,3 +484,87 @@ def supplier_months(spark, folder):
     items = spark.read.parquet(f"{folder}/lineitem.parquet")
     q = F.col("l_quantity").cast("double")
     return items.groupBy("l_suppkey", F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum(q).alias("quantity"), F.median(q).alias("median"), F.percentile(q, 0.9).alias("p90"))
+
+
+@query("contacts", """, d AS (SELECT rec, id, ic + (id % 5) * 200 AS ic FROM contacts WHERE id % 4 <> 0), r AS (SELECT rec, id, ic FROM contacts WHERE id % 3 <> 0),
+s AS (SELECT rec, avg(step) / 100.0 AS step_s FROM (SELECT rec, ic - lag(ic) OVER (PARTITION BY rec ORDER BY ic) AS step FROM r) GROUP BY rec)
+SELECT d.rec, round(avg(abs(d.ic - r.ic) / 100.0) + 1e-9, 6) AS tp_absolute_timing_error_s, round(avg(abs(d.ic - r.ic) / 100.0 / step_s) + 1e-9, 6) AS tp_relative_timing_error FROM d JOIN r ON d.rec = r.rec AND d.id = r.id JOIN s ON s.rec = d.rec GROUP BY d.rec""")
+def ic_timing_errors(spark, folder):
+    c = view(spark, folder, "contacts").withColumn("bout", F.lit(0))
+    r = c.where("id % 3 <> 0")
+    d = c.where("id % 4 <> 0").select("rec", "id", (F.col("ic") + (F.col("id") % 5) * 200).alias("ic__detected"))
+    matched = d.join(r.select("rec", "id", "bout", F.col("ic").alias("ic__reference")), ["rec", "id"])
+    return S.timing_errors(r, matched, BY, "bout", 100)
+
+
+@query("contacts reference", """SELECT c.rec, c.id, c.ic - r."start" AS ic FROM contacts c JOIN reference r ON r.rec = c.rec AND r.id = c.id""")
+def relative_to_region(spark, folder):
+    moved = I.relative_to(view(spark, folder, "contacts"), view(spark, folder, "reference"), ["rec", "id"], ["ic"])
+    return moved.select("rec", "id", "ic")
+
+
+@query("bouts", """SELECT cohort, CASE WHEN cohort IN ('HA', 'COPD', 'CHF') THEN 'regular' ELSE 'impaired' END AS settings, count(*) AS n, round(avg(duration_s) + 1e-9, 6) AS duration_s FROM bouts GROUP BY ALL""")
+def cohort_route(spark, folder):
+    from ambulo.plans import walking as W
+
+    names = {c: tag for tag, s in (("regular", W.REGULAR), ("impaired", W.IMPAIRED)) for c in s.cohorts}
+    routes = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return view(spark, folder, "bouts").groupBy("cohort", routes[F.col("cohort")].alias("settings")).agg(F.count("*").alias("n"), F.avg("duration_s").alias("duration_s"))
+
+
+@query("detected reference", """SELECT d.rec, CAST(count(DISTINCT d.id) AS BIGINT) AS n_detected, CAST((SELECT count(*) FROM reference r WHERE r.rec = d.rec AND r.value > 400) AS BIGINT) AS n_reference FROM detected d GROUP BY d.rec""")
+def multi_groupby_left(spark, folder):
+    import pandas as pd
+
+    d, r = view(spark, folder, "detected").select("rec", "id"), view(spark, folder, "reference").where("value > 400").select("rec", "id")
+    count = lambda x, y: pd.DataFrame({"rec": [x.rec.iloc[0]], "n_detected": [len(x)], "n_reference": [len(y)]})
+    return S.apply_with(d, r, BY, count, "rec long, n_detected long, n_reference long")
+
+
+@query("bouts", """, a AS (SELECT participant_id, avg(duration_s)::DOUBLE AS mean, median(duration_s)::DOUBLE AS mid, count(duration_s)::DOUBLE AS n FROM bouts GROUP BY participant_id)
+SELECT participant_id, aggregation, round(value + 1e-9, 6) AS value FROM (UNPIVOT a ON mean, mid, n INTO NAME aggregation VALUE value)""")
+def aggregates_long(spark, folder):
+    from ambulo.operators import evaluation as E
+
+    return E.aggregate_long(view(spark, folder, "bouts"), ["participant_id"], {"mean": F.avg("duration_s"), "mid": F.median("duration_s"), "n": F.count("duration_s")})
+
+
+@query("", """SELECT event_id, o.orientation, round(value * o.a + 1e-9, 6) AS acc_is, round((event_id % 10) * o.b + 1e-9, 6) AS acc_ml, round(value * 2 * o.c + 1e-9, 6) AS acc_pa FROM events,
+(VALUES ('upright', 1, 1, 1), ('turned_about_vertical', 1, -1, -1), ('turned_about_sideways', -1, 1, -1), ('turned_about_forward', -1, -1, 1)) o(orientation, a, b, c)""")
+def misoriented(spark, folder):
+    from ambulo.operators import evaluation as E
+
+    imu = spark.read.parquet(f"{folder}/events.parquet").selectExpr("event_id", "value AS acc_is", "CAST(event_id % 10 AS DOUBLE) AS acc_ml", "value * 2 AS acc_pa")
+    return E.misoriented(imu, sensors=("acc",)).select("event_id", "orientation", "acc_is", "acc_ml", "acc_pa")
+
+
+@query("", """SELECT event_id, round(cos(a) * value - sin(a) * (event_id % 10) + 1e-9, 6) AS acc_gx, round(sin(a) * value + cos(a) * (event_id % 10) + 1e-9, 6) AS acc_gy, round(value * 2 + 1e-9, 6) AS acc_gz FROM (SELECT *, (event_id % 7) / 7.0::DOUBLE AS a FROM events)""")
+def global_frame(spark, folder):
+    imu = spark.read.parquet(f"{folder}/events.parquet").selectExpr("event_id", "value AS acc_x", "CAST(event_id % 10 AS DOUBLE) AS acc_y", "value * 2 AS acc_z")
+    turned = C.rotate(imu.withColumn("q", C.quaternion_about((0, 0, 1), (F.col("event_id") % 7) / 7.0)), "q", sensors=("acc",))
+    return turned.drop("q")
+
+
+@query("", """SELECT rec, round(avg(value) + 1e-9, 6) AS value, CASE WHEN abs(avg(value)) > 50 THEN CASE WHEN avg(value) > 0 THEN '+value' ELSE '-value' END WHEN abs(avg(centred)) > 50 THEN CASE WHEN avg(centred) > 0 THEN '+centred' ELSE '-centred' END END AS gravity, round(avg(centred) + 1e-9, 6) AS centred FROM series GROUP BY rec""")
+def gravity_vote(spark, folder):
+    return R.gravity_axis(series(spark, folder), BY, ("value", "centred"), 50)
+
+
+@query("bouts", """SELECT participant_id, wb_id, round(duration_s + 1e-9, 6) AS duration_s FROM (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY duration_s DESC NULLS LAST, wb_id) AS k FROM bouts) WHERE k = 1""")
+def best_bout(spark, folder):
+    from ambulo.operators import evaluation as E
+
+    return E.best_in_group(view(spark, folder, "bouts").select("participant_id", "wb_id", "duration_s"), ["participant_id"], "duration_s")
+
+
+@query("contacts", """SELECT rec, ic // 1000 AS ic, CASE WHEN count(DISTINCT lr_label) = 1 THEN min(lr_label) END AS lr_label FROM contacts GROUP BY rec, ic // 1000""")
+def clean_contacts(spark, folder):
+    rows = view(spark, folder, "contacts").withColumn("ic", F.floor(F.col("ic") / 1000))
+    return L.clean_contacts(rows, BY)
+
+
+@query("strides", _BOUTS + """, k AS (SELECT *, coalesce(lead(brk) OVER (PARTITION BY rec ORDER BY "start", "end", s_id), 0) AS nxt FROM i), zz AS (SELECT rec, pre_bout, count(*) AS size FROM k WHERE nxt = 0 GROUP BY ALL)
+SELECT rec, CAST(pre_bout AS BIGINT) AS pre_bout, size, size < 4 AS voided FROM zz""")
+def wb_assembly_trimmed(spark, folder):
+    rows = B.assemble_bouts(view(spark, folder, "strides"), BY, 10_000, drop_last=True)
+    return rows.groupBy("rec", F.col("pre_bout").cast("long").alias("pre_bout")).agg(F.count("*").alias("size"), F.max(F.col("wb_id").isNull()).alias("voided"))
