@@ -204,12 +204,16 @@ def pieces_of(matches: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, similar
 
 
 def matched_pairs(found: DataFrame, docs: DataFrame, left: str, right: str) -> DataFrame:
-    """Matches of each pair of documents and the word codes of both."""
+    """Matches of each pair of documents and the word codes of both, one document's pairs after each other.
+
+    The join to the document that keeps a passage, of which many others may
+    hold a copy, comes first, so that the pairs are dealt out by the other one.
+    """
     pairs = found.groupBy(left, right).agg(F.collect_list(F.struct("pos", "other_pos")).alias("matches"))
     codes = word_codes(docs).dropDuplicates(["doc_id"])
     mine = codes.select(F.col("doc_id").alias(left), F.col("codes").alias("x"))
     theirs = codes.select(F.col("doc_id").alias(right), F.col("codes").alias("y"))
-    return pairs.join(mine, left).join(theirs, right).select(left, right, "matches", "x", "y")
+    return pairs.join(theirs, right).join(mine, left).select(left, right, "matches", "x", "y")
 
 
 def match_array(value: pa.Scalar) -> np.ndarray:
@@ -230,14 +234,19 @@ def islands(pieces: DataFrame, gap: int, least_words: int) -> DataFrame:
     opened = F.sum(F.when(F.col("start_word") <= F.col("before") + gap, 0).otherwise(1)).over(by_start)
     longest: Column = F.max_by(F.struct("kept_doc_id", "kept_start"), F.struct(F.col("end_word") - F.col("start_word"), -F.col("kept_doc_id"), -F.col("kept_start")))
     united = pieces.withColumn("before", before).withColumn("island", opened).groupBy("doc_id", "island").agg(
-        F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), longest.alias("kept"), F.min("similarity").alias("similarity"), F.count("*").alias("n_pieces")
+        F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), longest.alias("kept"), F.min("similarity").alias("similarity"), F.sum("n_pieces").alias("n_pieces")
     )
     return united.where(F.col("end_word") - F.col("start_word") >= least_words).select(
         "doc_id", "start_word", "end_word", F.col("kept.kept_doc_id").alias("kept_doc_id"), F.col("kept.kept_start").alias("kept_start"), "similarity", "n_pieces"
     )
 
 
-PIECE = "doc_id long, start_word int, end_word int, kept_doc_id long, kept_start int, similarity double"
+PIECE = "doc_id long, start_word int, end_word int, kept_doc_id long, kept_start int, similarity double, n_pieces int"
+
+
+def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, k: int = 8, window: int = 16, gap: int = 4) -> DataFrame:
@@ -267,11 +276,9 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
             for mine, kept, matches, x, y in zip(*batch.columns, strict=True):
                 a, b = np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16)
                 for s, e, t, u, same in pieces_of(match_array(matches), a, b, k, similarity):
-                    rows.append((mine.as_py(), s, e, kept.as_py(), t, same / max(e - s, u - t)))
+                    rows.append((mine.as_py(), s, e, kept.as_py(), t, same / max(e - s, u - t), 1))
             if rows:
-                columns = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
+                yield piece_batch(rows)
 
     pieces = matched_pairs(found, docs, "doc_id", "kept_doc_id").mapInArrow(run, PIECE)
     return islands(pieces, gap, least_words)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, cut_lineage, minimisers, span_hashes, word_hashes
-from ambulo.llm.substrings import PIECE, islands, match_array, matched_pairs, run_length
+from ambulo.llm.substrings import PIECE, islands, match_array, matched_pairs, piece_batch, run_length
 
 COLUMNS = ["h1", "h2", "h3", "front", "doc_id", "pos"]
 ORDER = ["h1", "doc_id", "pos"]
@@ -119,6 +119,20 @@ def exact_matches(matches: np.ndarray, x: np.ndarray, y: np.ndarray, least_words
     return sorted(found)
 
 
+def unite(spans: set[tuple[int, int, int, int]]) -> list[tuple]:
+    """Unions of overlapping (start, end, kept_doc_id, kept_start) with the place of the longest one, similarity and number."""
+    out: list[list] = []
+    for s, e, kept, at in sorted(spans):
+        if out and s <= out[-1][1]:
+            last = out[-1]
+            last[1], last[5] = max(last[1], e), last[5] + 1
+            if (e - s, -kept, -at) > last[6]:
+                last[2:4], last[6] = [kept, at], (e - s, -kept, -at)
+        else:
+            out.append([s, e, kept, at, 1.0, 1, (e - s, -kept, -at)])
+    return [tuple(x[:6]) for x in out]
+
+
 def repeated_substrings(docs: DataFrame, least_words: int = 50, k: int = 8, window: int = 20) -> DataFrame:
     """Passages of at least least_words words that another document repeats word by word.
 
@@ -141,14 +155,19 @@ def repeated_substrings(docs: DataFrame, least_words: int = 50, k: int = 8, wind
     found = neighbours(sparse_suffixes(docs, least_words, k, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, spans, rows = None, set(), []
         for batch in batches:
-            rows = []
             for mine, kept, matches, x, y in zip(*batch.columns, strict=True):
+                if mine.as_py() != doc:
+                    rows += [(doc, *piece) for piece in unite(spans)]
+                    doc, spans = mine.as_py(), set()
                 a, b = np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16)
-                rows += [(mine.as_py(), s, e, kept.as_py(), t, 1.0) for s, e, t in exact_matches(match_array(matches), a, b, least_words)]
+                spans |= {(s, e, kept.as_py(), t) for s, e, t in exact_matches(match_array(matches), a, b, least_words)}
             if rows:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
+                yield piece_batch(rows)
+                rows = []
+        if spans:
+            yield piece_batch([(doc, *piece) for piece in unite(spans)])
 
     pieces = matched_pairs(found, docs, "doc_id", "kept_doc_id").mapInArrow(run, PIECE)
     return islands(pieces, 0, least_words)
