@@ -34,6 +34,29 @@ def byte_rows(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+#: Bits of the filter by doc_id.
+ID_BITS = 1 << 20
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs that can have one of ids (doc_id long), before they are joined.
+
+    A bitmap of ID_BITS bits, at most, goes to all tasks; it may pass other
+    rows but never drops one that has an id.
+    """
+    slots = ids.select(F.pmod("doc_id", F.lit(ID_BITS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(ID_BITS, bool)
+    bits[slots] = True
+    packed = np.packbits(bits).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(held[batch.column(0).to_numpy(zero_copy_only=False) & (ID_BITS - 1)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Spread the bits of each 64-bit number (xor-shift and multiply, a bijection)."""
     h = h ^ (h >> np.uint64(31))
@@ -95,12 +118,12 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - rest], a[rest:]) if rest else a
 
 
-def minimisers(h: np.ndarray, window: int) -> np.ndarray:
+def minimisers(h: np.ndarray, window: int, equal: bool = False) -> np.ndarray:
     """Positions that hold the smallest hash of some window of ``window`` hashes.
 
     Any ``window`` consecutive hashes that two sequences share put at least
     one common position in both.  Fewer hashes than a window form one window.
-    Of a run of equal neighbours only the first stays.
+    Of a run of equal neighbours only the first stays, unless ``equal``.
     """
     n = len(h)
     if n == 0:
@@ -112,7 +135,8 @@ def minimisers(h: np.ndarray, window: int) -> np.ndarray:
         padded = np.zeros(len(least) + 2 * (window - 1), np.uint64)
         padded[window - 1 : window - 1 + len(least)] = least
         chosen = ~sliding_min(~padded, window) == h
-    chosen[1:] &= h[1:] != h[:-1]
+    if not equal:
+        chosen[1:] &= h[1:] != h[:-1]
     return np.flatnonzero(chosen)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, cut_lineage, minimisers, span_hashes, word_hashes
+from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, cut_lineage, minimisers, span_hashes, with_ids, word_hashes
 
 #: Words between two seeds on one diagonal that still count as one segment.
 SEGMENT_GAP = 32
@@ -209,8 +209,9 @@ def matched_pairs(found: DataFrame, docs: DataFrame, left: str, right: str) -> D
     The join to the document that keeps a passage, of which many others may
     hold a copy, comes first, so that the pairs are dealt out by the other one.
     """
-    pairs = found.groupBy(left, right).agg(F.collect_list(F.struct("pos", "other_pos")).alias("matches"))
-    codes = word_codes(docs).dropDuplicates(["doc_id"])
+    pairs = cut_lineage(found.groupBy(left, right).agg(F.collect_list(F.struct("pos", "other_pos")).alias("matches")))
+    ids = pairs.select(F.col(left).alias("doc_id")).union(pairs.select(right))
+    codes = with_ids(word_codes(docs), ids).dropDuplicates(["doc_id"])
     mine = codes.select(F.col("doc_id").alias(left), F.col("codes").alias("x"))
     theirs = codes.select(F.col("doc_id").alias(right), F.col("codes").alias("y"))
     return pairs.join(theirs, right).join(mine, left).select(left, right, "matches", "x", "y")

@@ -1,13 +1,10 @@
 """Exact repeated passages by a sparse suffix array.
 
-Suffixes are kept at minimiser positions only.  Each is represented by hashes
-of its first ``head``, 2 * head and 4 * head words and of the words in front of
-it.  A range sort on the first hash brings suffixes with a common start
-together (ties by doc_id and position, so one frequent passage is spread over
-tasks too).  Each suffix is compared with its neighbours: the one of the
-document before it among those that agree in the head, and likewise among
-those that agree in more words behind or in front.  Matches are extended word
-by word to both sides.
+Suffixes are kept at minimiser positions only, each as a hash of its first
+``head`` words.  Where several documents share a head, the runs of
+``least_words`` words that the head can belong to are matched against the first
+document that holds them, all at once or one by one, so any shared run meets.  Matches are
+extended word by word to both sides.
 """
 
 from __future__ import annotations
@@ -16,21 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, cut_lineage, minimisers, span_hashes, word_hashes
+from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, cut_lineage, minimisers, span_hashes, with_ids, word_hashes
 from ambulo.llm.substrings import PIECE, islands, match_array, matched_pairs, piece_batch, run_length
 
-COLUMNS = ["h1", "h2", "h3", "front", "doc_id", "pos"]
-ORDER = ["h1", "doc_id", "pos"]
-#: Sets of columns in which neighbours agree.
-LEVELS = ((0,), (0, 1), (0, 2), (0, 3), (0, 1, 3))
-
 
 def sparse_suffixes(docs: DataFrame, least_words: int, k: int, window: int) -> DataFrame:
-    """(h1, h2, h3, front, doc_id, pos) of the suffixes at minimisers with a whole head."""
-    head = least_words - window - 2
+    """(head, chunk, doc_id, pos, start) of the suffixes at minimisers with a whole head.
+
+    chunk is the hash of all words of the runs that start up to window - 1
+    words before the suffix, start where it begins.
+    """
+    size = least_words - window - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes, of_words = Powers(BYTE_BASE), Powers(WORD_BASE)
@@ -42,80 +38,76 @@ def sparse_suffixes(docs: DataFrame, least_words: int, k: int, window: int) -> D
                 if n < least_words:
                     continue
                 at = np.arange(n - k + 1)
-                pos = minimisers(span_hashes(words, at, at + k, of_words), window)
-                pos = pos[pos + head <= n]
-                heads = [span_hashes(words, pos, np.minimum(pos + head * m, n), of_words).view(np.int64) for m in (1, 2, 4)]
-                front = span_hashes(words, np.maximum(pos - window, 0), pos, of_words).view(np.int64)
-                columns.append([*heads, front, np.full(len(pos), doc), pos.astype(np.int32)])
+                pos = minimisers(span_hashes(words, at, at + k, of_words), window, equal=True)
+                start = np.maximum(pos - window + 1, 0)
+                whole = (pos + size <= n) & (start + least_words <= n)
+                pos, start = pos[whole], start[whole]
+                heads = span_hashes(words, pos, pos + size, of_words).view(np.int64)
+                chunks = span_hashes(words, start, np.minimum(pos + least_words, n), of_words).view(np.int64)
+                columns.append([heads, chunks, np.full(len(pos), doc), pos.astype(np.int32), start.astype(np.int32)])
             if columns:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], COLUMNS)
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["head", "chunk", "doc_id", "pos", "start"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "h1 long, h2 long, h3 long, front long, doc_id long, pos int")
-
-
-def neighbour_pairs(rows: np.ndarray) -> np.ndarray:
-    """(index, index of its neighbour) for rows of COLUMNS: the next smaller doc_id that agrees, at each level."""
-    found = []
-    for level in LEVELS:
-        order = np.lexsort((rows[:, 5], rows[:, 4], *(rows[:, c] for c in reversed(level))))
-        ranked = rows[order]
-        agree = (ranked[1:, level] == ranked[:-1, level]).all(axis=1)
-        new = np.ones(len(rows), bool)
-        new[1:] = ~agree | (ranked[1:, 4] != ranked[:-1, 4])
-        # the row just before the first one of the own document
-        before = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0)) - 1
-        hit = np.flatnonzero((before >= 0) & (ranked[:, level] == ranked[np.maximum(before, 0)][:, level]).all(axis=1))
-        found.append(np.stack([order[hit], order[before[hit]]], axis=1))
-    return np.unique(np.concatenate(found), axis=0)
-
-
-def neighbours(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, pos, kept_doc_id, other_pos) of neighbouring suffixes; the larger doc_id comes first.
-
-    A task holds the rows of one partition of the range sort.  The edge rows of
-    all partitions, three of each, are compared afterwards.
-    """
-    parts = max(1, int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.mapInArrow(run, "head long, chunk long, doc_id long, pos int, start int")
+
+
+def runs_at(places: DataFrame, docs: DataFrame, least_words: int, window: int) -> DataFrame:
+    """(run, doc_id, start): hashes of all runs of least_words words that start up to window - 1 words before one of (doc_id, pos)."""
+    places = cut_lineage(places.groupBy("doc_id").agg(F.collect_list("pos").alias("places")))
+    texts = with_ids(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null"), places.select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1) for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = np.concatenate(held)
-        pairs = neighbour_pairs(rows)
-        for i in range(0, len(pairs), 1 << 16):
-            own, other = rows[pairs[i : i + (1 << 16), 0]], rows[pairs[i : i + (1 << 16), 1]]
-            yield _rows(own, other)
-        different = np.flatnonzero(rows[:, 4] != rows[-1, 4])
-        yield _rows(rows[sorted({0, int(different[-1]) if len(different) else 0, len(rows) - 1})], None)
-
-    schema = "h1 long, doc_id long, pos int, other_doc long, other_pos int"
-    found = cut_lineage(suffixes.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(run, schema))
-    order = Window.partitionBy("h1").orderBy("doc_id", "pos")
-    edges = found.where("other_doc is null").select(*ORDER).distinct()
-    edges = edges.withColumns({"other_doc": F.lag("doc_id").over(order), "other_pos": F.lag("pos").over(order)})
-    pairs = found.where("other_doc is not null").unionByName(edges.where("other_doc <> doc_id"))
-    return pairs.select("doc_id", "pos", F.col("other_doc").alias("kept_doc_id"), "other_pos")
-
-
-def _rows(rows: np.ndarray, others: np.ndarray | None) -> pa.RecordBatch:
-    n = len(rows)
-    doc, pos = (pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())) if others is None else (pa.array(others[:, 4]), pa.array(others[:, 5].astype(np.int32)))
-    return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 4]), pa.array(rows[:, 5].astype(np.int32)), doc, pos], ["h1", "doc_id", "pos", "other_doc", "other_pos"])
+        of_bytes, of_words = Powers(BYTE_BASE), Powers(WORD_BASE)
+        for batch in batches:
+            ids, columns = batch.column(0).to_numpy(zero_copy_only=False), []
+            for doc, text, heads in zip(ids, byte_rows(batch, 1), batch.column(2), strict=True):
+                words = word_hashes(text, of_bytes)
+                starts = np.unique(heads.values.to_numpy()[:, None] - np.arange(window))
+                starts = starts[(starts >= 0) & (starts + least_words <= len(words))]
+                columns.append([span_hashes(words, starts, starts + least_words, of_words).view(np.int64), np.full(len(starts), doc), starts.astype(np.int32)])
+            if columns:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["run", "doc_id", "start"])
+
+    return texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "run long, doc_id long, start int")
+
+
+def with_first(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, doc_id, start, ...) whose key several documents hold, with kept_doc_id and other_pos of its first holder."""
+    first = rows.groupBy(key).agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
+    first = cut_lineage(first.select(key, F.col("at.doc_id").alias("kept_doc_id"), F.col("at.start").alias("other_pos")))
+    return rows.join(first, key, "left")
+
+
+def shared_runs(docs: DataFrame, least_words: int, k: int, window: int) -> DataFrame:
+    """(doc_id, pos, kept_doc_id, other_pos) of runs of least_words words and the first document that holds them.
+
+    Chunks around shared heads are matched first.  A chunk that an earlier
+    document holds stands for its runs, as that one holds them all; only the
+    runs of other chunks are hashed one by one, in the chunk's first holder.
+    """
+    suffixes = sparse_suffixes(docs, least_words, k, window)
+    several = cut_lineage(suffixes.groupBy("head").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("head"))
+    near = cut_lineage(suffixes.join(several, "head").drop("head"))
+    chunks = cut_lineage(with_first(near, "chunk").drop("chunk"))
+    own = "kept_doc_id is null or doc_id = kept_doc_id"
+    runs = cut_lineage(runs_at(chunks.where(own).select("doc_id", "pos"), docs, least_words, window))
+    found = chunks.where(f"not ({own})").select("doc_id", "start", "kept_doc_id", "other_pos")
+    found = found.unionByName(with_first(runs, "run").where("doc_id <> kept_doc_id").drop("run"))
+    return found.select("doc_id", F.col("start").alias("pos"), "kept_doc_id", "other_pos")
 
 
 def exact_matches(matches: np.ndarray, x: np.ndarray, y: np.ndarray, least_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, start in y) of the maximal runs around the matches, of least_words at least."""
-    found, done = [], {}
-    for a, b in matches[np.lexsort((matches[:, 0], matches[:, 1] - matches[:, 0]))].tolist():
-        if done.get(b - a, -1) > a:
+    """(start, end, start in y) of the maximal runs, of least_words at least, around matches that no run before them holds."""
+    found, reach = [], 0
+    for a, b in matches[np.lexsort((matches[:, 1], matches[:, 0]))].tolist():
+        if a + least_words <= reach:
             continue
         left = run_length(x[:a][::-1], y[:b][::-1])
         right = run_length(x[a:], y[b:])
-        done[b - a] = a + right
         if left + right >= least_words:
             found.append((a - left, a + right, b - left))
+            reach = max(reach, a + right)
     return sorted(found)
 
 
@@ -139,20 +131,20 @@ def repeated_substrings(docs: DataFrame, least_words: int = 50, k: int = 8, wind
     docs: (doc_id, text, ...).  Words are runs of other bytes than ASCII white
     space.  Returns for each passage of the document with the larger doc_id:
     doc_id, start_word, end_word (half open), kept_doc_id and kept_start (the
-    longest match in a document with a smaller doc_id), similarity (1.0) and
-    n_pieces (matches that overlap to make up the passage).
+    longest match among the documents that are the first to hold a run of
+    least_words words of it), similarity (1.0) and n_pieces (matches that
+    overlap to make up the passage).
 
-    A shared run of least_words words has its first kept suffix in its first
-    ``window`` words, with a whole head of least_words - window - 2 words
-    behind it, so its suffixes meet in the sorted order.  Among documents that
-    share the head but not the whole passage, only the neighbours of LEVELS are
-    tried, not all holders.
+    A shared run of least_words words has a kept suffix in its first ``window``
+    words, with a whole head of least_words - window - 2 words behind it, so
+    the head has several holders and the run is hashed in all of them.  The
+    spans are those of brute force, however many documents share a head.
 
     Null doc_id or text and short texts have none; rows with the same doc_id
     count as one document; an empty table gives an empty result; other columns
     are ignored.
     """
-    found = neighbours(sparse_suffixes(docs, least_words, k, window))
+    found = shared_runs(docs, least_words, k, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, spans, rows = None, set(), []
