@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from test_passages import covered, prose, slow_exact
 
 from ambulo.llm.suffixes import repeated_substrings
@@ -23,3 +24,16 @@ def test_passages_around_a_frequent_run_equal_brute_force(spark):
     found = covered(repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert found == slow_exact(rows, 50)
     assert len(found) >= 49
+
+
+@pytest.mark.parametrize("parts", ["2", "7", "200"])
+def test_the_number_of_partitions_does_not_matter(spark, parts):
+    rows = around_frequent(random.Random(3), 10, 40, 30, 60)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = covered(repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == slow_exact(rows, 50)
+    assert set(found) >= set(range(90, 120))
