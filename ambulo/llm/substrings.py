@@ -186,6 +186,41 @@ def align(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray) -> tu
     return start, i + right[0], other, j + right[1], same + right[2]
 
 
+def exact_blocks(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """The runs of agreeing words in the segments of a chain."""
+    out = []
+    for a, end, b in chain:
+        same = np.zeros(end - a + 2, np.int8)
+        same[1:-1] = x[a:end] == y[b : b + end - a]
+        edges = np.flatnonzero(np.diff(same)).tolist()
+        out += [(a + s, a + e, b + s) for s, e in zip(edges[::2], edges[1::2], strict=True)]
+    return out
+
+
+def sub_chains(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray, k: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
+    """Alignments of the maximal parts of a chain that agree enough, cut at mismatches or gaps, of k words at least."""
+    blocks = exact_blocks(chain, x, y)
+    if not blocks:
+        return []
+    a, end, b = np.array(blocks).T
+    other = b + end - a
+    between = [common_words(x[end[i] : a[i + 1]], y[other[i] : b[i + 1]]) for i in range(len(blocks) - 1)]
+    # words that agree before each block
+    before = np.concatenate(([0], np.cumsum(end[:-1] - a[:-1] + np.array(between, np.int64))))
+    found, reach = [], -1
+    for i in range(len(blocks)):
+        size = np.maximum(end[i:] - a[i], other[i:] - b[i])
+        same = before[i:] - before[i] + end[i:] - a[i:]
+        good = np.flatnonzero((same >= similarity * size) & (size >= k))
+        if len(good) and i + good[-1] > reach:
+            reach = i + int(good[-1])
+            piece = align(blocks[i : reach + 1], x, y)
+            if piece[4] < similarity * max(piece[1] - piece[0], piece[3] - piece[2]):
+                piece = (int(a[i]), int(end[reach]), int(b[i]), int(other[reach]), int(same[good[-1]]))
+            found.append(piece)
+    return found
+
+
 def pieces_of(matches: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
     """Alignments of two documents with enough agreeing words, by start; of nested ones the outer."""
     found = []
@@ -194,7 +229,13 @@ def pieces_of(matches: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, similar
             continue
         piece = align(chain, x, y)
         if piece[4] < similarity * max(piece[1] - piece[0], piece[3] - piece[2]):
-            for part in chain if len(chain) > 1 else []:
+            # the ends may run on beyond the segments
+            (a, _, b), (_, end, at) = chain[0], chain[-1]
+            left, right = run_length(x[:a][::-1], y[:b][::-1]), run_length(x[end:], y[at + end - chain[-1][0] :])
+            edge = [(a - left, a, b - left)] if left else []
+            tail = [(end, end + right, at + end - chain[-1][0])] if right else []
+            found += sub_chains([*edge, *chain, *tail], x, y, k, similarity)
+            for part in chain if len(chain) > 1 else []:  # one that its extension lifts over the threshold as a whole
                 piece = align([part], x, y)
                 if piece[4] >= similarity * max(piece[1] - piece[0], piece[3] - piece[2]):
                     found.append(piece)
