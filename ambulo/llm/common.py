@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,19 @@ BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xC2B2AE3D27D4EB4F
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set a folder only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir.
+
+    Where none is set a local session, whose tasks run on the driver's machine,
+    gets a temporary folder; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -28,6 +37,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: for large results, which it compresses and reads by column."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id long, text_hash long, text): each text of a doc_id once; rows with a null in either are left out.
+
+    Only the texts of rows that do repeat are shuffled.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null and text is not null")
+    again = cut_lineage(rows.groupBy("doc_id", "text_hash").count().where("count > 1").drop("count"))
+    if again.isEmpty():
+        return rows
+    keys = ["doc_id", "text_hash"]
+    return rows.join(again, keys, "left_anti").unionByName(rows.join(again, keys, "left_semi").dropDuplicates(keys))
+
+
 def byte_rows(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
     """The UTF-8 bytes of each text of a batch, b"" for null."""
     for value in batch.column(column).cast(pa.binary()):
@@ -39,7 +68,7 @@ ID_BITS = 1 << 20
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs that can have one of ids (doc_id long), before they are joined.
+    """Rows of docs (doc_id long, not null) that can have one of ids (doc_id long), before they are joined.
 
     A bitmap of ID_BITS bits, at most, goes to all tasks; it may pass other
     rows but never drops one that has an id.
@@ -52,7 +81,8 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
         for batch in batches:
-            yield batch.filter(pa.array(held[batch.column(0).to_numpy(zero_copy_only=False) & (ID_BITS - 1)]))
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(held[ids & (ID_BITS - 1)]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,9 +1,11 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-Seeds are the minimisers among the hashes of k words.  Every seed that occurs
-in several documents is matched against its first document (smallest doc_id),
-so a seed held by n documents makes n - 1 matches.  For each pair of documents
-the matches are merged to diagonal segments, chained with gap costs through a
+Seeds are the minimisers among the hashes of k words; two that follow each
+other in a document make a link.  Every seed and every link that several
+documents hold is matched against its first holder (smallest doc_id), so n
+holders make n - 1 matches, and a text pieced together of frequent lines meets
+the first text that joins them in the same way.  For each pair of documents the
+matches are merged to diagonal segments, chained with gap costs through a
 Fenwick tree, and the chains are aligned word by word and extended.
 """
 
@@ -13,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, cut_lineage, minimisers, span_hashes, with_ids, word_hashes
+from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, distinct_texts, minimisers, mix64, span_hashes, word_hashes, written
+from ambulo.llm.passages import first_holders, matches_with_first, passages_of
 
 #: Words between two seeds on one diagonal that still count as one segment.
 SEGMENT_GAP = 32
@@ -26,41 +29,42 @@ AFTER_EDIT = 4
 GAP_COST = 0.5
 
 
-def seeds(docs: DataFrame, k: int = 8, window: int = 16, least_words: int = 50) -> DataFrame:
-    """(doc_id, pos, seed) of each minimiser; documents under least_words have none."""
+def seeds(texts: DataFrame, k: int = 8, window: int = 16, least_words: int = 50) -> DataFrame:
+    """(doc_id, text_hash, n_words, pos, seed, link) of each minimiser; texts under least_words have none.
+
+    link is the hash of the seed, the next one and the words between their
+    starts, null for the last seed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes, of_words = Powers(BYTE_BASE), Powers(WORD_BASE)
         for batch in batches:
-            ids, places, values, counts = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
-            for text in byte_rows(batch, 1):
+            places, values, links, counts, sizes = [], [], [], [], []
+            for text in byte_rows(batch, 2):
                 words = word_hashes(text, of_bytes)
                 if len(words) < max(k, least_words):
                     counts.append(0)
+                    sizes.append(0)
                     continue
                 at = np.arange(len(words) - k + 1)
                 h = span_hashes(words, at, at + k, of_words)
                 pos = minimisers(h, window)
+                h = h[pos]
+                link = np.zeros(len(pos), np.uint64)
+                link[:-1] = mix64(h[:-1] * np.uint64(BYTE_BASE) + h[1:] * np.uint64(WORD_BASE) + np.diff(pos).astype(np.uint64))
                 places.append(pos.astype(np.int32))
-                values.append(h[pos].view(np.int64))
+                values.append(h.view(np.int64))
+                links.append(link.view(np.int64))
                 counts.append(len(pos))
+                sizes.append(len(words))
             if places:
-                yield pa.record_batch([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(places)), pa.array(np.concatenate(values))], ["doc_id", "pos", "seed"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, pos int, seed long")
-
+                last = np.zeros(sum(counts), bool)
+                last[np.cumsum([c for c in counts if c]) - 1] = True
+                per_doc = [np.repeat(c, counts) for c in (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), np.array(sizes, np.int32))]
+                columns = [*per_doc, np.concatenate(places), np.concatenate(values)]
+                yield pa.record_batch([*map(pa.array, columns), pa.array(np.concatenate(links), mask=last)], ["doc_id", "text_hash", "n_words", "pos", "seed", "link"])
 
-def word_codes(docs: DataFrame) -> DataFrame:
-    """(doc_id, codes): 16-bit codes of a document's words, to align without the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers(BYTE_BASE)
-        for batch in batches:
-            codes = [word_hashes(x, powers).astype(np.uint16).tobytes() for x in byte_rows(batch, 1)]
-            yield pa.record_batch([batch.column(0), pa.array(codes, pa.binary())], ["doc_id", "codes"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, codes binary")
+    return texts.mapInArrow(run, "doc_id long, text_hash long, n_words int, pos int, seed long, link long")
 
 
 def segments(pos: np.ndarray, other: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -158,13 +162,13 @@ def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
 
 
 def common_words(x: np.ndarray, y: np.ndarray) -> int:
-    """Words that agree in the best alignment of two gaps; gaps over 4096 cells are matched greedily."""
-    if not len(x) or not len(y):
+    """Words that agree in the best alignment of two gaps, row by row of the shorter one."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
         return 0
-    if len(x) * len(y) > 4096:
-        return extend(x, y)[2]
     row = np.zeros(len(y) + 1, np.int32)
-    for w in x:
+    for w in x[np.isin(x, y)]:
         step = row.copy()
         np.maximum(step[1:], row[:-1] + (y == w), out=step[1:])
         row = np.maximum.accumulate(step)
@@ -244,97 +248,52 @@ def pieces_of(matches: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, similar
     return sorted(set(found))
 
 
-def matched_pairs(found: DataFrame, docs: DataFrame, left: str, right: str) -> DataFrame:
-    """Matches of each pair of documents and the word codes of both, one document's pairs after each other.
-
-    The join to the document that keeps a passage, of which many others may
-    hold a copy, comes first, so that the pairs are dealt out by the other one.
-    """
-    pairs = cut_lineage(found.groupBy(left, right).agg(F.collect_list(F.struct("pos", "other_pos")).alias("matches")))
-    ids = pairs.select(F.col(left).alias("doc_id")).union(pairs.select(right))
-    codes = with_ids(word_codes(docs), ids).dropDuplicates(["doc_id"])
-    mine = codes.select(F.col("doc_id").alias(left), F.col("codes").alias("x"))
-    theirs = codes.select(F.col("doc_id").alias(right), F.col("codes").alias("y"))
-    return pairs.join(theirs, right).join(mine, left).select(left, right, "matches", "x", "y")
-
-
-def match_array(value: pa.Scalar) -> np.ndarray:
-    both = value.values
-    return np.stack([both.field(0).to_numpy(), both.field(1).to_numpy()], axis=1).astype(np.int64)
-
-
-def islands(pieces: DataFrame, gap: int, least_words: int) -> DataFrame:
-    """Unite pieces of a document that overlap or stand up to ``gap`` words apart.
-
-    Of each union of at least least_words: doc_id, start_word, end_word, the
-    kept document of its longest piece and the lowest similarity of its pieces.
-    A document's pieces are its own repeated passages, so the window is bounded
-    by the document.
-    """
-    by_start = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "kept_doc_id", "kept_start")
-    before = F.max("end_word").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.sum(F.when(F.col("start_word") <= F.col("before") + gap, 0).otherwise(1)).over(by_start)
-    longest: Column = F.max_by(F.struct("kept_doc_id", "kept_start"), F.struct(F.col("end_word") - F.col("start_word"), -F.col("kept_doc_id"), -F.col("kept_start")))
-    united = pieces.withColumn("before", before).withColumn("island", opened).groupBy("doc_id", "island").agg(
-        F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), longest.alias("kept"), F.min("similarity").alias("similarity"), F.sum("n_pieces").alias("n_pieces")
-    )
-    return united.where(F.col("end_word") - F.col("start_word") >= least_words).select(
-        "doc_id", "start_word", "end_word", F.col("kept.kept_doc_id").alias("kept_doc_id"), F.col("kept.kept_start").alias("kept_start"), "similarity", "n_pieces"
-    )
-
-
-PIECE = "doc_id long, start_word int, end_word int, kept_doc_id long, kept_start int, similarity double, n_pieces int"
-
-
-def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
-
-
-def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, k: int = 8, window: int = 16, gap: int = 4) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, k: int = 8, window: int = 16) -> DataFrame:
     """Passages of at least least_words words that an earlier document holds too.
 
     docs: (doc_id, text, ...).  Words are runs of other bytes than ASCII white
-    space, as they stand.  Returns doc_id, start_word, end_word (word offsets,
-    half open), kept_doc_id and kept_start (the place in the document with the
+    space, as they stand.  Returns doc_id, text_hash (xxhash64 of the text that
+    holds the passage), start_word, end_word (word offsets, half open),
+    kept_doc_id, kept_text_hash and kept_start (the place in a document with a
     smaller doc_id, which keeps the passage), similarity (agreeing words by the
-    longer side) and n_pieces (alignments that make up the passage).
-
-    A shared run of k + window - 1 exact words always gives a seed.  Null
-    doc_id or text and texts under least_words have no passages; rows with
-    the same doc_id count as one document; repeats inside one document don't
-    count; an empty table gives an empty result; other columns are ignored.
+    longer side) and n_pieces.
+
+    Each piece has at least least_words words, of which a single kept document
+    holds ``similarity``; pieces that overlap are united to one passage, with
+    the place of the longest and the lowest similarity.  A shared run of
+    k + window - 1 exact words always gives a seed; edited passages are found
+    if a seed outlives the edits.
+
+    Null doc_id or text and texts under least_words have no passages.  Rows
+    with equal doc_id and text count once; different texts of one doc_id are
+    searched each by itself, and what they share with each other doesn't count,
+    nor do repeats inside one text.  An empty table gives an empty result;
+    other columns are ignored.
     """
-    all_seeds = seeds(docs, k, window, least_words)
-    once = all_seeds.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("seed", "first")
-    shared = all_seeds.join(once, "seed")
-    shared = cut_lineage(shared)
-    at = shared.where("doc_id = first").groupBy("seed").agg(F.min("pos").alias("other_pos"))
-    found = shared.where("doc_id <> first").join(at, "seed").select("doc_id", F.col("first").alias("kept_doc_id"), "pos", "other_pos")
+    texts = distinct_texts(docs)
+    all_seeds = written(seeds(texts, k, window, least_words))
+    held = written(all_seeds.join(first_holders(all_seeds, "seed"), "seed"))
+    found = matches_with_first(held, "seed")
+    linked = held.withColumnRenamed("first", "seed_first").where("link is not null")
+    linked = written(linked.join(first_holders(linked, "link"), "link").where("first <> seed_first").drop("seed", "seed_first"))
+    found = found.unionByName(matches_with_first(linked, "link"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for mine, kept, matches, x, y in zip(*batch.columns, strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16)
-                for s, e, t, u, same in pieces_of(match_array(matches), a, b, k, similarity):
-                    rows.append((mine.as_py(), s, e, kept.as_py(), t, same / max(e - s, u - t), 1))
-            if rows:
-                yield piece_batch(rows)
+    def compare(matches: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, float]]:
+        pieces = pieces_of(matches, x, y, k, similarity)
+        return [(s, e, t, same / max(e - s, u - t)) for s, e, t, u, same in pieces if e - s >= least_words]
 
-    pieces = matched_pairs(found, docs, "doc_id", "kept_doc_id").mapInArrow(run, PIECE)
-    return islands(pieces, gap, least_words)
+    return passages_of(found, texts, compare)
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs without the given word spans; n_chars, where there is one, is the new length.
 
-    passages: (doc_id, start_word, end_word).  White space between the words
-    that stay is kept as it is, that behind a cut word goes with it.  A
-    document of which nothing but white space stays is left out.  Documents
+    passages: (doc_id, text_hash, start_word, end_word).  White space between
+    the words that stay is kept as it is, that behind a cut word goes with it.
+    A document of which nothing but white space stays is left out.  Documents
     without passages, null ids and null texts stay as they are.
     """
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start_word").cast("int").alias("s"), F.col("end_word").cast("int").alias("e")))).alias("spans__"))
+    spans = passages.groupBy(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")).agg(F.sort_array(F.collect_list(F.struct(F.col("start_word").cast("int").alias("s"), F.col("end_word").cast("int").alias("e")))).alias("spans__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ambulo.llm.common import word_spans
@@ -357,7 +316,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
             columns = [pa.array(out, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.record_batch(columns, names)
 
-    cut = docs.join(spans, "doc_id", "left").select(*docs.columns, "spans__")
+    cut = docs.join(spans, (docs["doc_id"] == F.col("id__")) & (F.xxhash64(docs["text"]) == F.col("hash__")), "left").select(*docs.columns, "spans__")
     touched = cut.where("spans__ is not null").mapInArrow(run, docs.schema).where(F.trim(F.regexp_replace("text", "[\\t-\\r]", " ")) != "")
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, cut_lineage, minimisers, span_hashes, with_ids, word_hashes
-from ambulo.llm.substrings import PIECE, islands, match_array, matched_pairs, piece_batch, run_length
+from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, distinct_texts, minimisers, span_hashes, with_ids, word_hashes, written
+from ambulo.llm.passages import first_holders, matches_with_first, passages_of
+from ambulo.llm.substrings import run_length
 
+OWNER = ["doc_id", "text_hash"]
 
-def sparse_suffixes(docs: DataFrame, least_words: int, k: int, window: int) -> DataFrame:
-    """(head, chunk, doc_id, pos, start) of the suffixes at minimisers with a whole head.
+
+def sparse_suffixes(texts: DataFrame, least_words: int, k: int, window: int) -> DataFrame:
+    """(doc_id, text_hash, n_words, pos, start, head, chunk) of the suffixes at minimisers with a whole head.
 
     chunk is the hash of all words of the runs that start up to window - 1
     words before the suffix, start where it begins.
@@ -31,8 +34,8 @@ def sparse_suffixes(docs: DataFrame, least_words: int, k: int, window: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes, of_words = Powers(BYTE_BASE), Powers(WORD_BASE)
         for batch in batches:
-            ids, columns = batch.column(0).to_numpy(zero_copy_only=False), []
-            for doc, text in zip(ids, byte_rows(batch, 1), strict=True):
+            columns = []
+            for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch, 2), strict=True):
                 words = word_hashes(text, of_bytes)
                 n = len(words)
                 if n < least_words:
@@ -44,61 +47,53 @@ def sparse_suffixes(docs: DataFrame, least_words: int, k: int, window: int) -> D
                 pos, start = pos[whole], start[whole]
                 heads = span_hashes(words, pos, pos + size, of_words).view(np.int64)
                 chunks = span_hashes(words, start, np.minimum(pos + least_words, n), of_words).view(np.int64)
-                columns.append([heads, chunks, np.full(len(pos), doc), pos.astype(np.int32), start.astype(np.int32)])
+                owner = [np.full(len(pos), v, np.int64) for v in (doc, text_hash)]
+                columns.append([*owner, np.full(len(pos), n, np.int32), pos.astype(np.int32), start.astype(np.int32), heads, chunks])
             if columns:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["head", "chunk", "doc_id", "pos", "start"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["doc_id", "text_hash", "n_words", "pos", "start", "head", "chunk"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "head long, chunk long, doc_id long, pos int, start int")
+    return texts.mapInArrow(run, "doc_id long, text_hash long, n_words int, pos int, start int, head long, chunk long")
 
 
-def runs_at(places: DataFrame, docs: DataFrame, least_words: int, window: int) -> DataFrame:
-    """(run, doc_id, start): hashes of all runs of least_words words that start up to window - 1 words before one of (doc_id, pos)."""
-    places = cut_lineage(places.groupBy("doc_id").agg(F.collect_list("pos").alias("places")))
-    texts = with_ids(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null"), places.select("doc_id"))
+def runs_at(places: DataFrame, texts: DataFrame, least_words: int, window: int) -> DataFrame:
+    """(doc_id, text_hash, n_words, start, run): hashes of all runs of least_words words that start up to window - 1 words before one of (doc_id, text_hash, pos)."""
+    places = written(places.groupBy(*OWNER).agg(F.collect_list("pos").alias("places")))
+    texts = with_ids(texts, places.select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes, of_words = Powers(BYTE_BASE), Powers(WORD_BASE)
         for batch in batches:
-            ids, columns = batch.column(0).to_numpy(zero_copy_only=False), []
-            for doc, text, heads in zip(ids, byte_rows(batch, 1), batch.column(2), strict=True):
+            columns = []
+            for doc, text_hash, text, heads in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch, 2), batch.column(3), strict=True):
                 words = word_hashes(text, of_bytes)
                 starts = np.unique(heads.values.to_numpy()[:, None] - np.arange(window))
                 starts = starts[(starts >= 0) & (starts + least_words <= len(words))]
-                columns.append([span_hashes(words, starts, starts + least_words, of_words).view(np.int64), np.full(len(starts), doc), starts.astype(np.int32)])
+                owner = [np.full(len(starts), v, np.int64) for v in (doc, text_hash)]
+                columns.append([*owner, np.full(len(starts), len(words), np.int32), starts.astype(np.int32), span_hashes(words, starts, starts + least_words, of_words).view(np.int64)])
             if columns:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["run", "doc_id", "start"])
-
-    return texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "run long, doc_id long, start int")
-
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["doc_id", "text_hash", "n_words", "start", "run"])
 
-def with_first(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, doc_id, start, ...) whose key several documents hold, with kept_doc_id and other_pos of its first holder."""
-    first = rows.groupBy(key).agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
-    first = cut_lineage(first.select(key, F.col("at.doc_id").alias("kept_doc_id"), F.col("at.start").alias("other_pos")))
-    return rows.join(first, key, "left")
+    return texts.join(places, OWNER).select(*OWNER, "text", "places").mapInArrow(run, "doc_id long, text_hash long, n_words int, start int, run long")
 
 
-def shared_runs(docs: DataFrame, least_words: int, k: int, window: int) -> DataFrame:
-    """(doc_id, pos, kept_doc_id, other_pos) of runs of least_words words and the first document that holds them.
+def shared_runs(texts: DataFrame, least_words: int, k: int, window: int) -> DataFrame:
+    """Matches (see passages_of) of runs of least_words words with the first document that holds them.
 
     Chunks around shared heads are matched first.  A chunk that an earlier
     document holds stands for its runs, as that one holds them all; only the
     runs of other chunks are hashed one by one, in the chunk's first holder.
     """
-    suffixes = sparse_suffixes(docs, least_words, k, window)
-    several = cut_lineage(suffixes.groupBy("head").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("head"))
-    near = cut_lineage(suffixes.join(several, "head").drop("head"))
-    chunks = cut_lineage(with_first(near, "chunk").drop("chunk"))
-    own = "kept_doc_id is null or doc_id = kept_doc_id"
-    runs = cut_lineage(runs_at(chunks.where(own).select("doc_id", "pos"), docs, least_words, window))
-    found = chunks.where(f"not ({own})").select("doc_id", "start", "kept_doc_id", "other_pos")
-    found = found.unionByName(with_first(runs, "run").where("doc_id <> kept_doc_id").drop("run"))
-    return found.select("doc_id", F.col("start").alias("pos"), "kept_doc_id", "other_pos")
-
-
-def exact_matches(matches: np.ndarray, x: np.ndarray, y: np.ndarray, least_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, start in y) of the maximal runs, of least_words at least, around matches that no run before them holds."""
+    suffixes = written(sparse_suffixes(texts, least_words, k, window))
+    near = suffixes.join(first_holders(suffixes, "head"), "head").drop("head", "first")
+    near = written(near.join(first_holders(near, "chunk"), "chunk", "left"))
+    found = matches_with_first(near.where("first is not null"), "chunk", "start")
+    runs = written(runs_at(near.where("first is null or doc_id = first").select(*OWNER, "pos"), texts, least_words, window))
+    held = runs.join(first_holders(runs, "run"), "run")
+    return found.unionByName(matches_with_first(held, "run", "start"))
+
+
+def exact_matches(matches: np.ndarray, x: np.ndarray, y: np.ndarray, least_words: int) -> list[tuple[int, int, int, float]]:
+    """(start, end, start in y, 1.0) of the maximal runs, of least_words at least, around matches that no run before them holds."""
     found, reach = [], 0
     for a, b in matches[np.lexsort((matches[:, 1], matches[:, 0]))].tolist():
         if a + least_words <= reach:
@@ -106,23 +101,9 @@ def exact_matches(matches: np.ndarray, x: np.ndarray, y: np.ndarray, least_words
         left = run_length(x[:a][::-1], y[:b][::-1])
         right = run_length(x[a:], y[b:])
         if left + right >= least_words:
-            found.append((a - left, a + right, b - left))
+            found.append((a - left, a + right, b - left, 1.0))
             reach = max(reach, a + right)
-    return sorted(found)
-
-
-def unite(spans: set[tuple[int, int, int, int]]) -> list[tuple]:
-    """Unions of overlapping (start, end, kept_doc_id, kept_start) with the place of the longest one, similarity and number."""
-    out: list[list] = []
-    for s, e, kept, at in sorted(spans):
-        if out and s <= out[-1][1]:
-            last = out[-1]
-            last[1], last[5] = max(last[1], e), last[5] + 1
-            if (e - s, -kept, -at) > last[6]:
-                last[2:4], last[6] = [kept, at], (e - s, -kept, -at)
-        else:
-            out.append([s, e, kept, at, 1.0, 1, (e - s, -kept, -at)])
-    return [tuple(x[:6]) for x in out]
+    return found
 
 
 def repeated_substrings(docs: DataFrame, least_words: int = 50, k: int = 8, window: int = 20) -> DataFrame:
@@ -130,7 +111,8 @@ def repeated_substrings(docs: DataFrame, least_words: int = 50, k: int = 8, wind
 
     docs: (doc_id, text, ...).  Words are runs of other bytes than ASCII white
     space.  Returns for each passage of the document with the larger doc_id:
-    doc_id, start_word, end_word (half open), kept_doc_id and kept_start (the
+    doc_id, text_hash (xxhash64 of the text that holds it), start_word,
+    end_word (half open), kept_doc_id, kept_text_hash and kept_start (the
     longest match among the documents that are the first to hold a run of
     least_words words of it), similarity (1.0) and n_pieces (matches that
     overlap to make up the passage).
@@ -140,26 +122,10 @@ def repeated_substrings(docs: DataFrame, least_words: int = 50, k: int = 8, wind
     the head has several holders and the run is hashed in all of them.  The
     spans are those of brute force, however many documents share a head.
 
-    Null doc_id or text and short texts have none; rows with the same doc_id
-    count as one document; an empty table gives an empty result; other columns
-    are ignored.
+    Null doc_id or text and short texts have none.  Rows with equal doc_id and
+    text count once; different texts of one doc_id are searched each by itself,
+    and what they share with each other doesn't count.  An empty table gives an
+    empty result; other columns are ignored.
     """
-    found = shared_runs(docs, least_words, k, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, spans, rows = None, set(), []
-        for batch in batches:
-            for mine, kept, matches, x, y in zip(*batch.columns, strict=True):
-                if mine.as_py() != doc:
-                    rows += [(doc, *piece) for piece in unite(spans)]
-                    doc, spans = mine.as_py(), set()
-                a, b = np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16)
-                spans |= {(s, e, kept.as_py(), t) for s, e, t in exact_matches(match_array(matches), a, b, least_words)}
-            if rows:
-                yield piece_batch(rows)
-                rows = []
-        if spans:
-            yield piece_batch([(doc, *piece) for piece in unite(spans)])
-
-    pieces = matched_pairs(found, docs, "doc_id", "kept_doc_id").mapInArrow(run, PIECE)
-    return islands(pieces, 0, least_words)
+    texts = distinct_texts(docs)
+    return passages_of(shared_runs(texts, least_words, k, window), texts, lambda matches, x, y: exact_matches(matches, x, y, least_words))

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ambulo.llm.substrings import chains, cut_passages, repeated_passages
+from ambulo.llm.substrings import chains, common_words, cut_passages, repeated_passages
 from ambulo.llm.suffixes import repeated_substrings
 
 SCHEMA = "doc_id long, text string, seed string, pos string, matches int, n_chars long"
@@ -117,5 +119,54 @@ def test_nulls_empty_tables_and_clashing_names(spark, operator):
 def test_cutting(spark):
     docs = spark.createDataFrame([(1, "a  b\tc d e", "s", "p", 1, 9), (2, " x y ", "s", "p", 1, 5), (3, None, "", "", 0, None), (None, "q r", "", "", 0, 3), (4, "k l", "", "", 0, 3)], SCHEMA)
     spans = spark.createDataFrame([(1, 1, 2), (1, 3, 4), (2, 0, 2), (9, 0, 1)], "doc_id long, start_word int, end_word int")
+    spans = spans.join(docs.select("doc_id", F.xxhash64("text").alias("text_hash")), "doc_id")
     found = {(r.doc_id, r.text, r.n_chars) for r in cut_passages(docs, spans).collect()}
     assert found == {(1, "a  c e", 6), (3, None, None), (None, "q r", 3), (4, "k l", 3)}
+
+
+@pytest.mark.parametrize("operator", [repeated_passages, repeated_substrings])
+@pytest.mark.parametrize("swapped", [False, True])
+def test_two_texts_of_one_id(spark, operator, swapped):
+    rng = random.Random(12)
+    passage, long = prose(rng, 80), prose(rng, 400)
+    rows = [(1, " ".join(passage)), (2, "short"), (2, " ".join(long + passage)), (2, " ".join(passage[5:])), (2, " ".join(passage[5:]))]
+    rows = rows[::-1] if swapped else rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = operator(docs)
+    spans = {(r.text, r.start_word, r.end_word, r.kept_doc_id) for r in found.join(docs.distinct().withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"]).collect()}
+    assert spans == {(" ".join(long + passage), 400, 480, 1), (" ".join(passage[5:]), 0, 75, 1)}
+    left = cut_passages(docs, found).collect()
+    assert sorted(r.text for r in left) == sorted([" ".join(passage), "short", " ".join(long) + " "])
+
+
+def test_pieces_of_different_documents_are_no_passage(spark):
+    rng = random.Random(13)
+    phrases = [prose(rng, 20) for _ in range(4)]
+    rows = [(i, " ".join(prose(rng, 60) + p + prose(rng, 40))) for i, p in enumerate(phrases)]
+    rows.append((9, " ".join(prose(rng, 100) + sum(phrases, []) + prose(rng, 30))))
+    assert repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("between", [0, 3, 6])
+def test_passage_of_two_frequent_lines_meets_the_text_that_joins_them(spark, between):
+    rng = random.Random(14 + between)
+    rows = []
+    for _ in range(30):
+        lines = [prose(rng, 30), prose(rng, 30)]
+        own = prose(rng, between)
+        rows += [(len(rows) + i, " ".join(prose(rng, 25) + line + prose(rng, 25))) for i, line in enumerate(lines)]
+        rows += [(len(rows) + i, " ".join(prose(rng, 25) + lines[0] + own + lines[1] + prose(rng, 25))) for i in range(2)]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert covered(found) == {i: list(range(25, 85 + between)) for i in range(3, 120, 4)}
+    assert all(r.kept_doc_id == r.doc_id - 1 for r in found)
+
+
+def test_gaps_of_any_size_are_aligned_alike():
+    rng = np.random.default_rng(3)
+    for size in (5, 200):
+        x, y = rng.integers(0, 50, size), rng.integers(0, 50, size + 7)
+        table = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                table[i + 1, j + 1] = table[i, j] + 1 if a == b else max(table[i, j + 1], table[i + 1, j])
+        assert common_words(x, y) == common_words(y, x) == table[-1, -1]
