@@ -56,9 +56,10 @@ def format_chats(turns: DataFrame) -> DataFrame:
     the result, so its rows meet in one task; it can't exceed Spark's 2 GB for
     a value.
     """
-    rows = turns.select("conv_id", F.struct("turn", escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
+    rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     collected = rows.groupBy("conv_id").agg(F.collect_list("t").alias("t"))
-    sorted_turns = once(collected, "turns", F.sort_array("t")).drop("t")
+    escaped = F.transform(F.sort_array("t"), lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    sorted_turns = once(collected, "turns", escaped).drop("t")
     n = F.size("turns")
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
     runs = once(sorted_turns.withColumn("n_turns", n.cast("long")), "starts", starts)

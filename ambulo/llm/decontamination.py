@@ -1,11 +1,18 @@
 """Benchmark decontamination with Spark expressions only.
 
-Windows of a document that are as long as a benchmark item, set against it
-where they share a word shingle, get a SimHash fingerprint.  Items and windows
-meet in multi-index Hamming blocks: of eight blocks of eight bits at least one
-differs in at most two bits if the fingerprints differ in at most 23, so every
-pair in the radius is met.  Of those pairs the weighted similarity of the
-shingles is computed.
+Windows of a document that are as long as a benchmark item get a SimHash
+fingerprint.  Items and windows meet in multi-index Hamming blocks: of eight
+blocks of eight bits at least one differs in at most two bits if the
+fingerprints differ in at most 23, so every pair in the radius is met.  Of
+those pairs the weighted similarity of the shingles is computed.
+
+Which windows get a fingerprint is decided first, by a join on word shingles:
+only those that set an item's shingle on its place in the item, as any other
+window shares no shingle in its place (similarity 0 if it shares none at all).
+So the shingle join selects, and the guarantee of the blocks is that of the
+filter behind it: no pair within the radius is lost there.  A fingerprint of
+each window of each item's length at each word, without that selection, would
+be some hundred fingerprints a word.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ambulo.llm.common import once
+from ambulo.llm.common import once, written
 
 #: Hamming radius and the blocks that guarantee it: BLOCKS * (NEAR_BITS + 1) - 1.
 BLOCKS, BLOCK_BITS, NEAR_BITS = 8, 8, 2
@@ -51,12 +58,21 @@ def near_values() -> list[int]:
     return [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= NEAR_BITS]
 
 
-def weighted_similarity(a: str, b: str) -> Column:
-    """Sum of the smaller by sum of the larger counts of two arrays' values."""
-    both = F.array_distinct(F.array_intersect(a, b))
+def common_count(a: str, b: str) -> Column:
+    """Size of the multiset intersection of two arrays.
+
+    Values held by both count once; what either repeats beyond that, mostly
+    nothing, is counted value by value.
+    """
+
+    def repeats(x: str) -> Column:
+        order = F.sort_array(x)
+        return F.when(F.size(F.array_distinct(x)) < F.size(x), F.filter(order, lambda v, i: (i > 0) & (v == F.get(order, i - 1)))).otherwise(F.slice(x, 1, 0))
+
+    more, other = repeats(a), repeats(b)
     count = lambda x, v: F.size(F.filter(x, lambda h: h == v))
-    common = F.aggregate(both, F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)))
-    return common / (F.size(a) + F.size(b) - common)
+    rest = F.aggregate(F.array_intersect(more, other), F.lit(0), lambda acc, v: acc + F.least(count(more, v), count(other, v)))
+    return F.size(F.array_intersect(a, b)) + F.when((F.size(more) > 0) & (F.size(other) > 0), rest).otherwise(0)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -77,25 +93,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, similar
     empty result; other columns are ignored.
 
     The benchmark is the query set: its shingles are broadcast in groups of at
-    most SHINGLES_AT_ONCE, over each of which the documents are read once.
+    most SHINGLES_AT_ONCE.  With several groups the documents' word hashes are
+    written once and read for each.
     """
     hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
     items = benchmark.select("item_id", hashed.alias("w")).where("size(w) > 0").distinct()
     items = items.withColumn("own_width", F.least(F.size("w"), F.lit(width)))
     widths = [r[0] for r in items.select("own_width").distinct().orderBy("own_width").collect()]  # at most ``width`` values
     docs_w = once(docs.select("doc_id", "text"), "w", hashed).drop("text")
-    found = []
+    groups_of = []
     for own in widths:
         with_shingles = once(items.where(F.col("own_width") == own), "s", shingle_hashes("w", own))
         n = with_shingles.agg(F.sum(F.size("s"))).first()[0]
         groups = -(-n // SHINGLES_AT_ONCE)
         for group in range(groups):
             part = with_shingles.where(F.pmod(F.xxhash64("item_id", "s"), F.lit(groups)) == group)
-            found.append(_windows_in(docs_w, part, own, similarity))
-    if not found:
+            groups_of.append((part, own))
+    if not groups_of:
         empty = docs.select("doc_id").join(benchmark.select("item_id").limit(0), F.lit(True)).limit(0)
         return empty.select("doc_id", "item_id", F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
-    pairs = reduce(DataFrame.unionByName, found)
+    if len(groups_of) > 1:
+        docs_w = written(docs_w)
+    pairs = reduce(DataFrame.unionByName, [_windows_in(docs_w, part, own, similarity) for part, own in groups_of])
     best = F.max_by(F.struct("start_word", "n_words", "similarity"), F.struct("similarity", -F.col("start_word"))).alias("best")
     return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.start_word", "best.n_words", "best.similarity")
 
@@ -112,13 +131,15 @@ def _windows_in(docs_w: DataFrame, items: DataFrame, width: int, similarity: flo
     by_block = with_blocks(once(windows.distinct(), "fp", simhash("window")), "fp")
 
     masks = F.array(*[F.lit(m) for m in near_values()])
-    prints = items.select("item_id", F.size("s").alias("m"), F.col("s").alias("item"))
-    prints = with_blocks(once(prints, "item_fp", simhash("item")), "item_fp")
-    # 8 blocks and 37 masks for each item of a group: bounded like its shingles
-    prints = prints.select("item_id", "m", "item", "item_fp", "block", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    keyed = items.select(F.xxhash64("item_id", "s").alias("item_key"), "item_id", F.size("s").alias("m"), F.col("s").alias("item"))
+    prints = with_blocks(once(keyed, "item_fp", simhash("item")).drop("item", "item_id"), "item_fp")
+    # 8 blocks and 37 masks for each item of a group, without its text: bounded like its shingles
+    prints = prints.select("item_key", "m", "item_fp", "block", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
     met = by_block.join(prints, ["m", "block", "value"])
     gap = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     # Of the blocks in which a pair meets only the first counts.
     earlier = F.expr(f"exists(sequence(0, {BLOCKS - 1}), i -> i < block and bit_count(shiftrightunsigned(fp ^ item_fp, i * {BLOCK_BITS}) & 255) <= {NEAR_BITS})")
-    met = once(met.where((gap <= RADIUS) & ~earlier), "similarity", weighted_similarity("window", "item"))
+    met = met.where((gap <= RADIUS) & ~earlier).select("doc_id", "start", "window", "item_key").join(keyed.drop("m"), "item_key")
+    met = once(met, "common", common_count("window", "item"))
+    met = met.withColumn("similarity", F.col("common") / (F.size("window") + F.size("item") - F.col("common")))
     return met.where(F.col("similarity") >= similarity).select("doc_id", "item_id", F.col("start").alias("start_word"), (F.size("window") + width - 1).alias("n_words"), "similarity")

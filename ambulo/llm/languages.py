@@ -134,8 +134,8 @@ def train(languages_of: list[str], x: np.ndarray) -> LanguageModel | None:
     return LanguageModel(languages, families, *stack(one_against_rest), pairs, *stack(machines))
 
 
-def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel | None:
-    """Learn from at most per_language rows of each language that aren't held out."""
+def fit(docs: DataFrame, per_language: int = 500, most_rows: int = 10_000) -> LanguageModel | None:
+    """Learn from at most per_language rows of each language, most_rows in all, that aren't held out."""
     labelled = docs.where(~held_out("doc_id", 4, 2) & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("label"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel | None:
                 rows = [(a, x) for a, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()), strict=True) if (x := features(t.as_py())) is not None]
                 yield pa.record_batch([pa.array([a for a, _ in rows], pa.string()), pa.array([x.astype(np.float16).tobytes() for _, x in rows], pa.binary())], ["label", "x"])
 
-    rows = label_sample(labelled, per_language).select("label", "text").mapInArrow(run, "label string, x binary").collect()
+    rows = label_sample(labelled, per_language, most_rows).select("label", "text").mapInArrow(run, "label string, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.label, r.x))
@@ -153,18 +153,18 @@ def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel | None:
     return train([r.label for r in rows], x)
 
 
-def identify(docs: DataFrame, model: LanguageModel | None = None, per_language: int = 500) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel | None = None, per_language: int = 500, most_rows: int = 10_000) -> DataFrame:
     """Predict the language of every whole text of docs (doc_id, text, lang, ...).
 
     Returns doc_id, held_out, lang_pred and score.  lang_pred is ``und`` with
     score 0 where the text is null or has no letter, or nothing could be
     learned.  Only the text enters a prediction.  The model, if none is given,
-    comes from at most per_language rows of each language whose
-    crc32(doc_id) mod 4 isn't 2; a null doc_id isn't held out.  Repeated rows
+    comes from at most per_language rows of each language, and most_rows in
+    all, whose crc32(doc_id) mod 4 isn't 2; a null doc_id isn't held out.  Repeated rows
     get equal predictions; an empty table an empty result; other columns are
     ignored.
     """
-    model = model or fit(docs, per_language)
+    model = model or fit(docs, per_language, most_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

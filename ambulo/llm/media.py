@@ -1,9 +1,10 @@
 """Media columns: texts as WAV clips with spectral-peak fingerprints.
 
 A clip is stored as the bytes of a WAV file (mono, 8 bits).  Decoding reads it
-with the wave module, takes short-time Fourier transforms, keeps the strongest
-peak of each frame's band and pairs each peak with the next ones.  A pair of
-frequencies and their distance in time make one code, stored with its time.
+with the wave module, takes short-time Fourier transforms of frames that don't
+overlap, keeps the strongest bin of each frame as its one peak and pairs each
+peak with those of the next frames.  A pair of frequencies and their distance
+in time make one code, stored with its time.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ RATE = 8000
 FRAME = 256
 #: Frames after a peak whose peaks it is paired with.
 FAN_OUT = 3
+#: Clips of a batch that are held at a time.
+AT_ONCE = 256
 
 
 def pad(text: bytes) -> bytes:
@@ -54,12 +57,12 @@ def peak_pairs(samples: bytes, chunk: int = 2048) -> tuple[np.ndarray, np.ndarra
     """(time, code) arrays: frame numbers and 32-bit codes of the pairs of spectral peaks."""
     x = np.frombuffer(samples, np.uint8)
     x = np.pad(x, (0, -len(x) % FRAME), constant_values=128)
-    window = np.hanning(FRAME).astype(np.float32)
+    window = np.hanning(FRAME)
     frames, peaks = x.reshape(-1, FRAME), []
     for i in range(0, len(frames), chunk):
-        part = (frames[i : i + chunk].astype(np.float32) - 128) * window
-        power = np.abs(np.fft.rfft(part, axis=1))
-        peaks.append(power[:, 1:].argmax(axis=1) + 1)
+        power = np.abs(np.fft.rfft((frames[i : i + chunk] - 128.0) * window, axis=1))
+        # in steps of a relative 2**-20, so that rounding doesn't decide between equal peaks: the lowest one counts
+        peaks.append(np.round(np.log2(power[:, 1:] + 1e-3) * 2**20).argmax(axis=1) + 1)
     peak = np.concatenate(peaks).astype(np.int64)
     times, codes = [], []
     for ahead in range(1, FAN_OUT + 1):
@@ -82,9 +85,11 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = list(byte_rows(batch, 1))
-            media = pa.array([to_wav(pad(t)) for t in texts], pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), media], ["doc_id", "n_bytes", "media"])
+            for i in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(i, AT_ONCE)
+                texts = list(byte_rows(part, 1))
+                media = pa.array([to_wav(pad(t)) for t in texts], pa.binary())
+                yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -102,8 +107,8 @@ def decode_media(clips: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(i, AT_ONCE)
                 rows = []
                 for media in part.column(2):
                     data = media.as_py()
@@ -120,5 +125,6 @@ def decode_media(clips: DataFrame) -> DataFrame:
 
 
 def feature_digest(times: str = "times", codes: str = "codes") -> Column:
-    """A short text for a fingerprint: its number of pairs and a hash of the arrays."""
-    return F.concat_ws(":", F.size(times), F.lower(F.lpad(F.hex(F.xxhash64(times, codes)), 16, "0")))
+    """A short text for a fingerprint: its number of pairs and a digest of all ``time:code`` pairs."""
+    pairs = F.array_join(F.transform(F.arrays_zip(F.col(times).alias("t"), F.col(codes).alias("c")), lambda p: F.concat(p["t"].cast("string"), F.lit(":"), p["c"].cast("string"))), ",")
+    return F.concat_ws(":", F.size(times), F.sha2(pairs, 256))

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy slot schedule.
 
 All words of the mix are dealt out in slots of equal size.  Slot i takes the
-point frac(i * golden ratio); the source whose stretch of the cumulative
+point frac(i * golden ratio), in exact 32-bit arithmetic; the source whose stretch of the cumulative
 weights holds the point fills the slot.  Slots are ranked per source, each
 source's shuffled documents are laid end to end and repeated as one stream,
 and its slot of rank r takes the stream's r-th block.
@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from ambulo.llm.common import cut_lineage
 
-#: Fractional part of the golden ratio (a fixed value).
-GOLDEN = 0.6180339887498949
-#: Words in a slot, and the least number of slots of a small mix.
-SLOT_WORDS, LEAST_SLOTS = 2048, 1 << 16
+#: 2**32 divided by the square of the golden ratio, rounded to an odd number (a fixed value).
+GOLDEN = 1640531527
+#: Words in a slot.
+SLOT_WORDS = 1024
 #: A source's words in the mix are at most so many times its own.
 MOST_REPEATS = 3
-#: Ranges of the shuffle order and of slots that one task sums up.
-RANGES, SLOT_RANGE = 4096, 1 << 16
+#: Hexadecimal digits that split the shuffle order into ranges (4096 a source), and slots whose ranks are counted together.
+RANGE_DIGITS, SLOT_RANGE = 3, 1 << 12
 
 
 def word_count(text: Column) -> Column:
@@ -87,8 +87,8 @@ def slots(targets: DataFrame, total: int, slot_words: int) -> DataFrame:
     bounds = bounds.select("place", F.try_divide(F.coalesce(F.lag("upto").over(by_place), F.lit(0.0)), F.col("all")).alias("low"), F.try_divide(F.col("upto"), F.col("all")).alias("high"), F.ceil(F.col("target") / slot_words).alias("need"))
     # Points meet weights by thousandths: a stretch and a point share one, and the exact bounds decide.
     cells = bounds.select("*", F.explode(F.sequence(F.floor(F.col("low") * 1000), F.floor(F.col("high") * 1000))).alias("cell"))
-    turn = F.col("slot") * F.lit(GOLDEN)
-    points = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", turn - F.floor(turn)).withColumn("cell", F.floor(F.col("point") * 1000))
+    point = F.pmod(F.pmod("slot", F.lit(1 << 32)) * GOLDEN, F.lit(1 << 32)) / F.lit(2.0**32)
+    points = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", F.floor(F.col("point") * 1000))
     dealt = points.join(cells, "cell").where("point >= low and point < high").select("slot", "place", "need", F.floor(F.col("slot") / SLOT_RANGE).alias("stretch"))
     ranked = running(dealt, ["place"], "stretch", [F.col("slot")], F.lit(1), "rank").where("rank < need").select("place", "rank", "slot")
     had = ranked.groupBy("place").agg(F.count("*").alias("had"))
@@ -99,27 +99,26 @@ def slots(targets: DataFrame, total: int, slot_words: int) -> DataFrame:
     return ranked.unionByName(last)
 
 
-def mix(docs: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, seed: int = 42, slot_words: int = SLOT_WORDS) -> tuple[DataFrame, DataFrame]:
     """Mix the documents of docs (doc_id, text, source, ...) to their sources' targets.
 
-    Returns two tables.  The first has one row a document: row_id (place of its
-    source and offset of its words in that source's stream), doc_id, size
-    (words), source_size, target, place, at (that offset).  The second is the
-    mix: slot, place, rank, at, doc_id, first_word, words: what each slot takes
-    of which document, in stream order of offsets.
+    Returns two tables.  The first has one row a document: doc_id, size
+    (words), source_size, target, place (of its source), at (offset of its
+    words in that source's stream).  The second is the mix: slot, place, rank,
+    at, doc_id, first_word, words, offset: what each slot of slot_words words
+    takes of which document, in stream order of offsets.
 
     Null sources are one source, the last.  A null text and one without words
-    have size 0 and are never taken.  Documents are shuffled by a hash of
-    doc_id, text size and seed; rows that are equal in these may swap, which
+    have size 0 and are never taken.  Documents are shuffled by a digest of
+    seed, doc_id and size; rows that are equal in these may swap, which
     changes nothing but which of two like rows is taken.  An empty table gives
     empty results.  Other columns are ignored.
     """
     sized = cut_lineage(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")))
     targets = cut_lineage(source_targets(sized))
     total = sized.agg(F.sum("size")).first()[0] or 0
-    slot_words = max(1, min(SLOT_WORDS, total // LEAST_SLOTS))
-    hashed = sized.withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed)))
-    hashed = hashed.withColumn("range", F.shiftright("h", 64 - (RANGES.bit_length() - 1)))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
+    hashed = sized.withColumn("h", digest).withColumn("range", F.substring("h", 1, RANGE_DIGITS))
     # one row for each source; joined by size as Spark sees fit
     placed = hashed.join(targets, hashed["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "source_size", "target", "place", "h", "range")
     placed = running(placed, ["place"], "range", [F.col("h"), F.col("doc_id"), F.col("size")], F.col("size"), "at")
@@ -139,10 +138,16 @@ def mix(docs: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     return placed, blocks.join(slots(targets, total, slot_words), ["place", "rank"]).select("slot", "place", "rank", "at", "doc_id", "first_word", "words", "offset")
 
 
-def mix_report(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each document: taken sums up the mix's pieces of it."""
-    placed, taken = mix(docs, seed)
-    words = taken.groupBy("place", "at").agg(F.sum("words").alias("taken"))
+def mix_report(docs: DataFrame, seed: int = 42, slot_words: int = SLOT_WORDS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, slots, first_slot) of each document.
+
+    taken sums up the mix's pieces of it, slots counts them and first_slot is
+    the first slot of the schedule that takes some (null if none does).
+    """
+    placed, pieces = mix(docs, seed, slot_words)
+    words = pieces.groupBy("place", "at").agg(F.sum("words").alias("taken"), F.count("*").alias("slots"), F.min("slot").alias("first_slot"))
     # Of the rows at one offset only one has words; the others take none.
-    joined = placed.where("size > 0").join(words, ["place", "at"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return joined.unionByName(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+    joined = placed.where("size > 0").join(words, ["place", "at"], "left")
+    joined = joined.unionByName(placed.where("size = 0"), allowMissingColumns=True)
+    none = F.lit(0).cast("long")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", none).cast("long").alias("taken"), F.coalesce("slots", none).alias("slots"), "first_slot")

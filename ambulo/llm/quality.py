@@ -86,7 +86,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 12, epochs:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1000) -> QualityModel | None:
     """Learn from at most per_label documents of each label that aren't held out."""
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label")).where("label in (0, 1)")
-    marks = label_sample(marks.where(~held_out("doc_id", 3, 1)), per_label)
+    marks = label_sample(marks.where(~held_out("doc_id", 3, 1)), per_label, 2 * per_label)
     # at most two labels' samples: rows of a proven bound
     labelled = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(marks), "doc_id").select("label", "text")
 

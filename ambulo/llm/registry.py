@@ -37,11 +37,11 @@ WITH t AS (
 marked AS (
   SELECT *, regexp_replace(regexp_replace(text, '\[(\\*)(/?(?:SYS|INST|ROLE)|ANS|SAYS|NEXT)\]', '[\\\1\2]', 'g'), '<(\\*)(/?s)>', '<\\\1\2>', 'g') AS escaped,
     coalesce(lag(role) OVER w <> role, TRUE) AS first_in_run, coalesce(lead(role) OVER w <> role, TRUE) AS last_in_run
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (3 + sum(length(escaped) + CASE WHEN NOT first_in_run THEN 6 WHEN role = 'user' THEN 6 WHEN role IN ('assistant', 'system') THEN 5 ELSE 12 + length(role) END
     + CASE WHEN NOT last_in_run THEN 0 WHEN role = 'user' THEN 7 WHEN role = 'assistant' THEN 4 WHEN role = 'system' THEN 6 ELSE 7 END))::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id

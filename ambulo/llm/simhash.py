@@ -181,7 +181,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, shard_size: int = 1 <<
             index, shard, home = route(fps.view(np.uint64), vantage, sphere, radius)
             yield pa.record_batch([pa.array(shard), pa.array(fps[index]), pa.array(home)], ["shard", "fp", "home"])
 
-    dealt = prints.mapInArrow(deal, "shard long, fp long, home boolean")
+    dealt = cut_lineage(prints.mapInArrow(deal, "shard long, fp long, home boolean"))
     blocks = dealt.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = dealt.join(blocks, "shard")
     asks = dealt.select("shard", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("part"), "fp", F.lit(False).alias("member"))

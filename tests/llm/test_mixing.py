@@ -52,7 +52,7 @@ def test_mix_of_documents(spark):
 
 def test_slots_interleave_sources_evenly(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    _, pieces = mix(docs)
+    _, pieces = mix(docs, slot_words=4)
     rows = pieces.groupBy("slot").agg(F.first("place").alias("place"), F.count_distinct("place").alias("n"), F.sum("words").alias("words")).orderBy("slot").collect()
     assert all(r.n == 1 for r in rows)
     half = rows[: len(rows) // 2]
