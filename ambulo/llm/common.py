@@ -63,6 +63,13 @@ def byte_rows(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, so that a worker holds the results of few texts at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 #: Bits of the filter by doc_id.
 ID_BITS = 1 << 20
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ambulo.llm.common import byte_rows
+from ambulo.llm.common import byte_rows, parts_of
 
 UNIT = 192
 RATE = 8000
@@ -84,12 +84,10 @@ def encode_media(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(i, AT_ONCE)
-                texts = list(byte_rows(part, 1))
-                media = pa.array([to_wav(pad(t)) for t in texts], pa.binary())
-                yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), media], ["doc_id", "n_bytes", "media"])
+        for part in parts_of(batches, AT_ONCE):
+            texts = list(byte_rows(part, 1))
+            media = pa.array([to_wav(pad(t)) for t in texts], pa.binary())
+            yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 

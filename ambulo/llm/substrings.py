@@ -18,18 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, distinct_texts, minimisers, mix64, span_hashes, word_hashes, written
+from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, distinct_texts, minimisers, mix64, parts_of, span_hashes, word_hashes, written
 from ambulo.llm.passages import first_holders, matches_with_first, passages_of
 
 #: Words between two seeds on one diagonal that still count as one segment.
 SEGMENT_GAP = 32
+#: Words of a run that is matched inside a pair of documents.
+ANCHOR = 4
 #: Words that must agree after an edit for an alignment to go on.
 AFTER_EDIT = 4
 #: Gap cost for each word skipped on either side.
 GAP_COST = 0.5
 
 
-def seeds(texts: DataFrame, k: int = 8, window: int = 16, least_words: int = 50) -> DataFrame:
+def seeds(texts: DataFrame, k: int = 6, window: int = 12, least_words: int = 50) -> DataFrame:
     """(doc_id, text_hash, n_words, pos, seed, link) of each minimiser; texts under least_words have none.
 
     link is the hash of the seed, the next one and the words between their
@@ -38,7 +40,7 @@ def seeds(texts: DataFrame, k: int = 8, window: int = 16, least_words: int = 50)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes, of_words = Powers(BYTE_BASE), Powers(WORD_BASE)
-        for batch in batches:
+        for batch in parts_of(batches):
             places, values, links, counts, sizes = [], [], [], [], []
             for text in byte_rows(batch, 2):
                 words = word_hashes(text, of_bytes)
@@ -143,6 +145,16 @@ def run_length(x: np.ndarray, y: np.ndarray) -> int:
     return n
 
 
+def without_nested(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Segments, by start, without those that another one on the same diagonal covers."""
+    out, reach = [], {}
+    for a, end, b in sorted(parts, key=lambda p: (p[0], -p[1])):
+        if end > reach.get(b - a, -1):
+            out.append((a, end, b))
+            reach[b - a] = end
+    return out
+
+
 def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
     """(words of x, words of y, words that agree) of a greedy alignment from the front.
 
@@ -225,10 +237,29 @@ def sub_chains(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray,
     return found
 
 
+def anchors(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places (in x, in y) of the runs of ANCHOR words that each of two documents holds exactly once."""
+    powers, sides = Powers(WORD_BASE), []
+    for words in (x, y):
+        at = np.arange(len(words) - ANCHOR + 1)
+        value, first, count = np.unique(span_hashes(words, at, at + ANCHOR, powers), return_index=True, return_counts=True)
+        sides.append((value[count == 1], first[count == 1]))
+    (a, at), (b, other) = sides
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return np.stack([at[i], other[j]], axis=1)
+
+
 def pieces_of(matches: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
-    """Alignments of two documents with enough agreeing words, by start; of nested ones the outer."""
+    """Alignments of two documents with enough agreeing words, by start; of nested ones the outer.
+
+    Seeds bring two documents together; between them shorter words runs that
+    occur once in both are matched too, so that a chain goes on through edits.
+    """
     found = []
-    for chain in chains(segments(matches[:, 0], matches[:, 1], k)):
+    parts = segments(matches[:, 0], matches[:, 1], k)
+    if min(len(x), len(y)) >= ANCHOR and len(close := anchors(x, y)):
+        parts = without_nested(sorted({*parts, *segments(close[:, 0], close[:, 1], ANCHOR)}))
+    for chain in chains(parts):
         if any(s <= chain[0][0] and chain[-1][1] <= e for s, e, *_ in found):
             continue
         piece = align(chain, x, y)
@@ -248,7 +279,7 @@ def pieces_of(matches: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, similar
     return sorted(set(found))
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, k: int = 8, window: int = 16) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, k: int = 6, window: int = 12) -> DataFrame:
     """Passages of at least least_words words that an earlier document holds too.
 
     docs: (doc_id, text, ...).  Words are runs of other bytes than ASCII white

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, distinct_texts, minimisers, span_hashes, with_ids, word_hashes, written
+from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, distinct_texts, minimisers, parts_of, span_hashes, with_ids, word_hashes, written
 from ambulo.llm.passages import first_holders, matches_with_first, passages_of
 from ambulo.llm.substrings import run_length
 
@@ -33,7 +33,7 @@ def sparse_suffixes(texts: DataFrame, least_words: int, k: int, window: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes, of_words = Powers(BYTE_BASE), Powers(WORD_BASE)
-        for batch in batches:
+        for batch in parts_of(batches):
             columns = []
             for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch, 2), strict=True):
                 words = word_hashes(text, of_bytes)
@@ -62,7 +62,7 @@ def runs_at(places: DataFrame, texts: DataFrame, least_words: int, window: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes, of_words = Powers(BYTE_BASE), Powers(WORD_BASE)
-        for batch in batches:
+        for batch in parts_of(batches):
             columns = []
             for doc, text_hash, text, heads in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_rows(batch, 2), batch.column(3), strict=True):
                 words = word_hashes(text, of_bytes)
@@ -88,7 +88,7 @@ def shared_runs(texts: DataFrame, least_words: int, k: int, window: int) -> Data
     near = written(near.join(first_holders(near, "chunk"), "chunk", "left"))
     found = matches_with_first(near.where("first is not null"), "chunk", "start")
     runs = written(runs_at(near.where("first is null or doc_id = first").select(*OWNER, "pos"), texts, least_words, window))
-    held = runs.join(first_holders(runs, "run"), "run")
+    held = written(runs.join(first_holders(runs, "run"), "run"))
     return found.unionByName(matches_with_first(held, "run", "start"))
 
 
