@@ -44,6 +44,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(doc_id long, text_hash long, text): each text of a doc_id once; rows with a null in either are left out.
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ambulo.llm.labelled import held_out, label_sample
 
@@ -165,15 +166,20 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, per_language:
     ignored.
     """
     model = model or fit(docs, per_language, most_rows)
+    return with_language(docs.select(F.col("doc_id").cast("long"), held_out("doc_id", 4, 2).alias("held_out"), "text"), model).drop("text")
+
+
+def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """docs with columns lang_pred and score behind their own: a prediction for each row's text."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column(2).cast(pa.binary()):
+            for text in batch.column(at).cast(pa.binary()):
                 x = features(text.as_py()) if model and text.is_valid else None
                 out.append(("und", 0.0) if x is None else model.predict(x))
             langs, scores = zip(*out, strict=True) if out else ((), ())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out("doc_id", 4, 2).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -9,7 +9,9 @@ queries in batches and reports a spanning forest of the links, never the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+
+from math import acos, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -17,29 +19,51 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ambulo.llm.common import byte_rows, cut_lineage
+from ambulo.llm.common import byte_rows, cut_lineage, mix64, parts_of, written
 from ambulo.llm.components import connected_components
 
 SEED = 42
 #: Fingerprints in the sample that fits the top tree, for each shard and in all.
 SAMPLE_PER_SHARD, SAMPLE_MOST = 64, 1 << 17
+#: Pairs whose sketches are compared at a time.
+ACCEPT_AT_ONCE = 1 << 15
+#: Words of 64 bits in the sketch that verifies links.
+SKETCH_WORDS = 8
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """64-bit SimHash of a UTF-8 text: a bit is set if over half the shingle hashes set it."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each run of ``width`` lower-cased words; of all words if there are fewer; nothing without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], "<u8")
     starts = np.concatenate(([0], ends[:-width] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Bytes whose bits over half the rows of hashes (n x 64-bit numbers) set; zero without rows."""
+    ones = np.zeros(hashes.shape[1] * 64, np.int64)
+    for i in range(0, len(hashes), 4096):
+        part = np.ascontiguousarray(hashes[i : i + 4096]).view(np.uint8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little")
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """64-bit SimHash of a UTF-8 text: a bit is set if over half the shingle hashes set it."""
+    return int(majority(shingle_hashes(text, width)[:, None]).view("<u8")[0])
+
+
+def sketch(text: bytes, width: int) -> tuple[int, bytes]:
+    """(number of shingles, SimHash of SKETCH_WORDS x 64 bits, of which the first 64 are the fingerprint)."""
+    hashes = shingle_hashes(text, width)
+    more = mix64(hashes[:, None] + np.arange(1, SKETCH_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return len(hashes), majority(np.concatenate([hashes[:, None], more], axis=1)).tobytes()
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -84,9 +108,9 @@ def top_tree(sample: np.ndarray, levels: int, radius: int) -> tuple[np.ndarray,
     return vantage, sphere
 
 
-def route(fps: np.ndarray, vantage: np.ndarray, sphere: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index, shard, whether it is the home) of each fingerprint's home and of the later shards it visits."""
-    index, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
+def route(fps: np.ndarray, vantage: np.ndarray, sphere: np.ndarray, radius: int, at_home: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, shard, whether it is the home) of each fingerprint's home and of the later shards it visits; of all shards in reach if none is its home."""
+    index, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.full(len(fps), at_home)
     levels = (len(vantage) + 1).bit_length() - 1
     for _ in range(levels):
         d, s = distances(fps[index], vantage[node]), sphere[node]
@@ -127,11 +151,14 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def link_in_shard(fps: np.ndarray, members: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 128, chunk: int = 8192) -> Forest:
+def link_in_shard(
+    fps: np.ndarray, members: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 128, chunk: int = 8192, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> Forest:
     """Unite each query with all members within radius, by one walk of a vantage-point tree.
 
-    fps: distinct, ascending; members and queries are indices into it.  Where
-    a whole subtree lies within radius of a query it is united at once.
+    members and queries are indices into fps.  Where a whole subtree lies
+    within radius of a query it is united at once.  accept, if given, decides
+    about each pair of indices that isn't united yet.
     """
     forest = Forest(len(fps))
     stack = [(members, queries)]
@@ -144,7 +171,7 @@ def link_in_shard(fps: np.ndarray, members: np.ndarray, queries: np.ndarray, rad
             d = distances(fps[points], p)
             to = distances(fps[asks], p)
             inside = d <= sphere
-            if int(d.max()) * 2 <= radius:  # all members are within radius of each other and of the vantage point
+            if not accept and int(d.max()) * 2 <= radius:  # all members are within radius of each other and of the vantage point
                 whole = to + int(d.max()) <= radius
                 if whole.any():
                     forest.unite(points, np.full(len(points), points[0]))
@@ -158,7 +185,15 @@ def link_in_shard(fps: np.ndarray, members: np.ndarray, queries: np.ndarray, rad
             for j in range(0, len(points), 1024):
                 some, near = asks[i : i + chunk], points[j : j + 1024]
                 q, m = np.nonzero(distances(fps[some][:, None], fps[near][None, :]) <= radius)
-                forest.unite(some[q], near[m])
+                q, m = some[q], near[m]
+                for k in range(0, len(q), ACCEPT_AT_ONCE if accept else max(1, len(q))):
+                    a, b = (q, m) if not accept else (q[k : k + ACCEPT_AT_ONCE], m[k : k + ACCEPT_AT_ONCE])
+                    if accept:
+                        apart = forest.find(a) != forest.find(b)
+                        a, b = a[apart], b[apart]
+                        good = accept(a, b)
+                        a, b = a[good], b[good]
+                    forest.unite(a, b)
     return forest
 
 
@@ -199,6 +234,98 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, shard_size: int = 1 <<
     return asks.unionAll(held).groupBy("shard", "part").applyInArrow(search, "a long, b long")
 
 
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id long, text_hash long, size int, sketch binary) for each row of docs; null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches):
+            found = [sketch(x, width) for x in byte_rows(batch, 2)]
+            sizes, prints = pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(1), sizes, prints], ["doc_id", "text_hash", "size", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, size int, sketch binary")
+
+
+def sketch_links(nodes: DataFrame, similarity: float, radius: int, shard_size: int = 1 << 15, block: int = 1 << 15) -> DataFrame:
+    """Spanning links (a, b) of all pairs of nodes whose sketches agree enough.
+
+    nodes: (node long, size int, sketch binary), distinct.  A pair is compared
+    if its fingerprints are within radius and its sizes within the factor that
+    ``similarity`` allows; its sketches decide.  Sizes make bands: a node is at
+    home in its own band and visits the next one, and in each the shards of
+    the top tree, so every pair in question meets once.
+    """
+    n = nodes.count()
+    levels = max(0, int(np.ceil(np.log2(max(1, n / shard_size)))))
+    most = min(SAMPLE_MOST, SAMPLE_PER_SHARD << levels)
+    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select(F.substring("sketch", 1, 8)).collect()
+    vantage, sphere = top_tree(np.array([np.frombuffer(r[0], "<u8")[0] for r in rows], np.uint64), levels, radius)
+    # bits that differ at this similarity of sets of one size, and one and a half standard deviations more
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    bits = SKETCH_WORDS * 64
+    limit = int(bits * share + 1.5 * (bits * share * (1 - share)) ** 0.5)
+    band_width = -log(similarity)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches, 4096):
+            fps = np.array([np.frombuffer(x, "<u8", 1)[0] for x in batch.column(2).to_pylist()], np.uint64)
+            band = np.floor(np.log(np.maximum(batch.column(1).to_numpy(), 1)) / band_width).astype(np.int32)
+            for step in (0, 1):
+                index, shard, home = route(fps, vantage, sphere, radius, step == 0)
+                taken = batch.take(pa.array(index))
+                yield pa.record_batch([pa.array(band[index] + step), pa.array(shard), pa.array(home), *taken.columns], ["band", "shard", "home", "node", "size", "sketch"])
+
+    dealt = written(nodes.select("node", "size", "sketch").mapInArrow(deal, "band int, shard long, home boolean, node long, size int, sketch binary"))
+    keys = ["band", "shard"]
+    blocks = cut_lineage(dealt.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    dealt = dealt.join(blocks, keys)
+    asks = dealt.select(*keys, F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part"), "node", "size", "sketch", F.lit(False).alias("member"))
+    held = dealt.where("home").select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "node", "size", "sketch", F.lit(True).alias("member"))
+
+    def search(table: pa.Table) -> pa.Table:
+        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        at = np.searchsorted(node, table.column("node").to_numpy())
+        member = table.column("member").to_numpy()
+        size = table.column("size").to_numpy()[first].astype(np.int64)
+        wide = np.frombuffer(b"".join(table.column("sketch").take(pa.array(first)).to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+
+        def accept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+            near[near] = np.bitwise_count(wide[a[near]] ^ wide[b[near]]).sum(axis=1) <= limit
+            return near
+
+        forest = link_in_shard(np.ascontiguousarray(wide[:, 0]), np.unique(at[member]), np.unique(at[~member]), radius, accept=accept)
+        root = forest.find(np.arange(len(node)))
+        child = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": node[child], "b": node[root[child]]})
+
+    return asks.unionAll(held).groupBy(*keys, "part").applyInArrow(search, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 16) -> DataFrame:
+    """Groups of documents whose shingles of ``width`` words have a similarity of about ``similarity`` or more.
+
+    Returns (doc_id long, text_hash long, first_id long, first_hash long) for
+    each row of docs (doc_id, text, ...): the smallest doc_id of its group and
+    the smallest xxhash64 of that id's texts in the group.  Null doc_ids come
+    last.  A link needs fingerprints within radius and SimHashes of
+    SKETCH_WORDS x 64 bits that differ by no more than sets of that similarity
+    do on average, plus one and a half standard deviations; a group is what links reach.
+
+    Null and empty texts and those without words are one group.  Equal texts
+    are in one group, repeated rows are kept.  An empty table gives an empty
+    result.  Other columns are ignored whatever their names.
+    """
+    rows = written(sketches(docs, width).withColumn("node", F.xxhash64("size", "sketch")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    nodes = written(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), least))
+    roots = connected_components(sketch_links(nodes, similarity, radius))
+    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = placed.groupBy("root").agg(F.min("least").alias("least"))
+    placed = placed.select("node", "root").join(first, "root").select("node", F.col("least.doc_id").alias("first_id"), F.col("least.text_hash").alias("first_hash"))
+    return rows.join(placed, "node").select("doc_id", "text_hash", "first_id", "first_hash")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """Fingerprint and near-duplicate component of every row of docs (doc_id, text, ...).
 

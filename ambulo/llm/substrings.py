@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, distinct_texts, minimisers, mix64, parts_of, span_hashes, word_hashes, written
+from ambulo.llm.common import BYTE_BASE, WORD_BASE, Powers, byte_rows, distinct_texts, minimisers, mix64, parts_of, span_hashes, word_hashes, word_spans, written
 from ambulo.llm.passages import first_holders, matches_with_first, passages_of
 
 #: Words between two seeds on one diagonal that still count as one segment.
@@ -327,14 +329,13 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     spans = passages.groupBy(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")).agg(F.sort_array(F.collect_list(F.struct(F.col("start_word").cast("int").alias("s"), F.col("end_word").cast("int").alias("e")))).alias("spans__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ambulo.llm.common import word_spans
-
-        for batch in batches:
-            out = []
+        for batch in parts_of(batches):
+            out, stays = [], []
             for text, spans in zip(batch.column("text").cast(pa.binary()), batch.column("spans__"), strict=True):
                 data = text.as_py()
                 if data is None or not spans.is_valid:
                     out.append(data)
+                    stays.append(True)
                     continue
                 starts, _ = word_spans(np.frombuffer(data, np.uint8))
                 edges = np.append(starts, len(data))
@@ -343,12 +344,13 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
                     kept.append(data[at : edges[min(span["s"], len(starts))]])
                     at = max(at, int(edges[min(span["e"], len(starts))]))
                 out.append(b"".join(kept) + data[at:])
-            names = [n for n in batch.schema.names if n != "spans__"]
-            columns = [pa.array(out, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.record_batch(columns, names)
+                stays.append(len(word_spans(np.frombuffer(out[-1], np.uint8))[0]) > 0)
+            columns = [pa.array(out, pa.binary()).cast(pa.string()) if n == "text" else c for n, c in zip(batch.schema.names[:-1], batch.columns, strict=False)]
+            columns.append(pa.compute.is_valid(batch.column("spans__")))
+            yield pa.record_batch(columns, [*batch.schema.names[:-1], "cut__"]).filter(pa.array(stays))
 
     cut = docs.join(spans, (docs["doc_id"] == F.col("id__")) & (F.xxhash64(docs["text"]) == F.col("hash__")), "left").select(*docs.columns, "spans__")
-    touched = cut.where("spans__ is not null").mapInArrow(run, docs.schema).where(F.trim(F.regexp_replace("text", "[\\t-\\r]", " ")) != "")
+    after = cut.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("cut__", T.BooleanType())]))
     if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.where("spans__ is null").drop("spans__").unionByName(touched)
+        after = after.withColumn("n_chars", F.when(F.col("cut__"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return after.drop("cut__")
