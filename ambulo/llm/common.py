@@ -16,12 +16,26 @@ BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xC2B2AE3D27D4EB4F
 
 
+#: Rows of an Arrow batch, at most: with texts of some 100 KB a batch stays within some 100 MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's spark.sql.execution.arrow.maxRecordsPerBatch to BATCH_ROWS, if it is more: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir.
 
     Where none is set a local session, whose tasks run on the driver's machine,
-    gets a temporary folder; on a cluster that is an error.
+    gets a temporary folder; on a cluster that is an error.  Every operator that
+    writes asks for it, so this also bounds the session's Arrow batches.
     """
+    small_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +58,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df (written already, a few numbers a row), marked for broadcast if it has at most so many rows; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -59,7 +78,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     again = cut_lineage(rows.groupBy("doc_id", "text_hash").count().where("count > 1").drop("count"))
     if again.isEmpty():
         return rows
-    keys = ["doc_id", "text_hash"]
+    keys, again = ["doc_id", "text_hash"], small(again)
     return rows.join(again, keys, "left_anti").unionByName(rows.join(again, keys, "left_semi").dropDuplicates(keys))
 
 

@@ -32,6 +32,7 @@ def label_sample(labelled: DataFrame, per_label: int, most_rows: int) -> DataFra
         raise ValueError(f"{n} labels, but at most {most_rows} rows to learn from")
     each = max(1, min(per_label, most_rows // max(1, n)))
     hashed = F.xxhash64("doc_id")
-    near = labelled.join(counts, "label").where(F.shiftrightunsigned(hashed, 11) / F.lit(2.0**53) < (2 * each + 20) / F.col("n__")).drop("n__")
+    # at most most_rows labels
+    near = labelled.join(F.broadcast(counts), "label").where(F.shiftrightunsigned(hashed, 11) / F.lit(2.0**53) < (2 * each + 20) / F.col("n__")).drop("n__")
     by_hash = Window.partitionBy("label").orderBy(hashed, *[F.col(c) for c in labelled.columns if c != "label"])
     return near.withColumn("rank__", F.row_number().over(by_hash)).where(F.col("rank__") <= each).drop("rank__")

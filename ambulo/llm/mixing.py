@@ -142,7 +142,7 @@ def mix_report(docs: DataFrame, seed: int = 42, slot_words: int = SLOT_WORDS) ->
     """(doc_id, size, source_size, target, taken, slots, first_slot) of each document.
 
     taken sums up the mix's pieces of it, slots counts them and first_slot is
-    the first slot of the schedule that takes some (null if none does).
+    the first slot of the schedule that takes some (-1 if none does).
     """
     placed, pieces = mix(docs, seed, slot_words)
     words = pieces.groupBy("place", "at").agg(F.sum("words").alias("taken"), F.count("*").alias("slots"), F.min("slot").alias("first_slot"))
@@ -150,4 +150,4 @@ def mix_report(docs: DataFrame, seed: int = 42, slot_words: int = SLOT_WORDS) ->
     joined = placed.where("size > 0").join(words, ["place", "at"], "left")
     joined = joined.unionByName(placed.where("size = 0"), allowMissingColumns=True)
     none = F.lit(0).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", none).cast("long").alias("taken"), F.coalesce("slots", none).alias("slots"), "first_slot")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", none).cast("long").alias("taken"), F.coalesce("slots", none).alias("slots"), F.coalesce("first_slot", F.lit(-1)).cast("long").alias("first_slot"))

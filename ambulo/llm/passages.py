@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ambulo.llm.common import BYTE_BASE, Powers, cut_lineage, with_ids, word_hashes, word_spans
+from ambulo.llm.common import BYTE_BASE, Powers, cut_lineage, parts_of, small, with_ids, word_hashes, word_spans
 
 #: (start, end, kept_doc_id, kept_text_hash, kept_start, similarity) of one alignment.
 Piece = tuple[int, int, int, int, int, float]
+#: Rows of one key that a task takes.
+ROWS_AT_ONCE = 20_000
 PAIR = ["doc_id", "text_hash", "kept_doc_id", "kept_text_hash"]
 PASSAGE = "doc_id long, text_hash long, start_word int, end_word int, kept_doc_id long, kept_text_hash long, kept_start int, similarity double, n_pieces int"
 
@@ -39,25 +41,48 @@ def match_array(value: pa.Scalar) -> np.ndarray:
     return np.stack([both.field(0).to_numpy(), both.field(1).to_numpy()], axis=1).astype(np.int64)
 
 
+def beside(texts: DataFrame, rows: DataFrame, keys: list[str], salt: Column | None = None) -> DataFrame:
+    """One stream in which each text comes right before the rows of its key, instead of with each of them.
+
+    texts: keys, text; rows: keys and others.  Sorted by keys within
+    partitions; text is NULL in the rows.  With a ``salt`` (a hash), keys of
+    over ROWS_AT_ONCE rows are dealt out to several tasks, each with the text
+    once; without one, a key's rows are bounded by its text.
+    """
+    if salt is None:
+        texts, rows = (df.withColumn("part__", F.lit(0)) for df in (texts, rows))
+    else:
+        # a row for every ROWS_AT_ONCE of the table, at most
+        hot = rows.groupBy(*keys).count().where(F.col("count") > ROWS_AT_ONCE).select(*keys, F.ceil(F.col("count") / ROWS_AT_ONCE).cast("int").alias("parts__"))
+        hot = small(cut_lineage(hot))
+        rows = rows.join(hot, keys, "left").withColumn("part__", F.coalesce(F.pmod(salt, "parts__").cast("int"), F.lit(0))).drop("parts__")
+        texts = texts.join(hot, keys, "left").withColumn("part__", F.explode(F.sequence(F.lit(0), F.coalesce("parts__", F.lit(1)) - 1))).drop("parts__")
+    both = rows.unionByName(texts, allowMissingColumns=True)
+    order = [*keys, "part__"]
+    return both.repartition(*order).sortWithinPartitions(*order, F.col("text").isNull()).drop("part__")
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace each kept text by the words that an alignment with the other document can reach."""
-    last, data, starts, ends = None, b"", None, None
-    for batch in batches:
-        first_words, slices = [], []
-        kept, kept_hash, sizes, matches, texts = (batch.column(n) for n in ("kept_doc_id", "kept_text_hash", "n_words", "matches", "kept_text"))
-        texts = texts.cast(pa.binary())
-        for i, key in enumerate(zip(kept.to_pylist(), kept_hash.to_pylist(), strict=True)):
-            if key != last:
-                last, data = key, texts[i].as_py()
+    """For each row the words of the kept text, which came before it, that an alignment with the other document can reach."""
+    data, starts, ends = b"", None, None
+    for batch in parts_of(batches):
+        keep, first_words, slices = [], [], []
+        texts, sizes, matches = batch.column("text").cast(pa.binary()), batch.column("n_words"), batch.column("matches")
+        for i in range(batch.num_rows):
+            if texts[i].is_valid:
+                data = texts[i].as_py()
                 starts, ends = word_spans(np.frombuffer(data, np.uint8))
+                continue
             places, n = match_array(matches[i]), sizes[i].as_py()
-            # an alignment skips at most two words for every four that agree
-            low = max(0, int((places[:, 1] - 2 * places[:, 0]).min()) - 8)
-            high = min(len(starts), int((places[:, 1] + 2 * (n - places[:, 0])).max()) + 8)
+            # of a piece that counts, what either side skips is at most a quarter of the other
+            low = max(0, int((places[:, 1] - places[:, 0]).min()) - n // 4 - 8)
+            high = min(len(starts), int((places[:, 1] + n - places[:, 0]).max()) + n // 4 + 8)
+            keep.append(i)
             first_words.append(low)
             slices.append(data[starts[low] : ends[high - 1]])
-        names = [*PAIR, "matches"]
-        yield pa.record_batch([*[batch.column(n) for n in names], pa.array(first_words, pa.int32()), pa.array(slices, pa.binary())], [*names, "first_word", "kept_words"])
+        if keep:
+            rows = batch.select([*PAIR, "matches"]).take(pa.array(keep))
+            yield pa.record_batch([*rows.columns, pa.array(first_words, pa.int32()), pa.array(slices, pa.binary())], [*PAIR, "matches", "first_word", "words"])
 
 
 def unite(pieces: set[Piece]) -> list[tuple]:
@@ -83,35 +108,36 @@ def passages_of(found: DataFrame, texts: DataFrame, compare: Callable[[np.ndarra
     gets the word hashes of both documents and gives (start, end, start in y,
     similarity) of the pieces that one kept document holds.
 
-    The join to the document that keeps a passage, of which many others may
-    hold a copy, comes first: its sides are plain shuffles, which Spark can
-    split, and only the part of the kept text in reach of the matches goes on.
+    The document that keeps a passage, of which many others may hold a copy,
+    is met first, and only the part of its text in reach of the matches goes
+    on to the other one.  Both times a text comes once before all its rows.
     """
     pairs = cut_lineage(found.groupBy(*PAIR).agg(F.max("n_words").alias("n_words"), F.collect_list(F.struct("pos", "other_pos")).alias("matches")))
-    kept = with_ids(texts, pairs.select(F.col("kept_doc_id").alias("doc_id"))).toDF("kept_doc_id", "kept_text_hash", "kept_text")
-    near = pairs.join(kept, PAIR[2:]).select(*PAIR, "n_words", "matches", "kept_text")
-    near = near.mapInArrow(_cut_out, "doc_id long, text_hash long, kept_doc_id long, kept_text_hash long, matches array<struct<pos:int,other_pos:int>>, first_word int, kept_words binary")
-    mine = with_ids(texts, pairs.select("doc_id"))
-    both = near.join(mine, PAIR[:2]).select(*PAIR, "matches", "first_word", "kept_words", "text")
+    kept = with_ids(texts, pairs.select(F.col("kept_doc_id").alias("doc_id"))).toDF("kept_doc_id", "kept_text_hash", "text")
+    near = beside(kept, pairs, PAIR[2:], F.xxhash64(*PAIR[:2]))
+    near = near.mapInArrow(_cut_out, "doc_id long, text_hash long, kept_doc_id long, kept_text_hash long, matches array<struct<pos:int,other_pos:int>>, first_word int, words binary")
+    both = beside(with_ids(texts, pairs.select("doc_id")), near, PAIR[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, last, x, pieces, rows = Powers(BYTE_BASE), None, None, set(), []
-        for batch in batches:
-            ids, hashes, kept, kept_hash = (batch.column(i).to_pylist() for i in range(4))
-            texts = batch.column(7).cast(pa.binary())
-            for i, key in enumerate(zip(ids, hashes, strict=True)):
-                if key != last:
-                    rows += [(*last, *p) for p in unite(pieces)] if pieces else []
-                    last, pieces, x = key, set(), word_hashes(texts[i].as_py(), powers)
-                low = batch.column(5)[i].as_py()
-                matches = match_array(batch.column(4)[i]) - [0, low]
-                for s, e, at, similarity in compare(matches, x, word_hashes(batch.column(6)[i].as_py(), powers)):
+        powers, key, x, pieces, rows = Powers(BYTE_BASE), None, None, set(), []
+        for batch in parts_of(batches):
+            ids, hashes, kept, kept_hash, lows = (batch.column(n).to_pylist() for n in (*PAIR, "first_word"))
+            texts, words, matches = batch.column("text").cast(pa.binary()), batch.column("words"), batch.column("matches")
+            for i in range(batch.num_rows):
+                if texts[i].is_valid:
+                    rows += [(*key, *p) for p in unite(pieces)] if pieces else []
+                    key, pieces, x = (ids[i], hashes[i]), set(), texts[i].as_py()
+                    continue
+                if isinstance(x, bytes):  # the filter by doc_id lets some texts pass that have no rows
+                    x = word_hashes(x, powers)
+                low = lows[i]
+                for s, e, at, similarity in compare(match_array(matches[i]) - [0, low], x, word_hashes(words[i].as_py(), powers)):
                     pieces.add((s, e, kept[i], kept_hash[i], at + low, similarity))
             if rows:
                 yield _passage_batch(rows)
                 rows = []
         if pieces:
-            yield _passage_batch([(*last, *p) for p in unite(pieces)])
+            yield _passage_batch([(*key, *p) for p in unite(pieces)])
 
     return islands(both.mapInArrow(run, PASSAGE))
 

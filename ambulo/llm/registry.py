@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ambulo.llm import chat, decontamination, languages, media, mixing, quality, simhash, substrings, suffixes, tokens
+from ambulo.llm import chat, decontamination, languages, media, mixing, oracles, quality, simhash, substrings, suffixes, tokens
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -61,7 +61,8 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_substrings(table(spark, sf_dir, "documents"))
+    found = suffixes.repeated_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start_word", "end_word")
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +85,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_chat, op3_mixing, op4_language, op5_substrings, op6_suffixes, op7_tokens, op8_quality, op9_decontamination, op10_media)
 }
-ORACLES: dict[str, str] = {"op2_chat": OP2_SQL}
+ORACLES: dict[str, str] = {
+    "op1_simhash": oracles.SIMHASH, "op2_chat": OP2_SQL, "op3_mixing": oracles.MIXING, "op6_suffixes": oracles.SUFFIXES, "op9_decontamination": oracles.DECONTAMINATION, "op10_media": oracles.MEDIA,
+}

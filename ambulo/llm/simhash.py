@@ -29,6 +29,8 @@ SAMPLE_PER_SHARD, SAMPLE_MOST = 64, 1 << 17
 ACCEPT_AT_ONCE = 1 << 15
 #: Words of 64 bits in the sketch that verifies links.
 SKETCH_WORDS = 8
+#: Orders of the shingles whose smallest hash brings documents together.
+LEAST = 4
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -59,11 +61,16 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(majority(shingle_hashes(text, width)[:, None]).view("<u8")[0])
 
 
-def sketch(text: bytes, width: int) -> tuple[int, bytes]:
-    """(number of shingles, SimHash of SKETCH_WORDS x 64 bits, of which the first 64 are the fingerprint)."""
+def sketch(text: bytes, width: int) -> tuple[int, bytes, list[int]]:
+    """Number of shingles; SimHash of SKETCH_WORDS x 64 bits, of which the first 64 are the fingerprint; LEAST smallest hashes.
+
+    The smallest hashes are those of independent orders of the shingles: two
+    sets share one with a probability of their similarity.
+    """
     hashes = shingle_hashes(text, width)
     more = mix64(hashes[:, None] + np.arange(1, SKETCH_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return len(hashes), majority(np.concatenate([hashes[:, None], more], axis=1)).tobytes()
+    least = more[:, :LEAST].min(axis=0) if len(hashes) else np.zeros(LEAST, np.uint64)
+    return len(hashes), majority(np.concatenate([hashes[:, None], more], axis=1)).tobytes(), least.view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -235,71 +242,116 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, shard_size: int = 1 <<
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id long, text_hash long, size int, sketch binary) for each row of docs; null text counts as empty."""
+    """(doc_id long, text_hash long, size int, sketch binary, least array<long>) for each row of docs; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
-            found = [sketch(x, width) for x in byte_rows(batch, 2)]
-            sizes, prints = pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())
-            yield pa.record_batch([batch.column(0), batch.column(1), sizes, prints], ["doc_id", "text_hash", "size", "sketch"])
+            sizes, prints, least = zip(*(sketch(x, width) for x in byte_rows(batch, 2)), strict=True)
+            columns = [pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "size", "sketch", "least"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, size int, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, size int, sketch binary, least array<long>")
 
 
-def sketch_links(nodes: DataFrame, similarity: float, radius: int, shard_size: int = 1 << 15, block: int = 1 << 15) -> DataFrame:
-    """Spanning links (a, b) of all pairs of nodes whose sketches agree enough.
+def sketch_links(nodes: DataFrame, similarity: float, radius: int, shard_size: int = 1 << 15) -> DataFrame:
+    """Spanning links (a, b) of the pairs of nodes that share a smallest hash and whose sketches agree enough.
 
-    nodes: (node long, size int, sketch binary), distinct.  A pair is compared
-    if its fingerprints are within radius and its sizes within the factor that
-    ``similarity`` allows; its sketches decide.  Sizes make bands: a node is at
-    home in its own band and visits the next one, and in each the shards of
-    the top tree, so every pair in question meets once.
+    nodes: (node long, size int, sketch binary, least array<long>), distinct.
+    In a group of nodes with one smallest hash a pair is compared if its
+    fingerprints are within radius and its sizes within the factor that
+    ``similarity`` allows; its sketches decide.  A group over shard_size is
+    dealt out by a top tree, as fingerprint_links does.
     """
-    n = nodes.count()
-    levels = max(0, int(np.ceil(np.log2(max(1, n / shard_size)))))
-    most = min(SAMPLE_MOST, SAMPLE_PER_SHARD << levels)
-    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select(F.substring("sketch", 1, 8)).collect()
-    vantage, sphere = top_tree(np.array([np.frombuffer(r[0], "<u8")[0] for r in rows], np.uint64), levels, radius)
+    keyed = nodes.select("node", F.posexplode("least").alias("order", "hash")).select("node", F.xxhash64("order", "hash").alias("group"))
+    groups = cut_lineage(keyed.groupBy("group").count().where("count > 1"))
+    most = groups.agg(F.max("count")).first()[0] or 0
+    levels = max(0, int(np.ceil(np.log2(max(1, most / shard_size)))))
+    vantage = sphere = None
+    if levels:
+        size = min(SAMPLE_MOST, SAMPLE_PER_SHARD << levels)
+        rows = nodes.orderBy(F.xxhash64("node"), "node").limit(size).select(F.substring("sketch", 1, 8)).collect()
+        vantage, sphere = top_tree(np.array([np.frombuffer(r[0], "<u8")[0] for r in rows], np.uint64), levels, radius)
+    met = written(keyed.join(groups, "group").join(nodes.drop("least"), "node").select("group", "count", "node", "size", "sketch"))
+    parts = met.where(F.col("count") <= shard_size).select("group", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("part"), "node", "size", "sketch", F.lit(True).alias("member"), F.lit(True).alias("asks"))
+    if levels:
+        parts = parts.unionByName(_dealt(met.where(F.col("count") > shard_size), vantage, sphere, radius, shard_size))
+
     # bits that differ at this similarity of sets of one size, and one and a half standard deviations more
     share = acos(2 * similarity / (1 + similarity)) / pi
     bits = SKETCH_WORDS * 64
     limit = int(bits * share + 1.5 * (bits * share * (1 - share)) ** 0.5)
-    band_width = -log(similarity)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts_of(batches, 4096):
-            fps = np.array([np.frombuffer(x, "<u8", 1)[0] for x in batch.column(2).to_pylist()], np.uint64)
-            band = np.floor(np.log(np.maximum(batch.column(1).to_numpy(), 1)) / band_width).astype(np.int32)
-            for step in (0, 1):
-                index, shard, home = route(fps, vantage, sphere, radius, step == 0)
-                taken = batch.take(pa.array(index))
-                yield pa.record_batch([pa.array(band[index] + step), pa.array(shard), pa.array(home), *taken.columns], ["band", "shard", "home", "node", "size", "sketch"])
-
-    dealt = written(nodes.select("node", "size", "sketch").mapInArrow(deal, "band int, shard long, home boolean, node long, size int, sketch binary"))
-    keys = ["band", "shard"]
-    blocks = cut_lineage(dealt.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    dealt = dealt.join(blocks, keys)
-    asks = dealt.select(*keys, F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part"), "node", "size", "sketch", F.lit(False).alias("member"))
-    held = dealt.where("home").select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "node", "size", "sketch", F.lit(True).alias("member"))
-
-    def search(table: pa.Table) -> pa.Table:
-        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        at = np.searchsorted(node, table.column("node").to_numpy())
-        member = table.column("member").to_numpy()
-        size = table.column("size").to_numpy()[first].astype(np.int64)
-        wide = np.frombuffer(b"".join(table.column("sketch").take(pa.array(first)).to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+    def search(node: np.ndarray, size: np.ndarray, wide: np.ndarray, member: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        node, first, at = np.unique(node, return_index=True, return_inverse=True)
+        size, wide = size[first].astype(np.int64), wide[first]
 
         def accept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
             near[near] = np.bitwise_count(wide[a[near]] ^ wide[b[near]]).sum(axis=1) <= limit
             return near
 
-        forest = link_in_shard(np.ascontiguousarray(wide[:, 0]), np.unique(at[member]), np.unique(at[~member]), radius, accept=accept)
+        forest = link_in_shard(np.ascontiguousarray(wide[:, 0]), np.unique(at[member]), np.unique(at[asks]), radius, accept=accept)
         root = forest.find(np.arange(len(node)))
         child = np.flatnonzero(root != np.arange(len(node)))
-        return pa.table({"a": node[child], "b": node[root[child]]})
+        return node[child], node[root[child]]
 
-    return asks.unionAll(held).groupBy(*keys, "part").applyInArrow(search, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group, shard and part; what is held is one of these and the batch."""
+        held, key = [], None
+
+        def links(tables: list[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray]]:
+            t = pa.Table.from_batches(tables)
+            wide = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+            columns = [t.column(n).to_numpy() for n in ("group", "shard", "part", "node", "size", "member", "asks")]
+            edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
+            return [search(columns[3][a:b], columns[4][a:b], wide[a:b], columns[5][a:b], columns[6][a:b]) for a, b in zip([0, *edges], [*edges, t.num_rows], strict=True)]
+
+        def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (list(zip(*found, strict=True)) or ((), ())))
+            return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            last = tuple(k[-1] for k in keys)
+            tail = int(np.argmax(np.all([k == v for k, v in zip(keys, last, strict=True)], axis=0)))
+            # everything before the last key of the batch is complete
+            if key != last or tail:
+                done = [*held, batch.slice(0, tail)] if tail else held
+                if done:
+                    yield batch_of(links(done))
+                held = []
+            held.append(batch.slice(tail))
+            key = last
+        if held:
+            yield batch_of(links(held))
+
+    keys = ["group", "shard", "part"]
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _dealt(met: DataFrame, vantage: np.ndarray, sphere: np.ndarray, radius: int, shard_size: int) -> DataFrame:
+    """Members and queries of the shards of large groups, dealt out by the levels of the top tree that a group's size needs."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches, 4096):
+            fps = np.array([np.frombuffer(x, "<u8", 1)[0] for x in batch.column(4).to_pylist()], np.uint64)
+            depth = np.ceil(np.log2(batch.column(1).to_numpy() / shard_size)).astype(int)
+            for levels in np.unique(depth).tolist():
+                rows, n = np.flatnonzero(depth == levels), (1 << levels) - 1
+                index, shard, home = route(fps[rows], vantage[:n], sphere[:n], radius)
+                taken = batch.take(pa.array(rows[index]))
+                yield pa.record_batch([taken.column(0), pa.array(shard), pa.array(home), *taken.columns[2:]], ["group", "shard", "home", "node", "size", "sketch"])
+
+    dealt = written(met.mapInArrow(deal, "group long, shard long, home boolean, node long, size int, sketch binary"))
+    blocks = cut_lineage(dealt.groupBy("group", "shard").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("blocks")))
+    dealt = dealt.join(blocks, ["group", "shard"])
+    own = ["node", "size", "sketch"]
+    asks = dealt.select("group", "shard", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part"), *own, F.lit(False).alias("member"), F.lit(True).alias("asks"))
+    held = dealt.where("home").select("group", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), *own, F.lit(True).alias("member"), F.lit(False).alias("asks"))
+    return asks.unionByName(held)
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 16) -> DataFrame:
@@ -308,22 +360,29 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     Returns (doc_id long, text_hash long, first_id long, first_hash long) for
     each row of docs (doc_id, text, ...): the smallest doc_id of its group and
     the smallest xxhash64 of that id's texts in the group.  Null doc_ids come
-    last.  A link needs fingerprints within radius and SimHashes of
-    SKETCH_WORDS x 64 bits that differ by no more than sets of that similarity
-    do on average, plus one and a half standard deviations; a group is what links reach.
+    last.
+
+    At such a similarity fingerprints differ in ten bits on average, a radius
+    at which the triangle bound of a vantage-point tree rules nothing out, so
+    trees over all documents would compare all pairs.  Documents that share
+    one of LEAST smallest shingle hashes are searched instead (a pair of
+    similarity 0.8 shares one in 99.8 % of cases).  A link needs fingerprints
+    within radius and SimHashes of SKETCH_WORDS x 64 bits that differ by no
+    more than sets of that similarity do on average, plus one and a half
+    standard deviations; a group is what links reach.
 
     Null and empty texts and those without words are one group.  Equal texts
     are in one group, repeated rows are kept.  An empty table gives an empty
     result.  Other columns are ignored whatever their names.
     """
-    rows = written(sketches(docs, width).withColumn("node", F.xxhash64("size", "sketch")))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
-    nodes = written(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), least))
-    roots = connected_components(sketch_links(nodes, similarity, radius))
-    placed = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = placed.groupBy("root").agg(F.min("least").alias("least"))
-    placed = placed.select("node", "root").join(first, "root").select("node", F.col("least.doc_id").alias("first_id"), F.col("least.text_hash").alias("first_hash"))
-    return rows.join(placed, "node").select("doc_id", "text_hash", "first_id", "first_hash")
+    rows = written(sketches(docs, width).withColumn("node", F.xxhash64("size", "sketch", "least")))
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("smallest")
+    nodes = written(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("least").alias("least"), smallest))
+    roots = connected_components(sketch_links(nodes.drop("smallest"), similarity, radius))
+    placed = nodes.select("node", "smallest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = placed.groupBy("root").agg(F.min("smallest").alias("smallest"))
+    placed = placed.select("node", "root").join(first, "root").select("node", F.col("smallest.doc_id").alias("first_id"), F.col("smallest.text_hash").alias("first_hash"))
+    return rows.select("doc_id", "text_hash", "node").join(placed, "node").select("doc_id", "text_hash", "first_id", "first_hash")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:

@@ -33,7 +33,7 @@ AFTER_EDIT = 4
 GAP_COST = 0.5
 
 
-def seeds(texts: DataFrame, k: int = 6, window: int = 12, least_words: int = 50) -> DataFrame:
+def seeds(texts: DataFrame, k: int = 8, window: int = 12, least_words: int = 50) -> DataFrame:
     """(doc_id, text_hash, n_words, pos, seed, link) of each minimiser; texts under least_words have none.
 
     link is the hash of the seed, the next one and the words between their
@@ -281,7 +281,7 @@ def pieces_of(matches: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, similar
     return sorted(set(found))
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, k: int = 6, window: int = 12) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, k: int = 8, window: int = 12) -> DataFrame:
     """Passages of at least least_words words that an earlier document holds too.
 
     docs: (doc_id, text, ...).  Words are runs of other bytes than ASCII white

@@ -35,6 +35,12 @@ def near_copies(seed=2, n=40, size=(80, 600)):
     return rows
 
 
+def many_copies(n=60):
+    """One text with another word changed in each copy."""
+    words = prose(random.Random(6), 200)
+    return [(1000 + i, " ".join([*words[:i], "changed", *words[i + 1 :]])) for i in range(n)]
+
+
 def test_near_copies_are_one_group_and_others_are_not(spark):
     rows = near_copies()
     first = {r.doc_id: r.first_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -67,18 +73,19 @@ def test_groups_follow_brute_force_on_documents(spark):
 
 
 def test_shards_and_blocks_change_nothing(spark, monkeypatch):
-    docs = spark.createDataFrame(near_copies(5, 120, (5, 200)), "doc_id long, text string")
+    docs = spark.createDataFrame(near_copies(5, 120, (5, 200)) + many_copies(), "doc_id long, text string")
     plain = {r.doc_id: r.first_id for r in similar_documents(docs).collect()}
     links = simhash.sketch_links
-    monkeypatch.setattr(simhash, "sketch_links", lambda n, s, r: links(n, s, r, shard_size=8, block=5))
+    monkeypatch.setattr(simhash, "sketch_links", lambda n, s, r: links(n, s, r, shard_size=3))
     assert {r.doc_id: r.first_id for r in similar_documents(docs.repartition(3)).collect()} == plain
+    assert all(plain[1000 + i] == 1000 for i in range(60))
 
 
 def test_sketch_begins_with_the_fingerprint():
     text = ("one two three four five six " * 3000).encode()
-    n, wide = sketch(text, 5)
-    assert n == 17_996 and len(wide) == 64 and int.from_bytes(wide[:8], "little") == fingerprint(text, 5)
-    assert sketch(b" \t", 5) == (0, bytes(64))
+    n, wide, least = sketch(text, 5)
+    assert n == 17_996 and len(wide) == 64 and len(least) == 4 and int.from_bytes(wide[:8], "little") == fingerprint(text, 5)
+    assert sketch(b" \t", 5) == (0, bytes(64), [0, 0, 0, 0])
 
 
 def test_nulls_empty_tables_ties_and_clashing_names(spark):
