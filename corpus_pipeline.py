@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ambulo.llm import decontamination, languages, mixing, simhash, substrings
-from ambulo.llm.common import cut_lineage, remove, shared_folder, written
+from ambulo.llm.common import cut_lineage, remove, shared_folder, small, written
 
 #: Score from which a predicted language counts.
 LEAST_SCORE = 0.5
@@ -52,7 +52,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item; all rows of such a doc_id, null being an id like any other."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = cut_lineage(decontamination.decontaminate(docs, benchmark).select(F.col("doc_id").alias("id__")).distinct())
+    leaks = small(cut_lineage(decontamination.decontaminate(docs, benchmark).select(F.col("doc_id").alias("id__")).distinct()))
     return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("id__")), "left_anti")
 
 
