@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAVITY_MS2 = 9.81
+#: Standard gravity (a fixed value).
+GRAVITY_MS2 = 9.80665
 
 #: Axis names of the coordinate frames (fixed values).
 SENSOR, BODY, GLOBAL, GLOBAL_BODY = ("x", "y", "z"), ("is", "ml", "pa"), ("gx", "gy", "gz"), ("gis", "gml", "gpa")

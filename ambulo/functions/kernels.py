@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import sqrt
 
 import numpy as np
 
 from ambulo.functions.gait_taps import RATE_HZ, TAPS
 
+#: Samples that a recursive filter takes at a time.
+BLOCK = 256
+
 Kernel = Callable[[np.ndarray, float], tuple[np.ndarray, float]]
 
 
@@ -67,17 +71,33 @@ def butterworth(order: int, cutoff: float | tuple[float, float], fs: float, kind
 
 
 def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray, start: np.ndarray | float) -> np.ndarray:
-    """One second-order section along axis 0, in the steady state of the value ``start``."""
-    level = b.sum() / a.sum()
-    s1, s2 = (level - b[0]) * start, (b[2] - a[2] * level) * start
-    y = np.empty_like(x)
-    for i in range(len(x)):
-        v = x[i]
-        out = b[0] * v + s1
-        s1 = b[1] * v - a[1] * out + s2
-        s2 = b[2] * v - a[2] * out
-        y[i] = out
-    return y
+    """One second-order section along axis 0, in the steady state of the value ``start``.
+
+    In state-space form, BLOCK samples at a time: a block's output is a matrix
+    times its input plus another one times the state that it begins with, so
+    only the states go from block to block one by one.
+    """
+    n, level = len(x), b.sum() / a.sum()
+    flat = np.asarray(x, float).reshape(n, -1)
+    begin = np.broadcast_to(np.asarray(start, float), x.shape[1:]).reshape(1, -1)
+    state = np.concatenate([(level - b[0]) * begin, (b[2] - a[2] * level) * begin])
+    size = min(BLOCK, n)
+    step, entry = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(size):
+        powers.append(step @ powers[-1])
+    seen = np.array([p[0] for p in powers[:size]])
+    entered = np.array([p @ entry for p in powers[:size]])[::-1].T
+    impulse = np.concatenate([[b[0]], seen[:-1] @ entry])
+    lag = np.subtract.outer(np.arange(size), np.arange(size))
+    answer = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    blocks = np.concatenate([flat, np.zeros((-n % size, flat.shape[1]))]).reshape(-1, size, flat.shape[1])
+    moved, whole = entered @ blocks, powers[size]
+    states = np.empty_like(moved)
+    for i in range(len(blocks)):
+        states[i] = state
+        state = whole @ state + moved[i]
+    return (answer @ blocks + seen @ states).reshape(-1, flat.shape[1])[:n].reshape(x.shape)
 
 
 def sos_filter(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]], steady: bool = False) -> np.ndarray:
@@ -240,21 +260,132 @@ def integrate(x: np.ndarray, fs: float) -> np.ndarray:
 
 
 def madgwick(gyro_rad: np.ndarray, acc: np.ndarray, fs: float, start=(0.0, 0.0, 0.0, 1.0), beta: float = 0.2) -> np.ndarray:
-    """Orientations (x, y, z, w), one more than samples: gyroscope integration with a gradient step towards gravity."""
-    q = np.array([start[3], *start[:3]], float)
-    out = [q]
-    for w, a in zip(gyro_rad, acc, strict=True):
-        q0, q1, q2, q3 = q
-        rate = 0.5 * np.array([-q1 * w[0] - q2 * w[1] - q3 * w[2], q0 * w[0] + q2 * w[2] - q3 * w[1], q0 * w[1] - q1 * w[2] + q3 * w[0], q0 * w[2] + q1 * w[1] - q2 * w[0]])
-        size = np.linalg.norm(a)
+    """Orientations (x, y, z, w), one more than samples: gyroscope integration with a gradient step towards gravity.
+
+    Each sample depends on the one before; plain numbers are many times as
+    fast here as arrays of four.
+    """
+    x, y, z, w = map(float, start)
+    out = [(x, y, z, w)]
+    for (gx, gy, gz), (ax, ay, az) in zip(gyro_rad.tolist(), acc.tolist(), strict=True):
+        rw, rx = (-x * gx - y * gy - z * gz) / 2, (w * gx + y * gz - z * gy) / 2
+        ry, rz = (w * gy - x * gz + z * gx) / 2, (w * gz + x * gy - y * gx) / 2
+        size = sqrt(ax * ax + ay * ay + az * az)
         if beta > 0 and size > 0:
-            miss = np.array([2 * (q1 * q3 - q0 * q2), 2 * (q0 * q1 + q2 * q3), 1 - 2 * (q1 * q1 + q2 * q2)]) - a / size
-            jacobian = 2 * np.array([[-q2, q3, -q0, q1], [q1, q0, q3, q2], [0, -2 * q1, -2 * q2, 0]])
-            step = jacobian.T @ miss
-            length = np.linalg.norm(step)
-            rate = rate - beta * (step / length if length else step)
-        q = q + rate / fs
-        q = q / np.linalg.norm(q)
-        out.append(q)
-    out = np.array(out)
-    return np.concatenate([out[:, 1:], out[:, :1]], axis=1)
+            # how far gravity lies off, and the slope of half its square
+            mx = 2 * (x * z - w * y) - ax / size
+            my = 2 * (w * x + y * z) - ay / size
+            mz = 1 - 2 * (x * x + y * y) - az / size
+            sw, sx = 2 * (x * my - y * mx), 2 * (z * mx + w * my) - 4 * x * mz
+            sy, sz = 2 * (z * my - w * mx) - 4 * y * mz, 2 * (x * mx + y * my)
+            length = sqrt(sw * sw + sx * sx + sy * sy + sz * sz)
+            gain = beta / length if length else beta
+            rw, rx, ry, rz = rw - gain * sw, rx - gain * sx, ry - gain * sy, rz - gain * sz
+        w, x, y, z = w + rw / fs, x + rx / fs, y + ry / fs, z + rz / fs
+        length = sqrt(w * w + x * x + y * y + z * z)
+        w, x, y, z = w / length, x / length, y / length, z / length
+        out.append((x, y, z, w))
+    return np.array(out)
+
+
+def moving_average(x: np.ndarray, n: int) -> np.ndarray:
+    return np.convolve(np.asarray(x, float), np.ones(n) / n, "same")
+
+
+def analytic_envelope(x: np.ndarray) -> np.ndarray:
+    """Magnitude of the analytic signal."""
+    n = len(x)
+    weight = np.zeros(n)
+    weight[0] = 1
+    weight[1 : (n + 1) // 2] = 2
+    if n % 2 == 0:
+        weight[n // 2] = 1
+    return np.abs(np.fft.ifft(np.fft.fft(x) * weight))
+
+
+def active_regions(x: np.ndarray, smooth: int, duration: int) -> np.ndarray:
+    """Samples that begin a stretch of ``duration`` in which the smoothed envelope stays over an adaptive level.
+
+    The level starts at four times the mean of the centred, scaled envelope;
+    each stretch wholly over it moves it halfway from the noise (the mean of
+    the last quiet stretch, or of all noise so far) to a tenth of its own mean.
+    """
+    env = moving_average(analytic_envelope(np.asarray(x, float)), smooth)
+    env = env - env.mean()
+    found = np.zeros(len(env), bool)
+    if len(env) < duration or not env.any():
+        return found
+    env = env / env.max()
+    windows = np.lib.stride_tricks.sliding_window_view(env, duration)
+    lowest, means = windows.min(axis=1).tolist(), windows.mean(axis=1).tolist()
+    level, signal, noise = 4 * float(env.mean()), float(env.mean()), float(env.mean()) / 3
+    past, any_noise, met = 0.0, False, False
+    for i, (low, mean) in enumerate(zip(lowest, means, strict=True)):
+        if low > level:
+            found[i] = True
+            signal, met = 0.1 * mean, True
+        elif mean < level:
+            noise = mean
+        elif any_noise:
+            # entries not reached yet count as zero
+            noise = past / len(lowest)
+        past += noise
+        any_noise = any_noise or noise != 0
+        if met:
+            level = noise + 0.5 * abs(signal - noise)
+    return found
+
+
+def runs_of_two(flags: np.ndarray) -> np.ndarray:
+    """(first, last) of the runs of at least two true values, both ends included."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], np.asarray(flags, bool).astype(np.int8), [0]])))
+    spans = np.stack([edges[::2], edges[1::2] - 1], axis=1)
+    return spans[spans[:, 1] > spans[:, 0]]
+
+
+def count_peaks_by_crossings(x: np.ndarray, least: float, distance: float) -> int:
+    """Highest points over ``least`` of the stretches between every other zero crossing of the centred signal.
+
+    Only crossings with more than ``distance`` to the next one count, the last
+    one never; the last stretch ends with the signal.
+    """
+    x = np.asarray(x, float)
+    if not len(x) or x.max() < least:
+        return 0
+    x = x - x.mean()
+    cross = np.flatnonzero(np.sign(x[1:]) != np.sign(x[:-1]))
+    cross = cross[:-1][np.diff(cross) > distance][::2]
+    if not len(cross):
+        return 0
+    if len(x) > cross[-1] + 2:
+        cross = np.append(cross, len(x))
+    return sum(int(x[a + 1 : b - 1].max() > least) for a, b in zip(cross[:-1], cross[1:], strict=True) if b - 1 > a + 1)
+
+
+def cross_phase(x: np.ndarray, z: np.ndarray, fs: float, band: tuple[float, float] = (0.5, 2.5)) -> float | None:
+    """Phase by which z leads x in a band, weighted by the power of x; None if the signals are too short or it is about zero.
+
+    Both are band-passed (FIR, 101 taps); spectra are means over windows of
+    256 samples at most, half overlapping, centred, under a periodic Hann window.
+    """
+    try:
+        x, z = (fir_design_filter(v, 100, band, fs, "bandpass") for v in (x, z))
+    except ValueError:
+        return None
+    n = min(256, len(x) // 2)
+    if len(x) < 4 or n < 2:
+        return None
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+
+    def spectra(v: np.ndarray) -> np.ndarray:
+        parts = np.lib.stride_tricks.sliding_window_view(v, n)[:: n - n // 2]
+        return np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * hann, axis=1)
+
+    a, b = spectra(x), spectra(z)
+    hertz = np.fft.rfftfreq(n, 1 / fs)
+    inside = (hertz >= band[0]) & (hertz <= band[1])
+    power = (np.abs(a[:, inside]) ** 2).mean(axis=0)
+    if not power.sum() > 0:
+        return None
+    phase = float(np.average(np.angle((np.conj(a[:, inside]) * b[:, inside]).mean(axis=0)), weights=power))
+    return None if abs(phase) <= 1e-8 else phase

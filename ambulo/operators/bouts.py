@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,54 +106,17 @@ def bout_summary(strides: DataFrame, by: list[str], sampling_rate_hz: float, con
     return bouts.join(points, [*by, "wb_id"])
 
 
-#: A rule of the general engine: rows so far and the next row -> whether the bout ends before the next row.
-EndRule = Callable[[list[dict], dict], bool]
+def regions_of(samples: DataFrame, regions: DataFrame, by: list[str], ident: str = "wb_id", position: str = "sample", bucket: int = 6000) -> DataFrame:
+    """Samples of each half-open region, with their position in it: the input of a kernel per region.
 
-
-def same_foot_twice(foot: str = "lr_label") -> EndRule:
-    """Ends a bout where two strides in a row are of the same foot."""
-    return lambda rows, nxt: bool(rows) and rows[-1][foot] == nxt[foot]
-
-
-def longer_break(max_break_s: float, sampling_rate_hz: float) -> EndRule:
-    return lambda rows, nxt: bool(rows) and (nxt["start"] - rows[-1]["end"]) / sampling_rate_hz > max_break_s
-
-
-def assemble_by_rules(strides: DataFrame, by: list[str], ends: dict[str, EndRule], include: dict[str, Callable[[list[dict]], bool]]) -> DataFrame:
-    """Bouts by any rules on rows; one recording's strides meet in one Python task.
-
-    ends: named rules that end the bout; include: named tests a whole bout must
-    pass.  Adds wb_id (NULL in voided bouts), end_rule and exclude_rule.
+    Regions may overlap; a sample comes once for each region that holds it.
+    Regions are dealt out to the stretches of ``bucket`` positions that they
+    touch, so a sample meets only those of its own stretch, and a long
+    recording is spread over tasks.
     """
-    schema = strides.schema.simpleString()[7:-1] + ",wb_id:bigint,end_rule:string,exclude_rule:string"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        records = rows.sort_values(["start", "end"], kind="stable").to_dict("records")
-        bouts: list[tuple[list[dict], str | None]] = []
-        now: list[dict] = []
-        for record in records:
-            why = next((name for name, rule in ends.items() if rule(now, record)), None)
-            if why:
-                bouts.append((now, why))
-                now = []
-            now.append(record)
-        if now:
-            bouts.append((now, None))
-        out, number = [], 0
-        for members, why in bouts:
-            bad = next((name for name, test in include.items() if not test(members)), None)
-            out += [r | {"wb_id": None if bad else number, "end_rule": why, "exclude_rule": bad} for r in members]
-            number += bad is None
-        return pd.DataFrame(out, columns=[*rows.columns, "wb_id", "end_rule", "exclude_rule"]).astype({"wb_id": "Int64"})
-
-    return strides.groupBy(*by).applyInPandas(run, schema.replace(":", " "))
-
-
-def regions_of(samples: DataFrame, regions: DataFrame, by: list[str], ident: str = "wb_id", position: str = "sample") -> DataFrame:
-    """Samples of each half-open region, with their position in it: the input of a kernel per region."""
-    r = regions.select(*[F.col(b).alias(f"{b}__") for b in by], F.col(ident), F.col("start").alias("from__"), F.col("end").alias("to__"))
-    on = [F.col(b) == F.col(f"{b}__") for b in by]
-    joined = samples.join(r, [*on, F.col(position) >= F.col("from__"), F.col(position) < F.col("to__")])
-    return joined.withColumn("offset", F.col(position) - F.col("from__")).drop("from__", "to__", *[f"{b}__" for b in by])
-
-
+    r = regions.where("end > start").select(*by, F.col(ident), F.col("start").alias("from__"), F.col("end").alias("to__"))
+    r = r.withColumn("stretch__", F.explode(F.sequence(F.floor(F.col("from__") / bucket), F.floor((F.col("to__") - 1) / bucket))))
+    joined = samples.withColumn("stretch__", F.floor(F.col(position) / bucket)).join(r, [*by, "stretch__"])
+    offset = F.col(position) - F.col("from__")
+    inside = joined.withColumn("offset", offset).where((F.col("offset") >= 0) & (F.col(position) < F.col("to__")))
+    return inside.select(*samples.columns, ident, "offset")

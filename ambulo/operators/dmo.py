@@ -151,8 +151,10 @@ OUTCOMES = _outcomes()
 FILLED = {"wb_10_sum", "wb_30_sum", "wb_60_sum", "wb_all_sum", "turns_all_sum"}
 
 
-def outcome_column(o: Outcome) -> Column:
+def outcome_column(o: Outcome, accuracy: int | None = None) -> Column:
+    """accuracy: of medians and percentiles, as percentile_approx takes it; None computes them exactly."""
     value = F.col(o.measure)
+    share = (lambda q: F.percentile(value, q)) if accuracy is None else (lambda q: F.percentile_approx(value, q, accuracy))
     if o.over is not None:
         stratum = F.col("duration_s") > o.over
         value = F.when(stratum & (F.col("duration_s") <= o.upto) if o.upto is not None else stratum, value)
@@ -163,8 +165,8 @@ def outcome_column(o: Outcome) -> Column:
         "sum": lambda: F.coalesce(F.sum(value), F.lit(0)),
         "minutes": lambda: F.coalesce(F.sum(value), F.lit(0.0)) / 60,
         "avg": lambda: F.avg(value),
-        "median": lambda: F.median(value),
-        "p90": lambda: F.percentile(value, 0.9),
+        "median": lambda: share(0.5),
+        "p90": lambda: share(0.9),
         "var": lambda: F.try_divide(F.stddev_samp(value), F.avg(value)),
     }
     return sums[o.how]()
@@ -177,15 +179,18 @@ class Aggregator:
     Strata are conditional inputs of the same aggregation.  Outcomes whose
     measure is missing are left out, strata need duration_s.  Without keys all
     bouts make one group named all_wbs.  Rows with a NULL key are dropped.
+    Exact medians and percentiles count a group's distinct values in one task;
+    for one group of very many bouts an accuracy (say 10,000) bounds that.
     """
 
     keys: tuple[str, ...] = ()
     original_names: bool = True
     names: tuple[str, ...] = field(default=())
+    accuracy: int | None = None
 
     def __call__(self, bouts: DataFrame) -> DataFrame:
         chosen = [o for o in OUTCOMES if o.measure in bouts.columns and (o.over is None or "duration_s" in bouts.columns) and (not self.names or o.name in self.names)]
-        aggs = [outcome_column(o).alias(o.name if self.original_names else o.long_name) for o in chosen]
+        aggs = [outcome_column(o, self.accuracy).alias(o.name if self.original_names else o.long_name) for o in chosen]
         if not self.keys:
             return bouts.groupBy(F.lit("all_wbs").alias("group")).agg(*aggs)
         require(bouts, *self.keys)

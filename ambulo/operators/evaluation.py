@@ -10,8 +10,11 @@ from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Signs of (vertical, sideways, forward) axes of a sensor worn the wrong way (half turns, the axes stay).
-ORIENTATIONS = {"upright": (1, 1, 1), "turned_about_vertical": (1, -1, -1), "turned_about_sideways": (-1, 1, -1), "turned_about_forward": (-1, -1, 1)}
+#: Eight ways to wear a sensor: new (vertical, sideways, forward) axes as signed places, 1 to 3, of the old ones (fixed values).
+ORIENTATIONS = {
+    "identity": (1, 2, 3), "pa_normal__rot_pa_pos90": (-2, 1, 3), "pa_normal__rot_pa_180": (-1, -2, 3), "pa_normal__rot_pa_neg90": (2, -1, 3),
+    "pa_flipped__rot_pa_0": (1, -2, -3), "pa_flipped__rot_pa_pos90": (2, 1, -3), "pa_flipped__rot_pa_180": (-1, 2, -3), "pa_flipped__rot_pa_neg90": (-2, -1, -3),
+}
 
 
 def add_columns(df: DataFrame, new: dict[str, tuple[list[str], Callable[..., Column]]], missing: str = "raise") -> DataFrame:
@@ -46,12 +49,21 @@ def cross_validate(df: DataFrame, k: int, fit: Callable[[DataFrame], object], sc
     return out
 
 
-def misoriented(samples: DataFrame, axes: tuple[str, str, str] = ("is", "ml", "pa"), sensors: tuple[str, ...] = ("acc", "gyr")) -> DataFrame:
+def misoriented(samples: DataFrame, axes: tuple[str, str, str] = ("is", "ml", "pa"), sensors: tuple[str, ...] = ("acc", "gyr"), orientations: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     """Each sample once for every way to wear the sensor, named by column orientation."""
-    signs = F.array(*[F.struct(F.lit(n).alias("orientation"), *[F.lit(s).alias(a) for a, s in zip(axes, v, strict=True)]) for n, v in ORIENTATIONS.items()])
-    rows = samples.withColumn("sign__", F.explode(signs))
-    turned = {f"{s}_{a}": F.col(f"{s}_{a}") * F.col(f"sign__.{a}") for s in sensors for a in axes}
-    return rows.withColumns(turned | {"orientation": F.col("sign__.orientation")}).drop("sign__")
+    chosen = ORIENTATIONS if orientations is None else orientations
+    rows = samples.withColumn("orientation", F.explode(F.array(*map(F.lit, chosen))))
+    new = {}
+    for s in sensors:
+        for k, a in enumerate(axes):
+            old = lambda place, s=s: F.col(f"{s}_{axes[abs(place) - 1]}") * (1 if place > 0 else -1)
+            new[f"{s}_{a}"] = F.coalesce(*[F.when(F.col("orientation") == name, old(turn[k])) for name, turn in chosen.items()])
+    return rows.withColumns(new)
+
+
+def one_orientation(samples: DataFrame, orientation: str, axes: tuple[str, str, str] = ("is", "ml", "pa"), sensors: tuple[str, ...] = ("acc", "gyr")) -> DataFrame:
+    """Samples of a recording as if the sensor had been worn one way."""
+    return misoriented(samples, axes, sensors, {orientation: ORIENTATIONS[orientation]})
 
 
 def pendulum_features(samples: DataFrame, contacts: DataFrame, by: list[str], fs: float) -> DataFrame:

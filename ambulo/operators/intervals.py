@@ -74,26 +74,22 @@ def categorize_per_sample(detected: DataFrame, reference: DataFrame, by: list[st
     return parts.unionByName(tn)
 
 
-def match_overlap(detected: DataFrame, reference: DataFrame, by: list[str], threshold: float = 0.8, ident: str = "id", bucket: int = 0) -> DataFrame:
+def match_overlap(detected: DataFrame, reference: DataFrame, by: list[str], threshold: float = 0.8, ident: str = "id", bucket: int = 100_000) -> DataFrame:
     """One-to-one matches of intervals whose overlap is at least threshold of both, as tp, fp and fn rows.
 
-    threshold over 0.5 makes matches unique if no list overlaps itself.  With
-    a bucket width the range join gets a second equi key, so that one long
-    recording is spread over tasks; a pair counts in the bucket in which its
-    overlap starts.
+    threshold over 0.5 makes matches unique if no list overlaps itself.  An
+    interval goes to each bucket of positions that it touches and meets the
+    others there, so that one long recording is spread over tasks; a pair
+    counts in the bucket in which its overlap starts.
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("threshold must be over 0.5 and at most 1")
     d, r = _tag(detected, by, "d", ident, "start", "end"), _tag(reference, by, "r", ident, "start", "end")
-    keys = list(by)
-    if bucket:
-        spread = lambda df, t: df.withColumn("bucket__", F.explode(F.sequence(F.floor(F.col(f"start__{t}") / bucket), F.floor(F.col(f"end__{t}") / bucket))))
-        d, r, keys = spread(d, "d"), spread(r, "r"), [*by, "bucket__"]
+    spread = lambda df, t: df.withColumn("bucket__", F.explode(F.sequence(F.floor(F.col(f"start__{t}") / bucket), F.floor(F.col(f"end__{t}") / bucket))))
     low, high = F.greatest("start__d", "start__r"), F.least("end__d", "end__r")
     share = high - low
-    pairs = d.join(r, keys).where((share >= threshold * (F.col("end__d") - F.col("start__d"))) & (share >= threshold * (F.col("end__r") - F.col("start__r"))) & (share > 0))
-    if bucket:
-        pairs = pairs.where(F.col("bucket__") == F.floor(low / bucket))
+    pairs = spread(d, "d").join(spread(r, "r"), [*by, "bucket__"]).where(F.col("bucket__") == F.floor(low / bucket))
+    pairs = pairs.where((share >= threshold * (F.col("end__d") - F.col("start__d"))) & (share >= threshold * (F.col("end__r") - F.col("start__r"))) & (share > 0))
     pairs = pairs.select(*by, F.col(f"{ident}__d").alias("id_detected"), F.col(f"{ident}__r").alias("id_reference"))
     return _with_unmatched(pairs, detected, reference, by, ident)
 
@@ -168,10 +164,20 @@ def relative_to(events: DataFrame, regions: DataFrame, by: list[str], columns: l
 
 
 def interval_mean(intervals: DataFrame, values: DataFrame, by: list[str], position: str, value: str, ident: str = "id") -> DataFrame:
-    """Mean of the values at positions within each interval, both ends included; NULL without any."""
-    v = values.select(*by, F.col(position).alias("pos__"), F.col(value).alias("v__"))
-    joined = intervals.join(v, [*[intervals[b] == v[b] for b in by], v["pos__"].between(intervals["start"], intervals["end"])], "left")
-    return joined.groupBy(*[intervals[b] for b in by], intervals[ident]).agg(F.avg("v__").alias(f"{value}_mean"))
+    """Mean of the values at positions within each interval, both ends included; NULL without any.
+
+    Sums and counts up to both ends of an interval come from one ordered
+    stream of values and ends, so that intervals and values never meet in pairs.
+    """
+    nothing = F.lit(None).cast("long")
+    stream = values.where(F.col(value).isNotNull()).select(*by, F.col(position).alias("pos"), F.col(value).cast("double").alias("v"), nothing.alias("id"), F.lit(1).alias("turn"))
+    for name, turn in (("start", 0), ("end", 2)):
+        stream = stream.unionByName(intervals.select(*by, F.col(name).alias("pos"), F.lit(None).cast("double").alias("v"), F.col(ident).alias("id"), F.lit(turn).alias("turn")))
+    upto = Window.partitionBy(*by).orderBy("pos", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    summed = stream.withColumn("s", F.coalesce(F.sum("v").over(upto), F.lit(0.0))).withColumn("n", F.count("v").over(upto)).where("turn <> 1")
+    between = lambda c: F.max(F.when(F.col("turn") == 2, F.col(c))) - F.max(F.when(F.col("turn") == 0, F.col(c)))
+    ends = summed.groupBy(*by, "id").agg(between("s").alias("s"), between("n").alias("n"))
+    return ends.select(*by, F.col("id").alias(ident), F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias(f"{value}_mean"))
 
 
 def window_ids(position: Column, size: int, step: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ambulo.functions.columns import errors
+from ambulo.functions.distributions import f_quantile, t_two_sided
 
 
 def _ratio(a: Column, b: Column, zero: float = 0.0) -> Column:
@@ -76,10 +77,13 @@ def error_statistics(df: DataFrame, by: list[str], column: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(x).alias("mean"), *[c.alias(f"{k}_{end}") for k, p in pairs.items() for end, c in zip(("lower", "upper"), p, strict=True)], F.count(F.lit(1)).alias("n_datapoints"))
 
 
-def icc(df: DataFrame, by: list[str], reference: str, detected: str, kind: str = "icc2") -> DataFrame:
+def icc(df: DataFrame, by: list[str], reference: str, detected: str, kind: str = "icc2", interval: bool = False) -> DataFrame:
     """Intraclass correlation of two raters from sums: icc1 (one way), icc2 (random raters) or icc3 (fixed raters).
 
-    Rows with a missing value are left out; under two rows it is NULL.
+    Rows with a missing value are left out; under two rows it is NULL.  With
+    interval, icc_ci_lower and icc_ci_upper are its 95 % confidence interval,
+    computed for the one row of each group; NULL where it isn't defined, as for
+    perfect agreement.
     """
     rows = df.where(F.col(reference).isNotNull() & F.col(detected).isNotNull())
     d, r = F.col(detected), F.col(reference)
@@ -92,7 +96,37 @@ def icc(df: DataFrame, by: list[str], reference: str, detected: str, kind: str =
     msr, msc, mse = F.try_divide(rows_ss, n - 1), raters_ss, F.try_divide(rest_ss, n - 1)
     msw = F.try_divide(raters_ss + rest_ss, n)
     value = {"icc1": F.try_divide(msr - msw, msr + msw), "icc2": F.try_divide(msr - mse, msr + mse + 2 * (msc - mse) / n), "icc3": F.try_divide(msr - mse, msr + mse)}[kind]
-    return sums.select(*by, n, value.alias("icc"))
+    found = sums.select(*by, n, value.alias("icc"), msr.alias("msr"), msc.alias("msc"), mse.alias("mse"), msw.alias("msw"))
+    if not interval:
+        return found.select(*by, "n", "icc")
+    bounds = F.udf(lambda *x: _icc_bounds(kind, *x), "struct<low: double, high: double>")("n", "icc", "msr", "msc", "mse", "msw")
+    return found.withColumn("b", bounds).select(*by, "n", "icc", F.col("b.low").alias("icc_ci_lower"), F.col("b.high").alias("icc_ci_upper"))
+
+
+def _icc_bounds(kind: str, n: int, value: float | None, msr: float | None, msc: float | None, mse: float | None, msw: float | None) -> tuple[float, float] | None:
+    """95 % confidence interval of an intraclass correlation of two raters (McGraw and Wong); None where it isn't defined."""
+    if value is None or mse is None or n < 2:
+        return None
+    rows = n - 1
+    if kind in ("icc1", "icc3"):
+        other, rest = (msw, n) if kind == "icc1" else (mse, rows)
+        if not other:
+            return None
+        ratio = msr / other
+        low, high = ratio / f_quantile(0.975, rows, rest), ratio * f_quantile(0.975, rest, rows)
+        return (low - 1) / (low + 1), (high - 1) / (high + 1)
+    if not mse:
+        return None
+    tilt, flat = 2 * value * msc / mse, n * (1 + value) - 2 * value
+    top, bottom = rows * (tilt + flat) ** 2, rows * tilt**2 + flat**2
+    if not bottom or not top:
+        return None
+    dof = top / bottom
+    up, down = f_quantile(0.975, rows, dof), f_quantile(0.975, dof, rows)
+    if up is None or down is None:
+        return None
+    common = 2 * msc + (n - 2) * mse
+    return n * (msr - up * mse) / (up * common + n * msr), n * (down * msr - mse) / (common + n * down * msr)
 
 
 def timing_errors(contacts: DataFrame, matches: DataFrame, by: list[str], bout: str, sampling_rate_hz: float, position: str = "ic") -> DataFrame:
@@ -139,6 +173,56 @@ def pairwise_welch(df: DataFrame, between: str, value: str, reference: str) -> D
     return both.select(between, t.alias("t"), dof.alias("dof"))
 
 
+def pairwise_tests(df: DataFrame, between: str, value: str, reference: str) -> DataFrame:
+    """t, degrees of freedom and two-sided p of each group against the reference group.
+
+    Student's test for groups of one size, Welch's otherwise.  Without the
+    reference group there are no rows.  p is computed for the one row of each
+    group.
+    """
+    stats = df.where(F.col(value).isNotNull()).groupBy(between).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).alias("n"))
+    ref = stats.where(F.col(between) == reference).select(F.col("m").alias("m0"), F.col("v").alias("v0"), F.col("n").alias("n0"))
+    # one row of the reference group joins every group
+    both = stats.where(F.col(between) != reference).join(F.broadcast(ref))
+    a, b = F.col("v") / F.col("n"), F.col("v0") / F.col("n0")
+    welch = F.try_divide((a + b) * (a + b), a * a / (F.col("n") - 1) + b * b / (F.col("n0") - 1))
+    # with equal sizes both tests have the same t
+    dof = F.when(F.col("n") == F.col("n0"), (F.col("n") + F.col("n0") - 2).cast("double")).otherwise(welch)
+    p = F.udf(t_two_sided, "double")
+    found = both.select(between, F.try_divide(F.col("m0") - F.col("m"), F.sqrt(a + b)).alias("t"), dof.alias("dof"))
+    return found.withColumn("p", p("t", "dof"))
+
+
+#: Measures that the default statistics cover, where a table has them (fixed values).
+DEFAULT_MEASURES = ("cadence_spm", "duration_s", "n_steps", "n_strides", "n_turns", "stride_duration_s", "stride_length_m", "walking_speed_mps")
+
+
+def default_error_statistics(matched: DataFrame, by: list[str], measures: tuple[str, ...] = DEFAULT_MEASURES) -> DataFrame:
+    """The default statistics of matched rows, long: (by, measure, origin, statistic, value).
+
+    matched: by, <measure>__detected and <measure>__reference of some of the
+    measures.  Means and 5 % and 95 % quantiles of both sides and of the
+    absolute errors, means and limits of agreement of the errors, the
+    intraclass correlation with its interval, and the number of rows.
+    """
+    names = [m for m in measures if f"{m}__detected" in matched.columns and f"{m}__reference" in matched.columns]
+    rows = with_errors(matched, *names)
+    aggs: dict[tuple[str, str, str], Column] = {("all", "all", "n_datapoints"): F.count(F.lit(1)).cast("double")}
+    for m in names:
+        for origin in ("detected", "reference", "abs_error", "abs_rel_error", "error", "rel_error"):
+            x = F.col(f"{m}__{origin}")
+            ends, tag = (limits_of_agreement(x), "loa") if origin in ("error", "rel_error") else (quantile_pair(x), "quantile")
+            aggs |= {(m, origin, "mean"): F.avg(x), (m, origin, f"{tag}_lower"): ends[0], (m, origin, f"{tag}_upper"): ends[1]}
+    wide = rows.groupBy(*by).agg(*[c.cast("double").alias("|".join(k)) for k, c in aggs.items()])
+    entries = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(k, ("measure", "origin", "statistic"), strict=True)], F.col("|".join(k)).alias("value")) for k in aggs])
+    long = wide.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
+    for m in names:
+        agreement = icc(rows, by, f"{m}__reference", f"{m}__detected", interval=True)
+        kinds = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit("all").alias("origin"), F.lit(k).alias("statistic"), F.col(k).alias("value")) for k in ("icc", "icc_ci_lower", "icc_ci_upper")])
+        long = long.unionByName(agreement.select(*by, F.explode(kinds).alias("e")).select(*by, "e.*"))
+    return long
+
+
 def multilevel(df: DataFrame, groupings: list[tuple[list[str], list[Column]]]) -> DataFrame:
     """Aggregates of several groupings side by side, joined on the keys of the finest (the first)."""
     (keys, aggs), *rest = groupings

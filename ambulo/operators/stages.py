@@ -50,8 +50,14 @@ def count_peaks(x: np.ndarray, least: float, distance: int) -> int:
     return len(kept)
 
 
-def gait_sequences(samples: DataFrame, by: list[str], fs: float, *, window_s: float = 3, least_s: float = 5, thresholds_g: tuple[float, float] = (0.4 / 128, 0.4 / 128), steps_per_s: tuple[float, float] = (2 / 3, 3), change: float = 0.15) -> DataFrame:
-    """(by, start, end): windows with upright activity and a plausible number of steps on two axes, merged."""
+def gait_sequences(samples: DataFrame, by: list[str], fs: float, *, window_s: float = 3, least_s: float = 5, thresholds_g: tuple[float, float] = (0.4 / 128, 0.4 / 128), steps_per_s: tuple[float, float] = (2 / 3, 3), change: float = 0.15, by_crossings: bool = False) -> DataFrame:
+    """(by, start, end): windows with upright activity and a plausible number of steps on two axes, merged.
+
+    by_crossings counts peaks between zero crossings at least 0.1 s apart
+    instead of peaks at the distance of the fastest steps.
+    """
+    count, apart = (K.count_peaks_by_crossings, round(fs / 10)) if by_crossings else (count_peaks, max(1, int(fs / steps_per_s[1])))
+
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         vertical, forward = rows["acc_is"].to_numpy(float), rows["acc_pa"].to_numpy(float)
         n = round(window_s * fs)
@@ -70,7 +76,7 @@ def gait_sequences(samples: DataFrame, by: list[str], fs: float, *, window_s: fl
         for x, least in ((vertical - GRAVITY_MS2, thresholds_g[0]), (forward, thresholds_g[1])):
             shaped = windows(np.convolve(x, sine, "same"))
             for k in np.flatnonzero(good):
-                peaks = count_peaks(shaped[k], least * GRAVITY_MS2, max(1, int(fs / steps_per_s[1])))
+                peaks = count(shaped[k], least * GRAVITY_MS2, apart)
                 good[k] = steps_per_s[0] * window_s < peaks <= steps_per_s[1] * window_s
         begin = raw[:, :second].mean(axis=1)
         good &= np.abs((begin - raw[:, -second:].mean(axis=1)) / begin) <= change
@@ -82,6 +88,32 @@ def gait_sequences(samples: DataFrame, by: list[str], fs: float, *, window_s: fl
     return per_group(samples, by, ["acc_is", "acc_pa"], kernel, "start long, end long")
 
 
+def in_stretches(samples: DataFrame, by: list[str], detect: Callable[[DataFrame, list[str]], DataFrame], stretch: int, overlap: int) -> DataFrame:
+    """Intervals of long recordings, detected in stretches of ``stretch`` samples, each with ``overlap`` more on both sides.
+
+    detect(samples, by) gives (by, start, end).  Of each stretch only what lies
+    in its core counts; intervals that meet at its ends are united.  So a task
+    holds one stretch, however long the recording.  Thresholds that adapt to a
+    recording adapt to a stretch here.
+    """
+    from ambulo.operators.intervals import merge
+
+    core = F.floor(F.col("sample") / stretch)
+    near = F.array_distinct(F.array(core, F.floor((F.col("sample") - overlap) / stretch), F.floor((F.col("sample") + overlap) / stretch)))
+    parts = samples.withColumn("stretch__", F.explode(near)).where("stretch__ >= 0")
+    first = F.greatest(F.col("stretch__") * stretch - overlap, F.lit(0))
+    parts = parts.withColumn("sample", (F.col("sample") - first).cast("long"))
+    found = detect(parts, [*by, "stretch__"])
+    low, high = F.col("stretch__") * stretch, (F.col("stretch__") + 1) * stretch
+    found = found.withColumn("start", F.greatest(F.col("start") + first, low)).withColumn("end", F.least(F.col("end") + first, high)).where("end > start")
+    return merge(found.select(*by, "start", "end"), by)
+
+
+def cadence_with_detector(samples: DataFrame, regions: DataFrame, by: list[str], fs: float, detect: Callable[[DataFrame, list[str], float], DataFrame], max_gap_s: int = 3) -> DataFrame:
+    """Cadence of each region from contacts that ``detect`` finds in its own samples; contacts found elsewhere play no part."""
+    return cadence(detect(samples, by, fs), regions, by, fs, max_gap_s)
+
+
 def initial_contacts(samples: DataFrame, by: list[str], fs: float, width: float = 9) -> DataFrame:
     """(by, ic): minima of the wavelet-smoothed integral of vertical acceleration between its zero crossings."""
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
@@ -204,36 +236,43 @@ def orientations(samples: DataFrame, by: list[str], fs: float, beta: float = 0.2
     return per_group(samples, by, [f"{s}_{a}" for s in ("acc", "gyr") for a in "xyz"], kernel, "sample long, orientation array<double>")
 
 
-def analytic_envelope(x: np.ndarray) -> np.ndarray:
-    """Magnitude of the analytic signal."""
-    n = len(x)
-    weight = np.zeros(n)
-    weight[0] = 1
-    weight[1 : (n + 1) // 2] = 2
-    if n % 2 == 0:
-        weight[n // 2] = 1
-    return np.abs(np.fft.ifft(np.fft.fft(x) * weight))
-
-
 def pulse_trains(at: np.ndarray, first_gap: float, margin: float, least: int) -> list[tuple[int, int]]:
     """(first, last) positions of trains of pulses: the next gap may exceed the mean gap so far by ``margin``.
 
-    A train starts with a gap up to first_gap; one of fewer than least pulses is left out.
+    A train starts with a gap under first_gap and the next one is looked for
+    from the pulse behind it; one of fewer than least pulses is left out.
     """
     out, i = [], 0
     while i < len(at) - 1:
-        j = i
-        while j + 1 < len(at):
-            limit = first_gap if j == i else (at[j] - at[i]) / (j - i) + margin
-            if at[j + 1] - at[j] > limit:
-                break
+        if at[i + 1] - at[i] >= first_gap:
+            i += 1
+            continue
+        j = i + 1
+        while j + 1 < len(at) and at[j + 1] - at[j] <= (at[j] - at[i]) / (j - i) + margin:
             j += 1
         if j - i + 1 >= least:
             out.append((int(at[i]), int(at[j])))
-        i = max(j, i + 1)
+        i = j + 1
     return out
 
 
+def peaks_of(x: np.ndarray, least: float = -np.inf) -> np.ndarray:
+    """Positions of local maxima of at least ``least``."""
+    return np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:]) & (x[1:-1] >= least)) + 1
+
+
+def active_peak_level(x: np.ndarray, rate: float, least_s: float = 3, smooth_s: float = 1) -> float | None:
+    """5 % quantile of the heights of maxima and minima in active parts of over least_s; None without such a part."""
+    n = round(smooth_s * rate)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], K.active_regions(x, n, n).astype(np.int8), [0]])))
+    spans = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a > round(least_s * rate)]
+    if not spans:
+        return None
+    part = np.concatenate([x[a:b] for a, b in spans])
+    heights = np.concatenate([part[peaks_of(part, 0)], -part[peaks_of(-part, 0)]])
+    return float(np.percentile(heights, 5)) if len(heights) else None
+
+
 def common_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> np.ndarray:
     """Overlaps of two lists of spans, merged."""
     found = [(max(s, u), min(e, v)) for s, e in a for u, v in b if s < v and u < e]
@@ -244,23 +283,24 @@ def gait_sequences_by_pulses(samples: DataFrame, by: list[str], fs: float, *, th
     """(by, start, end): trains of steps in both the maxima and the minima of the smoothed acceleration norm.
 
     threshold_g: least height of an extremum; None takes the 5 % quantile of
-    the maxima in active parts (where the envelope exceeds its mean), or
-    fallback_g without any.
+    the extrema in active parts of a signal that is smoothed more, or, without
+    such parts, fallback_g and the signal smoothed less.
     """
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         norm = np.sqrt((rows[["acc_is", "acc_ml", "acc_pa"]].to_numpy(float) ** 2).sum(axis=1))
         chain = K.chain(K.resample(40), K.pad(4), K.lift(K.savgol, window_s=0.525, poly_rel=0.3), K.lift(K.dedrifted_gait_band), K.crop(4))
         x, rate = chain(norm, fs)
-        x = K.gaussian(K.gaus2_cwt(x, 10), 0.05, rate)
-        high = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1
-        low = np.flatnonzero((x[1:-1] < x[:-2]) & (x[1:-1] <= x[2:])) + 1
-        least = threshold_g
-        if least is None:
-            active = analytic_envelope(x)
-            peaks = x[high[active[high] > active.mean()]]
-            peaks = peaks[peaks > 0]
-            least = float(np.percentile(peaks, 5)) / GRAVITY_MS2 if len(peaks) else fallback_g
-        least *= GRAVITY_MS2
+        x, least = K.gaussian(K.gaus2_cwt(x, 10), 0.05, rate), fallback_g * GRAVITY_MS2
+        if threshold_g is not None:
+            least = threshold_g * GRAVITY_MS2
+        else:
+            smooth = x
+            for samples_wide in (2, 2, 3, 2):
+                smooth = K.gaussian(smooth, samples_wide / rate, rate)
+            level = active_peak_level(smooth, rate)
+            if level is not None:
+                x, least = smooth, level
+        high, low = peaks_of(x), peaks_of(-x)
         trains = [pulse_trains(at, first_gap_s * rate, margin_s * rate, least_steps) for at in (high[x[high] > least], low[x[low] < -least])]
         spans = common_spans(*trains)
         wide = np.stack([spans[:, 0] - padding_s * rate, spans[:, 1] + padding_s * rate], axis=1).astype(int) if len(spans) else spans
@@ -298,42 +338,71 @@ def initial_contacts_by_morphology(samples: DataFrame, by: list[str], fs: float)
     return per_group(samples, by, ["acc_is", "acc_ml", "acc_pa"], kernel, "ic long")
 
 
-def reorient(samples: DataFrame, by: list[str], fs: float, threshold: float = 6.37, band: tuple[float, float] = (0.5, 3)) -> DataFrame:
-    """(by, sample, acc_is .. gyr_pa, detected_orientation) with the axes of a walking region put right.
-
-    The axis whose mean exceeds the threshold is vertical, its sign tells up
-    from down; the phase between vertical and forward acceleration in the gait
-    band, weighted by power, tells front from back.  Without a vertical axis
-    the data stays as it is, detected_orientation is NULL.
+#: Turns that put gravity upright, by where it points, as rows of (vertical, sideways, forward) in old axes (fixed values).
+UPRIGHT_TURNS = {
+    "is_up": np.eye(3), "is_down": np.diag([-1.0, -1.0, 1.0]),
+    "ml_up": np.array([[0.0, 1.0, 0.0], [-1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]), "ml_down": np.array([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]),
+}
+#: Names of the eight ways to wear a sensor, by where gravity points: for a positive and a negative phase once it is upright (fixed values).
+WORN = {
+    "is_up": ("identity", "pa_flipped__rot_pa_0"), "is_down": ("pa_normal__rot_pa_180", "pa_flipped__rot_pa_180"),
+    "ml_up": ("pa_normal__rot_pa_pos90", "pa_flipped__rot_pa_pos90"), "ml_down": ("pa_normal__rot_pa_neg90", "pa_flipped__rot_pa_neg90"),
+}
+
+
+def gravity_family(means: np.ndarray, threshold: float) -> str | None:
+    """Which of the vertical and sideways axes holds gravity, and its sign."""
+    for name, value in zip(("is", "ml"), means, strict=False):
+        if abs(value) >= threshold:
+            return f"{name}_{'up' if value > 0 else 'down'}"
+    return None
+
+
+def reorient(samples: DataFrame, by: list[str], fs: float, threshold: float = 6.37, mode: str = "trust_gravity", errors: str = "ignore") -> DataFrame:
+    """(by, sample, acc_is .. gyr_pa, family, phase, detected_orientation) with the axes of a walking region put right.
+
+    The vertical or sideways axis whose mean reaches the threshold holds
+    gravity (family), which is turned upright.  The phase between vertical and
+    forward acceleration in the gait band then tells front from back: a
+    negative one turns by half about the vertical axis.  mode trust_gravity
+    leaves data as it is whose gravity is upright already; full looks for
+    front and back there too.
+
+    detected_orientation names the way the sensor was worn, ``unknown`` where
+    no axis holds gravity or the phase can't be told; such data is returned
+    with its gravity upright, if that is known.  errors="raise" makes that an
+    error.
     """
+    if mode not in ("full", "trust_gravity") or errors not in ("raise", "ignore"):
+        raise ValueError("mode is full or trust_gravity, errors is raise or ignore")
     axes = ("is", "ml", "pa")
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        acc = rows[[f"acc_{a}" for a in axes]].to_numpy(float)
-        gyr = rows[[f"gyr_{a}" for a in axes]].to_numpy(float)
-        means = acc.mean(axis=0)
-        k = int(np.argmax(np.abs(means)))
-        label = None
-        if abs(means[k]) > threshold and k != 2:
-            turn = np.eye(3)
-            if k == 1:  # the sideways axis is vertical: a quarter turn about the forward axis
-                turn = np.array([[0, 1, 0], [-1, 0, 0], [0, 0, 1.0]])
-            if means[k] < 0:  # upside down: a half turn about the forward axis
-                turn = np.diag([-1.0, -1, 1]) @ turn
-            acc, gyr = acc @ turn.T, gyr @ turn.T
-            label = f"{'+' if means[k] > 0 else '-'}{axes[k]}"
-            spectrum = np.fft.rfft((acc - acc.mean(axis=0)) * np.hanning(len(acc))[:, None], axis=0)
-            hertz = np.fft.rfftfreq(len(acc), 1 / fs)
-            cross = (spectrum[:, 0] * np.conj(spectrum[:, 2]))[(hertz >= band[0]) & (hertz <= band[1])]
-            if len(cross) and np.average(np.angle(cross), weights=np.abs(cross) + 1e-12) > 0:
-                acc, gyr = acc * [1, -1, -1], gyr * [1, -1, -1]
-                label += ",back"
+        acc, gyr = (rows[[f"{s}_{a}" for a in axes]].to_numpy(float) for s in ("acc", "gyr"))
+        family = gravity_family(acc.mean(axis=0), threshold)
+        phase, label = None, "unknown"
+        if family is not None:
+            acc, gyr = acc @ UPRIGHT_TURNS[family].T, gyr @ UPRIGHT_TURNS[family].T
+            if mode == "trust_gravity" and family == "is_up":
+                label = "identity"
+            else:
+                phase = K.cross_phase(acc[:, 0], acc[:, 2], fs)
+                back = phase is not None and phase < 0
+                if phase is not None:
+                    label = WORN[family][back]
+                if back:
+                    acc, gyr = acc * [1, -1, -1], gyr * [1, -1, -1]
+        if label == "unknown" and errors == "raise":
+            raise ValueError("no axis holds gravity" if family is None else "front and back can't be told apart")
         out = pd.DataFrame({"sample": rows["sample"]})
         for sensor, values in (("acc", acc), ("gyr", gyr)):
             for i, a in enumerate(axes):
                 out[f"{sensor}_{a}"] = values[:, i]
-        out["detected_orientation"] = pd.Series([label] * len(out), dtype=object)
+        out["family"] = pd.Series([family] * len(out), dtype=object)
+        out["phase"] = np.nan if phase is None else phase
+        out["detected_orientation"] = label
         return out
 
     columns = [f"{s}_{a}" for s in ("acc", "gyr") for a in axes]
-    return per_group(samples, by, columns, kernel, ", ".join(["sample long", *[f"{c} double" for c in columns], "detected_orientation string"]))
+    found = per_group(samples, by, columns, kernel, ", ".join(["sample long", *[f"{c} double" for c in columns], "family string", "phase double", "detected_orientation string"]))
+    return found.withColumn("phase", F.nanvl("phase", F.lit(None)))

@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read from there: later steps neither repeat its work nor carry its plan.
 
-    The folder is the cluster's spark.checkpoint.dir; one is made only where none is set.
+    The folder is the cluster's spark.checkpoint.dir.  Where none is set a
+    local session gets a temporary one; on a cluster that is an error.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

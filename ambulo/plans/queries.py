@@ -43,15 +43,14 @@ VIEWS: dict[str, dict[str, str]] = {
     },
     "contacts": {"rec": "user_id", "id": "event_id", "ic": "{second}", "lr_label": "CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END"},
     "reference": {"rec": "user_id", "id": "event_id", "start": "{second}", "end": "{second} + CAST(floor(value * 100) AS BIGINT) + 10", "value": "value"},
-    "detected": {"rec": "user_id", "id": "event_id", "start": "{second} + (event_id % 7) * 30", "end": "{second} + CAST(floor(value * 100) AS BIGINT) + 10 + (event_id % 7) * 30 + (event_id % 3) * 40", "value": "value * (1 + (event_id % 11) / 1e2)"},
+    "detected": {"rec": "user_id", "id": "event_id", "start": "{second} + (event_id % 7) * 30", "end": "{second} + CAST(floor(value * (100 - 45 * CAST(event_id % 5 = 0 AS INT))) AS BIGINT) + 10 + (event_id % 7) * 30 + (event_id % 3) * 40", "value": "value * (1 + (event_id % 11) / 1e2)"},
     "strides": {"rec": "user_id", "s_id": "event_id", "start": "{second}", "end": "{second} + CAST(floor(value * 100) AS BIGINT) + 10", "lr_label": "CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END", "stride_length_m": "CASE WHEN event_id % 19 <> 0 THEN (event_id % 150) / 1e2 END"},
 }
-WHERE = {"detected": "event_id % 5 <> 0", "reference": "event_id % 6 <> 0"}
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     second = "(unix_seconds(CAST(ts AS TIMESTAMP)) - 1704067200)"
-    events = spark.read.parquet(f"{folder}/events.parquet").where(WHERE.get(name, "true"))
+    events = spark.read.parquet(f"{folder}/events.parquet")
     return events.selectExpr(*[f"{e.replace('{second}', second)} AS `{n}`" for n, e in VIEWS[name].items()])
 
 
@@ -61,7 +60,7 @@ def with_views(names: str, sql: str) -> str:
     parts = []
     for name in names.split():
         fields = ", ".join(f'{e.replace("{second}", second)} AS "{n}"' for n, e in VIEWS[name].items())
-        parts.append(f"{name} AS (SELECT {fields} FROM events WHERE {WHERE.get(name, 'true')})")
+        parts.append(f"{name} AS (SELECT {fields} FROM events)")
     parts.append("series AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample, value, value - 40 AS centred FROM events)")
     return f"WITH {', '.join(parts)} {sql}"
 
@@ -95,23 +94,45 @@ def rd(e: str, name: str) -> str:
     return f"round({e} + 1e-9, 6) AS {name}"
 
 
-def _outcome_sql(o: D.Outcome, name: str) -> str:
-    cond = "true" if o.over is None else f"duration_s > {o.over}" + (f" AND duration_s <= {o.upto}" if o.upto is not None else "")
-    f, m = f"FILTER ({cond})", o.measure
-    count = f"count({m}) {f}"
-    return {
-        "count": f"CAST({count} AS BIGINT) AS {name}" if o.name in D.FILLED else f"CAST(nullif({count}, 0) AS BIGINT) AS {name}",
-        "sum": f"CAST(coalesce(sum({m}) {f}, 0) AS BIGINT) AS {name}",
-        "minutes": rd(f"coalesce(sum({m}) {f}, 0) / 60", name),
-        "avg": rd(f"avg({m}) {f}", name),
-        "median": rd(f"median({m}) {f}", name),
-        "p90": rd(f"quantile_cont({m}, 0.9) {f}", name),
-        "var": rd(f"stddev_samp({m}) {f} / nullif(avg({m}) {f}, 0)", name),
-    }[o.how]
+#: The outcomes written out: name, long name, stratum of duration_s, value.
+_OUTCOMES = """
+wb_all_sum | wb_all__count | true | CAST(count(duration_s) FILTER (S) AS BIGINT)
+walkdur_all_sum | total_walking_duration_min | true | R(coalesce(sum(duration_s) FILTER (S), 0) / 60)
+wbsteps_all_sum | wb_all__n_raw_initial_contacts__sum | true | CAST(coalesce(sum(n_raw_initial_contacts) FILTER (S), 0) AS BIGINT)
+turns_all_sum | wb_all__n_turns__sum | true | CAST(coalesce(sum(n_turns) FILTER (S), 0) AS BIGINT)
+wbdur_all_avg | wb_all__duration_s__avg | true | R(median(duration_s) FILTER (S))
+wbdur_all_p90 | wb_all__duration_s__p90 | true | R(quantile_cont(duration_s, 0.9) FILTER (S))
+wbdur_all_var | wb_all__duration_s__var | true | R(stddev_samp(duration_s) FILTER (S) / nullif(avg(duration_s) FILTER (S), 0))
+cadence_all_avg | wb_all__cadence_spm__avg | true | R(avg(cadence_spm) FILTER (S))
+strdur_all_avg | wb_all__stride_duration_s__avg | true | R(avg(stride_duration_s) FILTER (S))
+cadence_all_var | wb_all__cadence_spm__var | true | R(stddev_samp(cadence_spm) FILTER (S) / nullif(avg(cadence_spm) FILTER (S), 0))
+strdur_all_var | wb_all__stride_duration_s__var | true | R(stddev_samp(stride_duration_s) FILTER (S) / nullif(avg(stride_duration_s) FILTER (S), 0))
+wb_1030_sum | wb_10_30__count | duration_s > 10 AND duration_s <= 30 | CAST(nullif(count(duration_s) FILTER (S), 0) AS BIGINT)
+ws_1030_avg | wb_10_30__walking_speed_mps__avg | duration_s > 10 AND duration_s <= 30 | R(avg(walking_speed_mps) FILTER (S))
+strlen_1030_avg | wb_10_30__stride_length_m__avg | duration_s > 10 AND duration_s <= 30 | R(avg(stride_length_m) FILTER (S))
+wb_10_sum | wb_10__count | duration_s > 10 | CAST(count(duration_s) FILTER (S) AS BIGINT)
+ws_10_p90 | wb_10__walking_speed_mps__p90 | duration_s > 10 | R(quantile_cont(walking_speed_mps, 0.9) FILTER (S))
+wb_30_sum | wb_30__count | duration_s > 30 | CAST(count(duration_s) FILTER (S) AS BIGINT)
+ws_30_avg | wb_30__walking_speed_mps__avg | duration_s > 30 | R(avg(walking_speed_mps) FILTER (S))
+strlen_30_avg | wb_30__stride_length_m__avg | duration_s > 30 | R(avg(stride_length_m) FILTER (S))
+cadence_30_avg | wb_30__cadence_spm__avg | duration_s > 30 | R(avg(cadence_spm) FILTER (S))
+strdur_30_avg | wb_30__stride_duration_s__avg | duration_s > 30 | R(avg(stride_duration_s) FILTER (S))
+ws_30_p90 | wb_30__walking_speed_mps__p90 | duration_s > 30 | R(quantile_cont(walking_speed_mps, 0.9) FILTER (S))
+cadence_30_p90 | wb_30__cadence_spm__p90 | duration_s > 30 | R(quantile_cont(cadence_spm, 0.9) FILTER (S))
+ws_30_var | wb_30__walking_speed_mps__var | duration_s > 30 | R(stddev_samp(walking_speed_mps) FILTER (S) / nullif(avg(walking_speed_mps) FILTER (S), 0))
+strlen_30_var | wb_30__stride_length_m__var | duration_s > 30 | R(stddev_samp(stride_length_m) FILTER (S) / nullif(avg(stride_length_m) FILTER (S), 0))
+wb_60_sum | wb_60__count | duration_s > 60 | CAST(count(duration_s) FILTER (S) AS BIGINT)
+"""
 
 
 def _aggregate_sql(original: bool = True) -> str:
-    return ", ".join(_outcome_sql(o, o.name if original else o.long_name) for o in D.OUTCOMES)
+    out = []
+    for line in _OUTCOMES.strip().splitlines():
+        name, long_name, stratum, value = line.split(" | ")
+        value = value.replace("FILTER (S)", f"FILTER ({stratum})")
+        value = f"round({value[2:-1]} + 1e-9, 6)" if value.startswith("R(") else value
+        out.append(f"{value} AS {name if original else long_name}")
+    return ", ".join(out)
 
 
 @query("bouts", f"SELECT {', '.join(KEYS)}, {_aggregate_sql()} FROM bouts GROUP BY ALL")
@@ -136,21 +157,29 @@ def dmo_masked(spark, folder):
     return D.DAILY(masked)
 
 
+#: Widest free-living ranges by outcome and cohort, missing entries filled from the rows below, written out.
+_RANGES = """('cadence_spm', 'CHF', 36.2, 172.9), ('cadence_spm', 'COPD', 38.88048357, 172.9), ('cadence_spm', 'HA', 35.751898, 172.9), ('cadence_spm', 'MS', 38.44321135, 172.9), ('cadence_spm', 'PD', 33.8, 172.9),
+('cadence_spm', 'PFF', 40.0, 172.9), ('stride_duration_s', 'CHF', 0.46, 3.03085714), ('stride_duration_s', 'COPD', 0.46, 3.0), ('stride_duration_s', 'HA', 0.46, 3.2544), ('stride_duration_s', 'MS', 0.46, 3.05775),
+('stride_duration_s', 'PD', 0.46, 3.0), ('stride_duration_s', 'PFF', 0.14, 3.0)"""
+_COHORTS = "(VALUES ('CHF'), ('COPD'), ('HA'), ('MS'), ('PD'), ('PFF')) c(cohort)"
+
+
 def _threshold_sql() -> str:
-    rows = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else "NULL" if v is None else repr(v) for v in r.values()) + ")" for r in D.threshold_rows())
-    names = ", ".join(D.threshold_rows()[0])
-    return f", t AS (SELECT dmo, cohort, least(literature_min, global_min, free_living_min) AS lo, greatest(literature_max, global_max, free_living_max) AS hi FROM (VALUES {rows}) v({names}))"
+    rows = f"SELECT dmo, cohort, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM (VALUES {_RANGES}) v(dmo, cohort, lo, hi)"
+    same = [f"SELECT '{d}', cohort, {lo}::DOUBLE, {hi}::DOUBLE FROM {_COHORTS}" for d, lo, hi in (("walking_speed_mps", 0.08151492, 2.22), ("stride_length_m", 0.1505232, 2.19))]
+    return f", t AS ({' UNION ALL '.join([rows, *same])})"
 
 
-_HEIGHT = "4 * sqrt(2 * (0.53 * height_m) * (9.81 * 0.53 * height_m * 0.038) - power(9.81 * 0.53 * height_m * 0.038, 2))"
+_CHECKED = ("cadence_spm", "walking_speed_mps", "stride_length_m", "stride_duration_s")
+_HEIGHT = "4 * sqrt(2 * (0.53 * height_m) * (9.80665 * 0.53 * height_m * 0.038) - power(9.80665 * 0.53 * height_m * 0.038, 2))"
 
 
 def _mask_sql() -> str:
     checks = []
-    for d in D.CHECKED:
+    for d in _CHECKED:
         hi = f"greatest({d}_t.hi, {_HEIGHT})" if d == "stride_length_m" else f"{d}_t.hi"
         checks.append(f"b.{d} BETWEEN {d}_t.lo AND {hi} AS {d}")
-    joins = " ".join(f"JOIN t {d}_t ON {d}_t.cohort = b.cohort AND {d}_t.dmo = '{d}'" for d in D.CHECKED)
+    joins = " ".join(f"JOIN t {d}_t ON {d}_t.cohort = b.cohort AND {d}_t.dmo = '{d}'" for d in _CHECKED)
     return f"{_threshold_sql()} SELECT b.wb_id, {', '.join(checks)} FROM bouts b {joins}"
 
 
@@ -268,7 +297,7 @@ _OVERLAP = """, p AS (SELECT d.rec, d.id AS id_detected, r.id AS id_reference, d
 @query("detected reference", _OVERLAP + """ SELECT rec, id_detected, id_reference, 'tp' AS match_type FROM p UNION ALL SELECT rec, id, NULL, 'fp' FROM detected WHERE (rec, id) NOT IN (SELECT rec, id_detected FROM p)
 UNION ALL SELECT rec, NULL, id, 'fn' FROM reference WHERE (rec, id) NOT IN (SELECT rec, id_reference FROM p)""")
 def match_overlap(spark, folder):
-    return I.match_overlap(view(spark, folder, "detected"), view(spark, folder, "reference"), BY, bucket=100_000)
+    return I.match_overlap(view(spark, folder, "detected"), view(spark, folder, "reference"), BY)
 
 
 def _matched(spark, folder):
@@ -295,7 +324,7 @@ def icc(spark, folder):
     return S.icc(_matched(spark, folder), [], "value__reference", "value__detected")
 
 
-_NEAREST = """, d AS (SELECT rec, id, ic + (id % 5) * 200 AS ic FROM contacts WHERE id % 4 <> 0), r AS (SELECT rec, id, ic FROM contacts WHERE id % 3 <> 0),
+_NEAREST = """, d AS (SELECT rec, id, ic + (id % 5) * 200 + CASE WHEN id % 4 = 0 THEN 9000 ELSE 0 END AS ic FROM contacts), r AS (SELECT rec, id, ic FROM contacts),
 pairs AS (SELECT d.rec, d.id AS di, r.id AS ri, abs(d.ic - r.ic) AS far, d.ic AS dic, r.ic AS ric FROM d JOIN r ON d.rec = r.rec),
 nd AS (SELECT *, row_number() OVER (PARTITION BY rec, di ORDER BY far, ric, ri) AS k FROM pairs), nr AS (SELECT *, row_number() OVER (PARTITION BY rec, ri ORDER BY far, dic, di) AS k FROM pairs),
 p AS (SELECT nd.rec, nd.di, nd.ri FROM nd JOIN nr ON nd.rec = nr.rec AND nd.di = nr.di AND nd.ri = nr.ri WHERE nd.k = 1 AND nr.k = 1 AND nd.far <= 5000),
@@ -304,8 +333,8 @@ m AS (SELECT rec, di AS id_detected, ri AS id_reference, 'tp' AS match_type FROM
 
 def _nearest(spark, folder):
     c = view(spark, folder, "contacts")
-    d = c.where("id % 4 <> 0").withColumn("ic", F.col("ic") + (F.col("id") % 5) * 200)
-    return I.match_nearest(d, c.where("id % 3 <> 0"), BY, "ic", 5000)
+    d = c.withColumn("ic", F.col("ic") + (F.col("id") % 5) * 200 + F.when(F.col("id") % 4 == 0, 9000).otherwise(0))
+    return I.match_nearest(d, c, BY, "ic", 5000)
 
 
 @query("contacts", _NEAREST + " SELECT * FROM m")
@@ -366,6 +395,15 @@ def interval_mean(spark, folder):
     return I.interval_mean(view(spark, folder, "reference"), c, BY, "ic", "id2")
 
 
+@query("", """, reg AS (SELECT rec, sample AS wb_id, sample * 3 AS "start", sample * 3 + 5 + sample % 7 AS "end" FROM series)
+SELECT g.rec, g.wb_id, count(*) AS n, CAST(sum(s.sample - g."start") AS BIGINT) AS offsets, round(sum(s.value) + 1e-9, 6) AS value FROM reg g JOIN series s ON s.rec = g.rec AND s.sample >= g."start" AND s.sample < g."end" GROUP BY ALL""")
+def region_samples(spark, folder):
+    s, at = series(spark, folder), F.col("sample")
+    regions = s.select("rec", at.alias("wb_id"), (at * 3).alias("start"), (at * 3 + 5 + at % 7).alias("end"))
+    inside = B.regions_of(s, regions, BY, bucket=64)
+    return inside.groupBy("rec", "wb_id").agg(F.count("*").alias("n"), F.sum("offset").alias("offsets"), F.sum("value").alias("value"))
+
+
 @query("", """, m AS (SELECT *, list(value) OVER w AS near, median(value) OVER w AS mid FROM series WINDOW w AS (PARTITION BY rec ORDER BY sample ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
 SELECT rec, sample, round(value + 1e-9, 6) AS value, round(CASE WHEN abs(value - mid) > 2 * 1.4826 * list_aggregate([abs(x - mid) FOR x IN near], 'median') THEN mid ELSE value END + 1e-9, 6) AS filtered FROM m""")
 def hampel(spark, folder):
@@ -382,13 +420,13 @@ def gap_interpolate(spark, folder):
 
 
 @query("", """, s AS (SELECT rec, sample, value AS v, sum(value) OVER (PARTITION BY rec ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM series),
-reg AS (SELECT rec, sample AS id, sample * 100 + sample % 53 AS "start", sample * 100 + sample % 53 + 150 + sample % 97 AS "end" FROM series WHERE sample % 5 = 0), n AS (SELECT rec, count(*) AS n FROM series GROUP BY rec),
+reg AS (SELECT rec, sample AS id, sample * 100 + sample % 53 AS "start", sample * 100 + sample % 53 + 150 + sample % 97 AS "end" FROM series), n AS (SELECT rec, count(*) AS n FROM series GROUP BY rec),
 a AS (SELECT reg.*, n, least("start" // 100, n - 1) AS k0, least("end" // 100, n - 1) AS k1 FROM reg JOIN n USING (rec))
 SELECT a.rec, a.id, a."start", a."end", CASE WHEN "end" <= n * 100 THEN round(((coalesce(y.upto, 0) + ("end" / 100.0 - k1) * y.v) - (coalesce(x.upto, 0) + ("start" / 100.0 - k0) * x.v)) * 100 / ("end" - "start") + 1e-9, 6) END AS v FROM a JOIN s x ON x.rec = a.rec AND x.sample = k0 JOIN s y ON y.rec = a.rec AND y.sample = k1""")
 def sec_to_stride(spark, folder):
     s = series(spark, folder)
     at = F.col("sample")
-    regions = s.where("sample % 5 = 0").select("rec", at.alias("id"), (at * 100 + at % 53).alias("start"), (at * 100 + at % 53 + 150 + at % 97).alias("end"))
+    regions = s.select("rec", at.alias("id"), (at * 100 + at % 53).alias("start"), (at * 100 + at % 53 + 150 + at % 97).alias("end"))
     seconds = s.select("rec", (at * 100 + 50).alias("sec_center_samples"), F.col("value").alias("v"))
     return R.seconds_to_regions(regions, seconds, BY, ["v"], 100)
 
@@ -486,13 +524,13 @@ def supplier_months(spark, folder):
     return items.groupBy("l_suppkey", F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum(q).alias("quantity"), F.median(q).alias("median"), F.percentile(q, 0.9).alias("p90"))
 
 
-@query("contacts", """, d AS (SELECT rec, id, ic + (id % 5) * 200 AS ic FROM contacts WHERE id % 4 <> 0), r AS (SELECT rec, id, ic FROM contacts WHERE id % 3 <> 0),
+@query("contacts", """, d AS (SELECT rec, id, ic + (id % 5) * 200 AS ic FROM contacts), r AS (SELECT rec, id, ic FROM contacts),
 s AS (SELECT rec, avg(step) / 100.0 AS step_s FROM (SELECT rec, ic - lag(ic) OVER (PARTITION BY rec ORDER BY ic) AS step FROM r) GROUP BY rec)
 SELECT d.rec, round(avg(abs(d.ic - r.ic) / 100.0) + 1e-9, 6) AS tp_absolute_timing_error_s, round(avg(abs(d.ic - r.ic) / 100.0 / step_s) + 1e-9, 6) AS tp_relative_timing_error FROM d JOIN r ON d.rec = r.rec AND d.id = r.id JOIN s ON s.rec = d.rec GROUP BY d.rec""")
 def ic_timing_errors(spark, folder):
     c = view(spark, folder, "contacts").withColumn("bout", F.lit(0))
-    r = c.where("id % 3 <> 0")
-    d = c.where("id % 4 <> 0").select("rec", "id", (F.col("ic") + (F.col("id") % 5) * 200).alias("ic__detected"))
+    r = c
+    d = c.select("rec", "id", (F.col("ic") + (F.col("id") % 5) * 200).alias("ic__detected"))
     matched = d.join(r.select("rec", "id", "bout", F.col("ic").alias("ic__reference")), ["rec", "id"])
     return S.timing_errors(r, matched, BY, "bout", 100)
 
@@ -529,8 +567,9 @@ def aggregates_long(spark, folder):
     return E.aggregate_long(view(spark, folder, "bouts"), ["participant_id"], {"mean": F.avg("duration_s"), "mid": F.median("duration_s"), "n": F.count("duration_s")})
 
 
-@query("", """SELECT event_id, o.orientation, round(value * o.a + 1e-9, 6) AS acc_is, round((event_id % 10) * o.b + 1e-9, 6) AS acc_ml, round(value * 2 * o.c + 1e-9, 6) AS acc_pa FROM events,
-(VALUES ('upright', 1, 1, 1), ('turned_about_vertical', 1, -1, -1), ('turned_about_sideways', -1, 1, -1), ('turned_about_forward', -1, -1, 1)) o(orientation, a, b, c)""")
+@query("", """SELECT event_id, o.orientation, round(value * o.a + (event_id % 10) * o.b + 1e-9, 6) AS acc_is, round(value * o.c + (event_id % 10) * o.d + 1e-9, 6) AS acc_ml, round(value * 2 * o.e + 1e-9, 6) AS acc_pa FROM events,
+(VALUES ('identity', 1, 0, 0, 1, 1), ('pa_normal__rot_pa_pos90', 0, -1, 1, 0, 1), ('pa_normal__rot_pa_180', -1, 0, 0, -1, 1), ('pa_normal__rot_pa_neg90', 0, 1, -1, 0, 1),
+('pa_flipped__rot_pa_0', 1, 0, 0, -1, -1), ('pa_flipped__rot_pa_pos90', 0, 1, 1, 0, -1), ('pa_flipped__rot_pa_180', -1, 0, 0, 1, -1), ('pa_flipped__rot_pa_neg90', 0, -1, -1, 0, -1)) o(orientation, a, b, c, d, e)""")
 def misoriented(spark, folder):
     from ambulo.operators import evaluation as E
 
@@ -568,3 +607,71 @@ SELECT rec, CAST(pre_bout AS BIGINT) AS pre_bout, size, size < 4 AS voided FROM
 def wb_assembly_trimmed(spark, folder):
     rows = B.assemble_bouts(view(spark, folder, "strides"), BY, 10_000, drop_last=True)
     return rows.groupBy("rec", F.col("pre_bout").cast("long").alias("pre_bout")).agg(F.count("*").alias("size"), F.max(F.col("wb_id").isNull()).alias("voided"))
+
+
+@query("strides", _BOUTS + """, p AS (SELECT *, row_number() OVER (PARTITION BY rec, pre_bout ORDER BY "start" DESC, "end" DESC, s_id DESC) AS back FROM i),
+z2 AS (SELECT rec, pre_bout, count(*) AS size, max(lr_label) FILTER (back = 1) AS foot1, max(lr_label) FILTER (back = 2) AS foot2 FROM p GROUP BY ALL),
+t AS (SELECT p.*, size - back + 1 AS k, CASE WHEN size < 3 THEN 1 WHEN foot1 <> foot2 THEN size - 2 ELSE size - 1 END AS keep FROM p JOIN z2 USING (rec, pre_bout)),
+v AS (SELECT rec, pre_bout, count(*) FILTER (lr_label = 'left') >= 2 AS ok FROM t WHERE k <= keep GROUP BY ALL),
+n2 AS (SELECT rec, pre_bout, row_number() OVER (PARTITION BY rec ORDER BY pre_bout) - 1 AS wb FROM v WHERE ok)
+SELECT t.rec, t.s_id, CASE WHEN k <= keep THEN CAST(t.pre_bout AS BIGINT) END AS pre_bout, CASE WHEN k <= keep THEN n2.wb END AS wb_id, 'max_break' AS end_rule, CASE WHEN k <= keep AND n2.wb IS NULL THEN 'few_left' END AS exclude_rule
+FROM t LEFT JOIN n2 ON n2.rec = t.rec AND n2.pre_bout = t.pre_bout""")
+def wb_rules(spark, folder):
+    from ambulo.operators import rules as W
+
+    rules = {"max_break": W.MaxBreak(3, trim="per_foot"), "few_left": W.MinStrides(left=2)}
+    return W.assemble_by_rules(view(spark, folder, "strides"), BY, rules, 10_000).select("rec", "s_id", "pre_bout", "wb_id", "end_rule", "exclude_rule")
+
+
+_STRIDES = "SELECT user_id AS rec, event_id % 40 AS wb_id, CASE WHEN event_id % 13 <> 0 THEN 1 + (event_id % 7) / 1e1 END AS duration_s, 6e1 + event_id % 59 AS cadence_spm, CASE WHEN event_id % 17 <> 0 THEN 8e-1 + (event_id % 9) / 1e1 END AS length_m, 7e-1 + (event_id % 11) / 1e1 AS stride_length_m FROM events"
+_OWN = "SELECT user_id AS rec, event_id % 40 AS wb_id, max(7e1 + event_id % 37) AS avg_cadence_spm, max(9e-1 + (event_id % 5) / 1e1) AS avg_stride_length_m FROM events GROUP BY user_id, event_id % 40"
+_PARTS = ("d", "r", "d - r", "(d - r) / nullif(r, 0)", "abs(d - r)", "abs((d - r) / nullif(r, 0))")
+
+
+def _scorer_sql(stride_columns: str, own: str) -> str:
+    names = ("detected", "reference", "error", "rel_error", "abs_error", "abs_rel_error")
+    means = lambda prefix: ", ".join(rd(f"avg({p})", f"{prefix}__{n}") for p, n in zip(_PARTS, names, strict=True))
+    return f""", s AS (SELECT rec, wb_id, {stride_columns} FROM ({_STRIDES})), k AS (SELECT * FROM s WHERE r IS NOT NULL), o AS (SELECT rec, wb_id, {own} AS r FROM ({_OWN})),
+b AS (SELECT k2.rec, k2.wb_id, k2.d, o.r FROM (SELECT rec, wb_id, avg(d) AS d FROM k GROUP BY ALL) k2 LEFT JOIN o USING (rec, wb_id)),
+x AS (SELECT rec, {means('stride')} FROM k GROUP BY rec), y AS (SELECT rec, {means('wb')} FROM b GROUP BY rec) SELECT * FROM x JOIN y USING (rec)"""
+
+
+def _scored(spark, folder):
+    spark.read.parquet(f"{folder}/events.parquet").createOrReplaceTempView("events__")
+    return spark.sql(_STRIDES.replace("FROM events", "FROM events__")), spark.sql(_OWN.replace("FROM events", "FROM events__"))
+
+
+@query("", _scorer_sql("cadence_spm AS d, 120 / duration_s AS r", "avg_cadence_spm"))
+def scorer_cadence(spark, folder):
+    from ambulo.plans import scoring
+
+    return scoring.cadence_scores(*_scored(spark, folder), BY)
+
+
+@query("", _scorer_sql("stride_length_m AS d, length_m AS r", "avg_stride_length_m"))
+def scorer_stride_length(spark, folder):
+    from ambulo.plans import scoring
+
+    return scoring.stride_length_scores(*_scored(spark, folder), BY)
+
+
+@query("detected reference", _OVERLAP + f""", md AS (SELECT rec, median(value) AS d FROM detected GROUP BY rec), mr AS (SELECT rec, median(value) AS r FROM reference GROUP BY rec),
+c AS (SELECT md.rec, {", ".join(rd(p, f"combined__value__{n}") for p, n in zip(_PARTS, ("detected", "reference", "error", "rel_error", "abs_error", "abs_rel_error"), strict=True))} FROM md JOIN mr USING (rec)),
+q AS (SELECT rec, count(*) AS matched__n_matched_wbs, {", ".join(rd(f"avg({p})", f"matched__value__{n}") for p, n in zip(_PARTS, ("detected", "reference", "error", "rel_error", "abs_error", "abs_rel_error"), strict=True))} FROM (SELECT rec, dv AS d, rv AS r FROM p) GROUP BY rec)
+SELECT c.*, coalesce(q.matched__n_matched_wbs, 0) AS matched__n_matched_wbs, q.* EXCLUDE (rec, matched__n_matched_wbs) FROM c LEFT JOIN q USING (rec)""")
+def scorer_pipeline(spark, folder):
+    from ambulo.plans import scoring
+
+    return scoring.pipeline_scores(view(spark, folder, "detected"), view(spark, folder, "reference"), BY, "id", ("value",))
+
+
+@query("bouts", f"""
+, daily AS (SELECT {', '.join(KEYS)}, {_aggregate_sql()} FROM bouts GROUP BY ALL), wear AS (SELECT DISTINCT {', '.join(KEYS)}, CAST(8 + participant_id % 9 AS DOUBLE) AS h FROM bouts)
+SELECT visit_type, participant_id, round_even(avg(round_even(walkdur_all_sum, 3)), 0) AS walkdur_all_sum_w, round_even(avg(wb_60_sum), 0) AS wb_60_sum_w, count(walkdur_all_sum) AS n_days_w FROM daily JOIN wear USING ({', '.join(KEYS)}) WHERE h > 12 GROUP BY ALL HAVING count(walkdur_all_sum) >= 3""")
+def study_weeks(spark, folder):
+    from ambulo.plans import cohort
+
+    bouts = view(spark, folder, "bouts")
+    hours = (8 + F.col("participant_id") % 9).cast("double")
+    wear = bouts.select(*KEYS).distinct().withColumn("total_worn_h", hours).withColumn("total_worn_during_waking_h", hours)
+    return cohort.study_tables(bouts, wear)["weekly_agg_filtered"].select("visit_type", "participant_id", "walkdur_all_sum_w", "wb_60_sum_w", "n_days_w")

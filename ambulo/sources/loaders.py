@@ -33,10 +33,108 @@ def export_bouts(raw: DataFrame, sites: DataFrame, visit_type: str) -> DataFrame
     return rows.select(F.lit(visit_type).alias("visit_type"), "participant_id", local.alias("measurement_date"), F.col("wb_id").cast("long"), *values, *flags)
 
 
+#: First 14 characters of the long names of visits (fixed values).
+VISITS = {
+    "Baseline Visit": "T1", "Follow-up (T2)": "T2", "Follow-up (T3)": "T3", "Follow-up (T4)": "T4", "Follow-up (T5)": "T5", "Follow-up (T6)": "T6",
+    "Unscheduled Vi": "UV",
+}
+
+
 def visit_name(raw: Column) -> Column:
-    """T1 to T6 or UV from the start of a visit's long name."""
-    number = F.regexp_extract(raw, r"(?i)visit\s*(\d)", 1)
-    return F.when(number != "", F.concat(F.lit("T"), number)).when(F.lower(raw).startswith("unscheduled"), "UV").otherwise(raw)
+    """T1 to T6 or UV from the first 14 characters of a visit's long name; NULL for any other."""
+    known = F.create_map(*[F.lit(x) for pair in VISITS.items() for x in pair])
+    return F.try_element_at(known, F.substring(raw, 1, 14))
+
+
+def measurement_ids(compliance: DataFrame) -> DataFrame:
+    """(participant_id, visit_type, measurement_id) from rows (participants, results_id, visit) of a compliance report."""
+    rows = compliance.select(F.col("participants").cast("string").alias("participant_id"), visit_name(F.col("visit")).alias("visit_type"), F.col("results_id").cast("long").alias("measurement_id"))
+    return rows.distinct()
+
+
+def site_of_participants(mapping: DataFrame, timezones: dict[str, str]) -> DataFrame:
+    """(participant_id, site, timezone) from rows (Local.Participant, Participant.Site) of a site map; NULL for an unknown site's time zone."""
+    zone = F.create_map(*[F.lit(x) for pair in timezones.items() for x in pair])
+    site = F.col("`Participant.Site`").cast("string")
+    return mapping.select(F.col("`Local.Participant`").cast("string").alias("participant_id"), site.alias("site"), F.try_element_at(zone, site).alias("timezone"))
+
+
+#: Key columns of validation results by condition (fixed values).
+RESULT_KEYS = {
+    "free_living": ["cohort", "participant_id", "time_measure", "recording", "recording_name", "recording_name_pretty"],
+    "laboratory": ["cohort", "participant_id", "time_measure", "test", "trial", "test_name", "test_name_pretty"],
+}
+
+
+def read_validation_results(spark: SparkSession, folder: str, condition: str, algorithms: list[str], kind: str = "single") -> DataFrame:
+    """Results of validated algorithms from folder/condition/algorithm/<kind>_results.csv, with column algorithm.
+
+    kind: single or aggregated.  The key columns of the condition come first,
+    as text; all other columns become numbers where they are.
+    """
+    if condition not in RESULT_KEYS or kind not in ("single", "aggregated"):
+        raise ValueError("condition is free_living or laboratory, kind is single or aggregated")
+    out = None
+    for name in algorithms:
+        rows = spark.read.csv(f"{folder}/{condition}/{name}/{kind}_results.csv", header=True)
+        keys = [c for c in RESULT_KEYS[condition] if c in rows.columns]
+        rows = rows.select(F.lit(name).alias("algorithm"), *keys, *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in rows.columns if c not in keys])
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+#: Columns of a clinical table that get another name, after lower-casing (fixed values).
+CLINICAL_NAMES = {
+    "updrsiii": "updrs3", "6mwt_distancewalked": "6mwt_distance_walked", "h&y": "h_and_y", "dominant_hand_l_or_r___wrist_sensor_worn_on_non_dominant_hand": "handedness",
+    "height_cm": "height_m", "sensor_height_cm": "sensor_height_m", "lab_based_assessment": "walking_aid_used_laboratory",
+    "real_world_outdoors": "walking_aid_used_free_living", "real_world_indoors": "walking_aid_used_free_living_indoors",
+}
+MISSING = ("N/A", "N.A.", "N.A")
+
+
+def clinical_name(raw: str) -> str:
+    name = raw.lower().replace("(", "").replace(")", "").replace(" ", "_").replace("-", "_").replace("/", "p")
+    return CLINICAL_NAMES.get(name, name)
+
+
+def clinical_table(raw: DataFrame) -> DataFrame:
+    """One row a participant, keyed (cohort, participant_id), from an export with one header row.
+
+    The first two columns are the id and the cohort; rows without an id are
+    summaries and go.  Names are unified, heights come in m, sex and hand in
+    words, the fall history as boolean, a missing body mass index from weight
+    and height.
+    """
+    who, cohort, *rest = raw.columns
+    text = lambda c: F.when(F.trim(F.col(f"`{c}`").cast("string")).isin(*MISSING), None).otherwise(F.col(f"`{c}`").cast("string"))
+    rows = raw.where(text(who).isNotNull()).select(text(cohort).alias("cohort"), F.regexp_replace(text(who), r"\.0$", "").alias("participant_id"), *[text(c).alias(clinical_name(c)) for c in rest])
+    number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
+    new: dict[str, Column] = {c: number(c) / 100 for c in ("height_m", "sensor_height_m") if c in rows.columns}
+    new |= {c: number(c) for c in ("weight_kg", "bmi_kgpm2") if c in rows.columns} | ({"age": number("age").cast("int")} if "age" in rows.columns else {})
+    if "handedness" in rows.columns:
+        hand = F.regexp_replace("handedness", "^[ ']+|[ ']+$", "")
+        new["handedness"] = F.when(hand.isin("R", "right"), "right").when(hand.isin("L", "left"), "left")
+    if "sex" in rows.columns:
+        new["sex"] = F.lower("sex")
+    if "fall_history" in rows.columns:
+        new["fall_history"] = F.when(F.lower("fall_history") == "yes", True).when(F.lower("fall_history") == "no", False)
+    rows = rows.withColumns(new)
+    if {"bmi_kgpm2", "weight_kg", "height_m"} <= set(rows.columns):
+        rows = rows.withColumn("bmi_kgpm2", F.coalesce("bmi_kgpm2", F.try_divide(F.col("weight_kg"), F.col("height_m") * F.col("height_m"))))
+    return rows
+
+
+def clinical_groups(header: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """Unified column names by group, from a two-row header (group, name); the ids (the first two) are left out."""
+    out: dict[str, list[str]] = {}
+    for group, name in header[2:]:
+        out.setdefault(clinical_name(group), []).append(clinical_name(name))
+    return out
+
+
+def clinical_view(clinical: DataFrame, groups: dict[str, list[str]], group: str) -> DataFrame:
+    """The columns of one group, with the keys."""
+    return clinical.select("cohort", "participant_id", *[c for c in groups[group] if c in clinical.columns])
 
 
 def daily_weartime(minutes: DataFrame, by: list[str], waking: tuple[int, int] = (7, 22), start: str = "interval_starttime", worn: str = "DUR_total_worn") -> DataFrame:
@@ -76,14 +174,28 @@ def read_imu(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sensors_of(tests: DataFrame, expected: list[str], missing: str = "raise") -> DataFrame:
-    """Check the array column available_sensors; missing: raise, ignore or skip such tests."""
+    """Check the array column available_sensors; missing: raise, warn (adds sensor_warning), ignore or skip such tests."""
     lacking = F.array_except(F.array(*map(F.lit, expected)), F.col("available_sensors"))
+    said = F.concat(F.lit("sensors are missing: "), F.array_join(lacking, ", "))
     if missing == "skip":
         return tests.where(F.size(lacking) == 0)
+    if missing == "warn":
+        return tests.withColumn("sensor_warning", F.when(F.size(lacking) > 0, said))
     if missing == "ignore":
         return tests
-    fail = F.raise_error(F.concat(F.lit("sensors are missing: "), F.array_join(lacking, ", "))).cast("boolean")
-    return tests.where(F.when(F.size(lacking) > 0, fail).otherwise(True))
+    if missing != "raise":
+        raise ValueError("missing is raise, warn, ignore or skip")
+    return tests.where(F.when(F.size(lacking) > 0, F.raise_error(said).cast("boolean")).otherwise(True))
+
+
+def write_test_list(tests: DataFrame, path: str) -> None:
+    """Keep a catalogue of tests (key columns, available_sensors, available_reference_systems ...) so that it needn't be scanned again."""
+    tests.write.mode("overwrite").json(path)
+
+
+def read_test_list(spark: SparkSession, path: str, schema: str = "key array<string>, available_sensors array<array<string>>, available_reference_systems array<string>") -> DataFrame:
+    """A catalogue written before; path may name files of many participants, whose folders are kept as column source."""
+    return spark.read.schema(schema).json(path).withColumn("source", F.col("_metadata.file_path"))
 
 
 def clean_contacts(contacts: DataFrame, keys: list[str], position: str = "ic", foot: str = "lr_label") -> DataFrame:

@@ -24,14 +24,22 @@ def session_bouts(strides: DataFrame, by: list[str], *, time: str = "event_time"
 def write_daily(bouts: DataFrame, keys: tuple[str, ...], path: str, checkpoint: str) -> DataStreamWriter:
     """Keep the daily outcomes of a stream of bouts at path, days of changed keys computed anew.
 
-    Medians and percentiles can't be merged, so each micro-batch appends its
-    bouts to path/bouts and recomputes the days it touches from there.
+    Medians and percentiles can't be merged, so each micro-batch adds its bouts
+    to path/bouts and recomputes the days it touches from there.  The last key
+    is the day; bouts are stored by it, and only the folders of days in the
+    batch are read.  A batch that runs again replaces its own files.
     """
+    day = keys[-1]
+
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/bouts/batch={number}")
-        days = batch.select(*keys).distinct()
-        stored = spark.read.parquet(f"{path}/bouts").drop("batch").join(days, list(keys), "left_semi")
+        batch = batch.withColumn("day__", F.coalesce(F.col(day).cast("string"), F.lit("none")))
+        # a batch's folder of its own makes a repeat harmless; the day's folders below it prune what is read
+        batch.write.mode("overwrite").partitionBy("day__").parquet(f"{path}/bouts/batch={number}")
+        written = spark.read.parquet(f"{path}/bouts/batch={number}")
+        touched = [r[0] for r in written.select("day__").distinct().collect()]  # days of one micro-batch
+        stored = spark.read.schema(batch.drop("day__").schema.add("day__", "string")).parquet(f"{path}/bouts").where(F.col("day__").isin(touched))
+        stored = stored.join(written.select(*keys).distinct(), list(keys), "left_semi").drop("day__")
         Aggregator(keys)(stored).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/daily/batch={number}")
 
     return bouts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

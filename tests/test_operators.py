@@ -9,6 +9,7 @@ from ambulo.functions import columns as C
 from ambulo.operators import bouts as B
 from ambulo.operators import dmo as D
 from ambulo.operators import intervals as I
+from ambulo.operators import rules as W
 from ambulo.operators import scores as S
 from ambulo.operators import series as R
 from ambulo.sources import loaders as L
@@ -85,10 +86,10 @@ def strides(spark, *starts):
 def test_bouts_by_windows_equal_bouts_by_rules(spark):
     rows = strides(spark, *range(0, 500, 100), 900, 1000, 1100, *range(1600, 2200, 120))
     fast = B.assemble_bouts(rows, ["rec"], 100).select("s_id", "wb_id").toPandas().sort_values("s_id").reset_index(drop=True)
-    slow = B.assemble_by_rules(rows, ["rec"], {"break": B.longer_break(3, 100)}, {"few": lambda b: len(b) >= 4}).select("s_id", "wb_id").toPandas().sort_values("s_id").reset_index(drop=True)
+    slow = W.assemble_by_rules(rows, ["rec"], {"few": W.MinStrides(4), "break": W.MaxBreak(3)}, 100).select("s_id", "wb_id").toPandas().sort_values("s_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(fast, slow, check_dtype=False)
     assert fast.wb_id.max() == 1 and fast.wb_id.isna().sum() == 3
-    twice = B.assemble_by_rules(rows.withColumn("lr_label", F.lit("left")), ["rec"], {"foot": B.same_foot_twice()}, {})
+    twice = W.assemble_by_rules(rows.withColumn("lr_label", F.lit("left")), ["rec"], {"foot": W.Alternating()}, 100)
     assert twice.select("wb_id").distinct().count() == rows.count()
 
 
@@ -124,7 +125,7 @@ def test_counts_without_long_bouts(spark):
 
 def test_longest_stride(spark):
     leg = 0.53 * 1.8
-    rise = 0.038 * 9.81 * leg
+    rise = 0.038 * 9.80665 * leg
     assert spark.range(1).select(C.longest_stride(F.lit(1.8))).first()[0] == pytest.approx(4 * math.sqrt(2 * leg * rise - rise**2))
 
 
@@ -178,7 +179,7 @@ def test_nan_becomes_null(spark):
 
 
 def test_export_dates_follow_the_site(spark):
-    raw = spark.createDataFrame([("p1", "7", "1704063600", "12.5", "1", "Visit 2 somewhere")], "participantid string, wb_id string, visit_date string, duration string, duration_flag string, visit_number string")
+    raw = spark.createDataFrame([("p1", "7", "1704063600", "12.5", "1", "Follow-up (T2) somewhere")], "participantid string, wb_id string, visit_date string, duration string, duration_flag string, visit_number string")
     for c in list(L.EXPORT_COLUMNS)[1:]:
         raw = raw.withColumn(c, F.lit("1"))
     sites = spark.createDataFrame([("p1", "Europe/Berlin")], "participant_id string, timezone string")

@@ -117,17 +117,24 @@ def test_pulse_trains():
 
 
 def test_turned_sensors_are_put_right(samples):
-    from ambulo.operators.evaluation import ORIENTATIONS, misoriented
+    from ambulo.operators.evaluation import ORIENTATIONS, misoriented, one_orientation
 
     part = samples.where("rec = 'r1' and sample >= 1500 and sample < 4500")
+    # this walk's forward acceleration leads the vertical one, as it should
     turned = misoriented(part)
-    assert turned.count() == part.count() * len(ORIENTATIONS)
-    fixed = stages.reorient(turned, ["rec", "orientation"], FS)
-    means = fixed.drop("orientation").groupBy("rec").agg(F.min("acc_is").alias("least")).first()
-    assert means.least > 0
-    truth = {r.sample: r.acc_pa for r in part.collect()}
-    flips = {np.sign(r.acc_pa * truth[r.sample]) for r in fixed.where("sample % 50 = 7").collect() if abs(truth[r.sample]) > 0.5}
-    assert len(flips) == 1
+    assert turned.count() == part.count() * len(ORIENTATIONS) == part.count() * 8
+    fixed = stages.reorient(turned, ["rec", "orientation"], FS, mode="full").cache()
+    seen = {r.orientation: r.detected_orientation for r in fixed.select("orientation", "detected_orientation").distinct().collect()}
+    truth = {r.sample: (r.acc_is, r.acc_ml, r.acc_pa, r.gyr_is) for r in part.collect()}
+    assert seen == {n: n for n in ORIENTATIONS}
+    for r in fixed.where("sample % 50 = 7").collect():
+        assert (r.acc_is, r.acc_ml, r.acc_pa, r.gyr_is) == pytest.approx(truth[r.sample])
+    trusted = stages.reorient(one_orientation(part, "pa_flipped__rot_pa_0"), ["rec"], FS).first()
+    assert (trusted.detected_orientation, trusted.family, trusted.phase) == ("identity", "is_up", None)
+    flat = part.withColumn("acc_is", F.col("acc_is") * 0)
+    assert stages.reorient(flat, ["rec"], FS).select("family", "detected_orientation").distinct().collect() == [(None, "unknown")]
+    with pytest.raises(Exception, match="no axis holds gravity"):
+        stages.reorient(flat, ["rec"], FS, errors="raise").collect()
 
 
 def test_harness(spark):
@@ -157,3 +164,33 @@ def test_left_right_machine(spark):
     model = E.train_laterality(features)
     truth = {r.ic: r.lr_label for r in contacts.collect()}
     assert np.mean([truth[r.ic] == r.lr_label for r in E.predict_laterality(model, features).collect()]) > 0.95
+
+
+def test_pulse_trains_start_behind_the_last_one():
+    two = np.array([*range(0, 100, 20), *range(200, 300, 20)])
+    assert stages.pulse_trains(two, 140, 60, 3) == [(0, 80), (200, 280)]
+    assert stages.pulse_trains(np.array([0, 140, 280]), 140, 60, 2) == []
+    assert stages.pulse_trains(np.array([0, 139, 400]), 140, 60, 2) == [(0, 139)]
+    assert stages.pulse_trains(np.array([5]), 140, 60, 1) == stages.pulse_trains(np.array([]), 140, 60, 1) == []
+
+
+def test_adaptive_threshold_and_crossing_counts_find_the_walk(samples):
+    one = samples.where("rec = 'r1'")
+    for found in (stages.gait_sequences_by_pulses(one, ["rec"], FS, threshold_g=None), stages.gait_sequences(one, ["rec"], FS, by_crossings=True)):
+        covered = sum(r.end - r.start for r in found.collect())
+        assert 30 * FS < covered < 52 * FS
+
+
+def test_stretches_give_the_same_walk(samples):
+    whole = stages.gait_sequences(samples, ["rec"], FS).collect()
+    parts = stages.in_stretches(samples, ["rec"], lambda s, by: stages.gait_sequences(s, by, FS), 15 * FS, 6 * FS).collect()
+    for rec in ("r1", "r2"):
+        a, b = ([r for r in rows if r.rec == rec] for rows in (whole, parts))
+        assert len(a) == len(b) == 1
+        assert abs(a[0].start - b[0].start) <= 3 * FS and abs(a[0].end - b[0].end) <= 3 * FS
+
+
+def test_cadence_with_its_own_detector(spark, samples):
+    regions = spark.createDataFrame([("r1", 0, 60 * FS), ("r2", 0, 60 * FS)], "rec string, start long, end long")
+    rows = stages.cadence_with_detector(samples, regions, ["rec"], FS, stages.initial_contacts_by_crossings).where("sec_center_samples between 1500 and 4500").collect()
+    assert len(rows) > 50 and np.median([r.cadence_spm for r in rows if r.cadence_spm]) == pytest.approx(108, abs=4)
