@@ -14,7 +14,7 @@ from ambulo.llm.common import BYTE_BASE, Powers, cut_lineage, parts_of, small, w
 #: (start, end, kept_doc_id, kept_text_hash, kept_start, similarity) of one alignment.
 Piece = tuple[int, int, int, int, int, float]
 #: Rows of one key that a task takes.
-ROWS_AT_ONCE = 20_000
+ROWS_AT_ONCE = 1000
 PAIR = ["doc_id", "text_hash", "kept_doc_id", "kept_text_hash"]
 PASSAGE = "doc_id long, text_hash long, start_word int, end_word int, kept_doc_id long, kept_text_hash long, kept_start int, similarity double, n_pieces int"
 

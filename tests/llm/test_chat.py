@@ -45,3 +45,9 @@ def test_nulls_ties_and_empty_tables(spark):
 def test_no_python_in_the_plan(spark):
     plan = chat_digests(format_chats(make(spark, [(1, 0, "user", "x")])))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ties_are_sorted_on_the_text_itself(spark):
+    rows = [(1, 3, "user", t) for t in ("[JKL", "[INST]", "[\\\\INST]", "a")] + [(1, None, "user", "null turn")]
+    read = read_chats(format_chats(make(spark, rows))).first().read_turns
+    assert [t.text for t in read] == ["null turn", *sorted(["[JKL", "[INST]", "[\\\\INST]", "a"])]

@@ -62,3 +62,25 @@ def test_edges(spark):
     found = {(r.doc_id, r.item_id, r.start_word, r.n_words) for r in decontaminate(docs, items).collect()}
     assert found == {(3, 1, 0, 2), (3, None, 1, 1), (4, 4, 0, 5), (4, 5, 0, 5), (None, 4, 1, 5), (None, 5, 1, 5), (6, 7, 0, 8)}
     assert decontaminate(docs.limit(0), items).collect() == [] and decontaminate(docs, items.limit(0)).collect() == []
+
+
+def test_many_groups_of_items_give_the_same(spark, monkeypatch):
+    from ambulo.llm import decontamination
+
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontaminate(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "SHINGLES_AT_ONCE", 4000)
+    assert sorted(map(tuple, decontaminate(docs, items).collect())) == whole and whole
+
+
+def test_counts_of_repeated_values(spark):
+    from pyspark.sql import functions as F
+
+    from ambulo.llm.decontamination import common_count
+
+    rng, rows = random.Random(3), []
+    for _ in range(200):
+        a, b = ([rng.randint(0, rng.choice([3, 40])) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        rows.append((a, b, sum((Counter(a) & Counter(b)).values())))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
+    assert df.where(common_count("a", "b") != F.col("n")).count() == 0

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -87,3 +88,35 @@ def test_token_edges(spark):
     assert [(r.n_chars, r.n_tokens) for r in found[:2]] == [(0, 0), (0, 0)] and len(found) == 5
     assert len({r.n_tokens for r in found[2:]}) == 1
     assert count_tokens(docs.limit(0), PIECES).collect() == []
+
+
+def test_many_labels_all_take_part(spark):
+    from pyspark.sql import functions as F
+
+    from ambulo.llm.labelled import label_sample
+
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), (F.col("id") % 300).cast("string")).alias("label"), F.lit("x").alias("text"))
+    found = label_sample(rows, 20, 10_000).groupBy("label").count().collect()
+    assert len(found) == 300 and {r["count"] for r in found} == {20}
+    few = label_sample(rows, 20, 900).groupBy("label").count().collect()
+    assert len(few) == 300 and {r["count"] for r in few} == {3}
+    with pytest.raises(ValueError, match="300 labels"):
+        label_sample(rows, 20, 299)
+    # one id on a third of the rows, repeated rows, null labels and ids
+    same = rows.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 7).otherwise(F.col("doc_id"))).withColumn("label", F.when(F.col("doc_id") % 50 != 0, F.lit("one")))
+    assert label_sample(same.unionByName(same.withColumn("doc_id", F.lit(None).cast("long"))), 100, 1000).count() <= 100
+    assert label_sample(rows.limit(0), 5, 10).count() == 0
+
+
+def test_three_hundred_languages_can_be_learned(spark):
+    from ambulo.llm.languages import identify
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        for j in range(6):
+            rows.append((len(rows), " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60)), f"x{k:03d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = identify(docs, per_language=4).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len({r.lang_pred for r in found}) > 280 and sum(r.lang_pred == r.lang for r in found) > 0.8 * len(found)
