@@ -31,6 +31,11 @@ def lift(f: Callable[..., np.ndarray], **options) -> Kernel:
     return lambda x, fs: (f(x, **options, **({"fs": fs} if takes_rate else {})), fs)
 
 
+def identity(x: np.ndarray, fs: float) -> tuple[np.ndarray, float]:
+    """The kernel that changes nothing."""
+    return x, fs
+
+
 def butterworth(order: int, cutoff: float | tuple[float, float], fs: float, kind: str = "lowpass") -> list[tuple[np.ndarray, np.ndarray]]:
     """Sections (b, a) of a digital Butterworth filter, from the analog prototype by the bilinear transform."""
     edges = np.atleast_1d(np.asarray(cutoff, float))

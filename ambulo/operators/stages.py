@@ -406,3 +406,8 @@ def reorient(samples: DataFrame, by: list[str], fs: float, threshold: float = 6.
     columns = [f"{s}_{a}" for s in ("acc", "gyr") for a in axes]
     found = per_group(samples, by, columns, kernel, ", ".join(["sample long", *[f"{c} double" for c in columns], "family string", "phase double", "detected_orientation string"]))
     return found.withColumn("phase", F.nanvl("phase", F.lit(None)))
+
+
+def orientations_of(reoriented: DataFrame, by: list[str]) -> DataFrame:
+    """One row a region: (by, family, phase, detected_orientation) of what reorient found; unknown ones are left out."""
+    return reoriented.where("detected_orientation <> 'unknown'").select(*by, "family", "phase", "detected_orientation").distinct()

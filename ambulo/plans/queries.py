@@ -675,3 +675,71 @@ def study_weeks(spark, folder):
     hours = (8 + F.col("participant_id") % 9).cast("double")
     wear = bouts.select(*KEYS).distinct().withColumn("total_worn_h", hours).withColumn("total_worn_during_waking_h", hours)
     return cohort.study_tables(bouts, wear)["weekly_agg_filtered"].select("visit_type", "participant_id", "walkdur_all_sum_w", "wb_60_sum_w", "n_days_w")
+
+
+@query("bouts", "SELECT participant_id, wb_id, measurement_date FROM (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY measurement_date DESC, wb_id DESC) AS k FROM bouts) WHERE k = 1")
+def last_bout(spark, folder):
+    return D.keep_last(view(spark, folder, "bouts").select("participant_id", "wb_id", "measurement_date"), ["participant_id"], [F.col("measurement_date"), F.col("wb_id")])
+
+
+@query("bouts", f"SELECT wb_id, {rd(_HEIGHT, 'longest_m')}, CAST(round_even(height_m * 12.5, 0) AS BIGINT) AS n_samples FROM bouts")
+def longest_strides(spark, folder):
+    return view(spark, folder, "bouts").select("wb_id", C.longest_stride(F.col("height_m")).alias("longest_m"), C.as_samples(F.col("height_m"), 12.5).alias("n_samples"))
+
+
+_VISIT = "CASE event_id % 9 WHEN 0 THEN 'Baseline Visit (T1)' WHEN 1 THEN 'Follow-up (T2) - 6 months' WHEN 2 THEN 'Follow-up (T3)' WHEN 3 THEN 'Follow-up (T4)' WHEN 4 THEN 'Follow-up (T5)' WHEN 5 THEN 'Follow-up (T6)' WHEN 6 THEN 'Unscheduled Visit' WHEN 7 THEN 'Screening' END"
+
+
+@query("", f"""SELECT event_id, CASE WHEN raw LIKE 'Baseline Visit%' THEN 'T1' WHEN raw LIKE 'Unscheduled Vi%' THEN 'UV' WHEN regexp_matches(raw, '^Follow-up \\(T[2-6]\\)') THEN raw[12:13] END AS visit_type FROM (SELECT event_id, {_VISIT} AS raw FROM events)""")
+def visit_names(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet").selectExpr("event_id", f"{_VISIT} AS raw")
+    return events.select("event_id", L.visit_name(F.col("raw")).alias("visit_type"))
+
+
+@query("", """, w AS (SELECT user_id AS rec, CAST(ts AS DATE) AS day, event_id, round_even(value / 10, 3) AS hours, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id DESC) AS k FROM events),
+i AS (SELECT DISTINCT user_id AS rec, CAST(ts AS DATE) AS day FROM events UNION SELECT DISTINCT user_id, CAST(ts AS DATE) + 1 FROM events) SELECT i.rec, strftime(i.day, '%Y-%m-%d') AS day, round(w.hours + 1e-9, 6) AS hours FROM i LEFT JOIN w ON w.rec = i.rec AND w.day = i.day AND w.k = 1""")
+def weartime_latest(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet").select(F.col("user_id").alias("rec"), F.to_date("ts").alias("day"), "event_id", (F.col("value") / 10).alias("hours"))
+    days = events.select("rec", "day")
+    # some days of the index have no report
+    index = days.unionByName(days.withColumn("day", F.date_add("day", 1))).distinct()
+    found = L.weartime_for(index, events, ["rec", "day"], "event_id")
+    return found.select("rec", F.col("day").cast("string").alias("day"), "hours")
+
+
+@query("", """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 2 THEN 'sensors are missing: gyr' WHEN event_id % 4 = 1 THEN 'sensors are missing: acc' ELSE 'sensors are missing: acc, gyr' END AS sensor_warning FROM events""")
+def sensor_warnings(spark, folder):
+    held = F.expr("CASE event_id % 4 WHEN 3 THEN array('gyr', 'acc', 'mag') WHEN 2 THEN array('acc') WHEN 1 THEN array('gyr', 'bar') ELSE array() END")
+    tests = spark.read.parquet(f"{folder}/events.parquet").select("event_id", held.cast("array<string>").alias("available_sensors"))
+    return L.sensors_of(tests, ["acc", "gyr"], "warn").select("event_id", "sensor_warning")
+
+
+def _statistics_sql() -> str:
+    exact = {"detected": "dv", "reference": "rv", "abs_error": "abs(dv - rv)", "abs_rel_error": "abs((dv - rv) / nullif(rv, 0))"}
+    signed = {"error": "dv - rv", "rel_error": "(dv - rv) / nullif(rv, 0)"}
+    rows = ["SELECT 'all' AS measure, 'all' AS origin, 'n_datapoints' AS statistic, count(*)::DOUBLE AS value FROM p"]
+    for origin, e in (exact | signed).items():
+        ends = {"quantile_lower": f"quantile_cont({e}, 0.05)", "quantile_upper": f"quantile_cont({e}, 0.95)"} if origin in exact else {"loa_lower": f"avg({e}) - 1.96 * stddev_samp({e})", "loa_upper": f"avg({e}) + 1.96 * stddev_samp({e})"}
+        rows += [f"SELECT 'value', '{origin}', '{k}', {v} FROM p" for k, v in ({"mean": f"avg({e})"} | ends).items()]
+    return "SELECT measure, origin, statistic, round(value + 1e-9, 6) AS value FROM (" + " UNION ALL ".join(rows) + ")"
+
+
+@query("detected reference", _OVERLAP + " " + _statistics_sql())
+def default_statistics(spark, folder):
+    return S.default_error_statistics(_matched(spark, folder), [], ("value",)).where("statistic NOT LIKE 'icc%'")
+
+
+@query("contacts", """, b AS (SELECT rec, id % 20 AS part, id, ic, lr_label FROM contacts), o AS (SELECT rec, part, dense_rank() OVER (PARTITION BY rec ORDER BY part) - 1 AS wb_id, min(ic) AS first, max(ic) - 5000 AS last FROM b GROUP BY rec, part),
+c AS (SELECT o.rec, o.wb_id, (b.ic // 400) * 4 AS sec, o.last, b.lr_label FROM b JOIN o ON o.rec = b.rec AND o.part = b.part)
+SELECT rec, wb_id, sec * 100 - 1 AS ic, CASE WHEN count(DISTINCT lr_label) = 1 THEN any_value(lr_label) END AS lr_label FROM c WHERE sec * 100 <= last GROUP BY rec, wb_id, sec""")
+def reference_contacts(spark, folder):
+    from ambulo.sources import reference as P
+
+    c = view(spark, folder, "contacts").withColumn("part", F.col("id") % 20).withColumn("at", (F.floor(F.col("ic") / 400) * 4).cast("double"))
+    ics = F.sort_array(F.collect_list(F.struct("at", F.initcap("lr_label").alias("foot"))))
+    bouts = c.groupBy("rec", "part").agg(F.min("ic").alias("a"), (F.max("ic") - 5000).alias("b"), ics.alias("ics"))
+    given = {"Start": F.col("a") / 100, "End": F.col("b") / 100, "InitialContact_Event": F.col("ics.at"), "InitialContact_LeftRight": F.col("ics.foot")}
+    names = [x.split(":")[0].strip() for x in P.WB.removeprefix("array<struct<").removesuffix(">>").split(", ")]
+    wb = F.struct(F.col("part"), F.struct(*[given.get(n, F.lit(None)).alias(n) for n in names]).alias("w"))
+    rows = bouts.groupBy("rec").agg(F.transform(F.sort_array(F.collect_list(wb)), lambda x: x["w"]).cast(P.WB).alias("wb"))
+    return P.reference_parameters(rows, BY, 100, 100).contacts.select("rec", "wb_id", "ic", "lr_label")

@@ -129,6 +129,7 @@ def test_turned_sensors_are_put_right(samples):
     assert seen == {n: n for n in ORIENTATIONS}
     for r in fixed.where("sample % 50 = 7").collect():
         assert (r.acc_is, r.acc_ml, r.acc_pa, r.gyr_is) == pytest.approx(truth[r.sample])
+    assert stages.orientations_of(fixed, ["rec", "orientation"]).count() == 8
     trusted = stages.reorient(one_orientation(part, "pa_flipped__rot_pa_0"), ["rec"], FS).first()
     assert (trusted.detected_orientation, trusted.family, trusted.phase) == ("identity", "is_up", None)
     flat = part.withColumn("acc_is", F.col("acc_is") * 0)
@@ -164,6 +165,15 @@ def test_left_right_machine(spark):
     model = E.train_laterality(features)
     truth = {r.ic: r.lr_label for r in contacts.collect()}
     assert np.mean([truth[r.ic] == r.lr_label for r in E.predict_laterality(model, features).collect()]) > 0.95
+    tuned = E.tune_laterality(E.with_folds(features, ["ic"], 2), shrinks=(1e-3, 1e3), folds=2)
+    assert np.mean([truth[r.ic] == r.lr_label for r in E.predict_laterality(tuned, features).collect()]) > 0.95
+
+
+def test_lists_of_results(spark):
+    from ambulo.operators import evaluation as E
+
+    rows = spark.createDataFrame([(0, [1.0, 2.0], ["a", "b"]), (1, [], [])], "fold int, score array<double>, name array<string>")
+    assert sorted(map(tuple, E.explode_lists(rows, ["score", "name"]).collect())) == [(0, 0, 1.0, "a"), (0, 1, 2.0, "b")]
 
 
 def test_pulse_trains_start_behind_the_last_one():
