@@ -45,19 +45,22 @@ class Results:
     names: tuple[str, ...] = field(default=("sequences", "contacts", "turns", "per_second", "strides", "per_bout", "mask", "daily"))
 
 
-def analyse(samples: DataFrame, recordings: DataFrame, by: list[str], fs: float, settings: Settings = REGULAR, condition: str = "free_living", keys: tuple[str, ...] = ("participant_id", "measurement_date")) -> Results:
+def analyse(samples: DataFrame, recordings: DataFrame, by: list[str], fs: float, settings: Settings = REGULAR, condition: str = "free_living", keys: tuple[str, ...] = ("participant_id", "measurement_date"), stretch_s: float = 3600, overlap_s: float = 60) -> Results:
     """All results of recordings.
 
     samples: by, sample, acc_is, acc_ml, acc_pa, gyr_is, gyr_ml, gyr_pa.
     recordings: by, cohort, height_m, sensor_height_m and the keys of the daily
     outcomes, one row a recording.  A sequence with fewer than two contacts is
-    left out.  Per-second values are kept per sequence, contacts, turns and
+    left out.  Sequences are looked for in stretches of stretch_s seconds, with
+    overlap_s more on both sides, so that no task holds a whole long recording;
+    both should be multiples of 1.5.  Per-second values are kept per sequence, contacts, turns and
     strides are counted from the recording's start.
     """
     if missing := [b for b in by if b not in recordings.columns]:
         raise ValueError(f"missing columns: {missing}")
     gs = [*by, "gs_id"]
-    found = stages.gait_sequences(samples, by, fs)
+    # windows start every 1.5 s; stretches that are multiples of that leave their grid as it is
+    found = stages.in_stretches(samples, by, lambda rows, keys_: stages.gait_sequences(rows, keys_, fs), round(stretch_s * fs), round(overlap_s * fs))
     numbered = settled(found.withColumn("gs_id", F.row_number().over(series.Window.partitionBy(*by).orderBy("start")).cast("long")))
     inside = bouts.regions_of(samples, numbered, by, "gs_id").drop("sample").withColumnRenamed("offset", "sample")
     detect = stages.initial_contacts if settings.contacts == "wavelet" else stages.initial_contacts_by_crossings

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ambulo.functions.columns import GRAVITY_MS2, nan_to_null, require
 
 #: Levels below a file by kind of study (fixed values).
-LEVELS = {"tvs_lab": ("time_measure", "test", "trial"), "tvs_2.5h": ("time_measure", "recording"), "ms_project": ("time_measure", "test", "trial")}
+LEVELS = {"laboratory": ("time_measure", "test", "trial"), "free_living": ("time_measure", "recording")}
 #: Short and long names of tests and recordings (fixed values).
 SHORT_NAMES = {"Test4": "TimedUpGo", "Test5": "WalkComfortable", "Test6": "WalkSlow", "Test7": "WalkFast", "Test8": "L", "Test9": "Surface", "Test10": "Halway", "Test11": "DailyActivities", "Recording4": "2.5h"}
 LONG_NAMES = {
@@ -125,7 +125,7 @@ def participants(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("participant_id", F.coalesce(F.col("participant_id").cast("string"), folder) if "participant_id" in rows.columns else folder)
 
 
-def ms_project_metadata(metadata: DataFrame, height_m: float | None = None) -> DataFrame:
+def controls_as_healthy(metadata: DataFrame, height_m: float | None = None) -> DataFrame:
     """Cohort CTRL becomes HA; all have the given height and the sensor at SENSOR_SHARE of it, NULL without one."""
     tall = F.lit(height_m).cast("double")
     return metadata.withColumns({"cohort": F.when(F.col("cohort") == "CTRL", "HA").otherwise(F.col("cohort")), "height_m": tall, "sensor_height_m": tall * SENSOR_SHARE})

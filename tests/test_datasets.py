@@ -19,7 +19,7 @@ def folder(spark, tmp_path_factory):
 
 
 def test_folders_are_a_catalogue(spark, folder):
-    data = S.Dataset.from_folders(spark, folder, ("cohort", "participant_id", None), S.LEVELS["tvs_lab"])
+    data = S.Dataset.from_folders(spark, folder, ("cohort", "participant_id", None), S.LEVELS["laboratory"])
     assert data.keys == ("cohort", "participant_id", "time_measure", "test", "trial")
     index = data.index().collect()
     assert len(index) == 6 and {(r.test_name, r.test_name_pretty) for r in index} == {("WalkComfortable", "Straight Walk Comfortable"), ("Test12", "Test12")}
@@ -62,8 +62,8 @@ def test_nested_tests_and_metadata(spark, folder):
     people = S.participants(spark, f"{folder}/*/*/info.json")
     assert {(r.participant_id, r.cohort) for r in people.collect()} == {("001", "HA"), ("002", "HA"), ("003", "MS")}
     project = spark.createDataFrame([("CTRL",), ("MS",)], "cohort string")
-    assert {(r.cohort, r.height_m, r.sensor_height_m) for r in S.ms_project_metadata(project, 2.0).collect()} == {("HA", 2.0, 1.06), ("MS", 2.0, 1.06)}
-    assert S.ms_project_metadata(project).where("height_m is null and sensor_height_m is null").count() == 2
+    assert {(r.cohort, r.height_m, r.sensor_height_m) for r in S.controls_as_healthy(project, 2.0).collect()} == {("HA", 2.0, 1.06), ("MS", 2.0, 1.06)}
+    assert S.controls_as_healthy(project).where("height_m is null and sensor_height_m is null").count() == 2
 
 
 def test_regions(spark):

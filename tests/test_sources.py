@@ -54,7 +54,7 @@ def test_missing_sensors(spark):
 
 
 def test_test_lists_round_trip(spark, tmp_path):
-    rows = [(["TimeMeasure1", "Test5"], [["LowerBack", "acc"]], ["INDIP"])]
+    rows = [(["TimeMeasure1", "Test5"], [["LowerBack", "acc"]], ["Mat"])]
     L.write_test_list(spark.createDataFrame(rows, "key array<string>, available_sensors array<array<string>>, available_reference_systems array<string>"), str(tmp_path / "list"))
     found = L.read_test_list(spark, str(tmp_path / "list")).collect()
     assert [tuple(r)[:3] for r in found] == rows and "list" in found[0].source
