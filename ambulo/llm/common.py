@@ -51,9 +51,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Tables that ``written`` made and ``remove_written`` hasn't removed.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: for large results, which it compresses and reads by column."""
+    """df as a Parquet table in the shared folder: for large results, which it compresses and reads by column.
+
+    The table stays until remove_written, as what is made of it is read later.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -69,6 +77,17 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tables_written() -> int:
+    """How many tables of ``written`` there are."""
+    return len(_TABLES)
+
+
+def remove_written(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``written`` made, but for the first ``since``; call it when the results that rest on them are stored."""
+    while len(_TABLES) > since:
+        remove(spark, _TABLES.pop())
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(doc_id long, text_hash long, text): each text of a doc_id once; rows with a null in either are left out.
 

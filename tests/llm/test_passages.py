@@ -170,3 +170,27 @@ def test_gaps_of_any_size_are_aligned_alike():
             for j, b in enumerate(y):
                 table[i + 1, j + 1] = table[i, j] + 1 if a == b else max(table[i, j + 1], table[i + 1, j])
         assert common_words(x, y) == common_words(y, x) == table[-1, -1]
+
+
+@pytest.mark.parametrize("operator", [repeated_passages, repeated_substrings])
+def test_many_rows_of_one_kept_document_are_dealt_out(spark, operator, monkeypatch):
+    from ambulo.llm import passages
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    copies = spark.createDataFrame([(1000 + i, " ".join(["own", str(i)] + [f"w{j}" for j in range(80)])) for i in range(40)], "doc_id long, text string")
+    docs = docs.unionByName(copies)
+    whole = sorted(map(tuple, operator(docs).collect()))
+    monkeypatch.setattr(passages, "ROWS_AT_ONCE", 3)
+    assert sorted(map(tuple, operator(docs).collect())) == whole and len(whole) >= 39
+
+
+def test_tables_are_removed(spark):
+    from pathlib import Path
+
+    from ambulo.llm import common
+
+    repeated_passages(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).collect()
+    left = [Path(p.removeprefix("file:")) for p in common._TABLES]
+    assert left and all(p.exists() for p in left)
+    common.remove_written(spark)
+    assert not common._TABLES and not any(p.exists() for p in left)
