@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ambulo.llm import decontamination, languages, mixing, simhash, substrings
-from ambulo.llm.common import cut_lineage, remove, shared_folder, small, written
+from ambulo.llm.common import cut_lineage, remove, remove_written, shared_folder, small, tables_written, written
 
 #: Score from which a predicted language counts.
 LEAST_SCORE = 0.5
@@ -71,11 +71,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again; earlier stages' folders are removed."""
+    """All stages over the documents table, each written to the shared folder and read again.
+
+    Tables that a stage made on the way and the folders of earlier stages are removed.
+    """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
+        before = tables_written()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        remove_written(spark, before)
         docs = spark.read.parquet(f"{folder}/{i}")
         if i:
             remove(spark, f"{folder}/{i - 1}")
