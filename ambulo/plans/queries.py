@@ -62,7 +62,7 @@ def with_views(names: str, sql: str) -> str:
         fields = ", ".join(f'{e.replace("{second}", second)} AS "{n}"' for n, e in VIEWS[name].items())
         parts.append(f"{name} AS (SELECT {fields} FROM events)")
     parts.append("series AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample, value, value - 40 AS centred FROM events)")
-    return f"WITH {', '.join(parts)} {sql}"
+    return f"WITH RECURSIVE {', '.join(parts)} {sql}"
 
 
 def series(spark: SparkSession, folder: str) -> DataFrame:
@@ -324,6 +324,21 @@ def icc(spark, folder):
     return S.icc(_matched(spark, folder), [], "value__reference", "value__detected")
 
 
+_SHARE = "list_sum(list_transform(range(4001), lambda i: CASE WHEN i = 0 THEN 0 ELSE CASE WHEN i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln(x * i / 4000) + (b - 1) * ln(1 - x * i / 4000)) END)) * x / 12000"
+
+
+@query("detected reference", _OVERLAP + f""", m AS (SELECT count(*)::DOUBLE AS n, avg(dv) AS md, avg(rv) AS mr, avg((dv + rv) / 2) AS mm FROM p),
+s AS (SELECT n, sum(2 * power((dv + rv) / 2 - mm, 2)) / (n - 1) AS msr, n * (power(md - mm, 2) + power(mr - mm, 2)) AS msc, sum(power(dv - (dv + rv) / 2 - md + mm, 2) + power(rv - (dv + rv) / 2 - mr + mm, 2)) / (n - 1) AS mse FROM p, m GROUP BY n, md, mr, mm),
+v AS (SELECT *, (msr - mse) / (msr + mse + 2 * (msc - mse) / n) AS icc FROM s),
+f AS (SELECT *, (n - 1) * power(2 * icc * msc / mse + n * (1 + icc) - 2 * icc, 2) / ((n - 1) * 4 * power(icc * msc / mse, 2) + power(n * (1 + icc) - 2 * icc, 2)) AS dof FROM v),
+q AS (SELECT 0 AS k, side, CASE side WHEN 'up' THEN n - 1 ELSE dof END / 2 AS a, CASE side WHEN 'up' THEN dof ELSE n - 1 END / 2 AS b, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM f, (VALUES ('up'), ('down')) z(side)
+  UNION ALL SELECT k + 1, side, a, b, CASE WHEN under THEN x ELSE lo END, CASE WHEN under THEN hi ELSE x END FROM (SELECT *, {_SHARE} < 0.975 AS under FROM (SELECT *, (lo + hi) / 2 AS x FROM q WHERE k < 45))),
+e AS (SELECT max(b / a * lo / (1 - lo)) FILTER (side = 'up') AS up, max(b / a * lo / (1 - lo)) FILTER (side = 'down') AS down FROM q WHERE k = 45)
+SELECT n::BIGINT AS n, {rd('icc', 'icc')}, {rd('n * (msr - up * mse) / (up * (2 * msc + (n - 2) * mse) + n * msr)', 'icc_ci_lower')}, {rd('n * (down * msr - mse) / (2 * msc + (n - 2) * mse + n * down * msr)', 'icc_ci_upper')} FROM f, e""")
+def icc_ci(spark, folder):
+    return S.icc(_matched(spark, folder), [], "value__reference", "value__detected", interval=True)
+
+
 _NEAREST = """, d AS (SELECT rec, id, ic + (id % 5) * 200 + CASE WHEN id % 4 = 0 THEN 9000 ELSE 0 END AS ic FROM contacts), r AS (SELECT rec, id, ic FROM contacts),
 pairs AS (SELECT d.rec, d.id AS di, r.id AS ri, abs(d.ic - r.ic) AS far, d.ic AS dic, r.ic AS ric FROM d JOIN r ON d.rec = r.rec),
 nd AS (SELECT *, row_number() OVER (PARTITION BY rec, di ORDER BY far, ric, ri) AS k FROM pairs), nr AS (SELECT *, row_number() OVER (PARTITION BY rec, ri ORDER BY far, dic, di) AS k FROM pairs),
@@ -483,6 +498,15 @@ def pairwise_welch_t(spark, folder):
     return S.pairwise_welch(view(spark, folder, "bouts"), "cohort", "duration_s", "HA")
 
 
+@query("bouts", """, g AS (SELECT cohort, avg(duration_s) AS m, var_samp(duration_s) AS v, count(duration_s) AS n FROM bouts WHERE duration_s IS NOT NULL GROUP BY cohort),
+w AS (SELECT g.cohort, (r.m - g.m) / sqrt(g.v / g.n + r.v / r.n) AS t, CASE WHEN g.n = r.n THEN g.n + r.n - 2 ELSE power(g.v / g.n + r.v / r.n, 2) / (power(g.v / g.n, 2) / (g.n - 1) + power(r.v / r.n, 2) / (r.n - 1)) END::DOUBLE AS dof FROM g, g r WHERE r.cohort = 'HA' AND g.cohort <> 'HA'),
+k AS (SELECT *, unnest(range(4001)) AS i FROM w),
+d AS (SELECT cohort, t, dof, CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2) - ln(dof * pi()) / 2 - (dof + 1) / 2 * ln(1 + power(t * i / 4000, 2) / dof)) AS part FROM k)
+SELECT cohort, round(t + 1e-9, 6) AS t, round(dof + 1e-9, 6) AS dof, round(1 - 2 * sum(part) * abs(t) / 4000 / 3 + 1e-9, 6) AS p FROM d GROUP BY cohort, t, dof""")
+def welch_p(spark, folder):
+    return S.pairwise_tests(view(spark, folder, "bouts"), "cohort", "duration_s", "HA")
+
+
 @query("", "SELECT event_type, " + ", ".join(f"count(*) FILTER (event_id % 6 = {i}) AS {c}" for i, c in enumerate(COHORTS)) + " FROM events GROUP BY event_type")
 def confusion_matrix(spark, folder):
     labels = F.element_at(F.array(*map(F.lit, COHORTS)), (F.col("event_id") % 6 + 1).cast("int"))

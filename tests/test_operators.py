@@ -191,3 +191,12 @@ def test_export_dates_follow_the_site(spark):
 def test_conflicting_labels_become_null(spark):
     df = spark.createDataFrame([(1, 5, "left"), (1, 5, "right"), (1, 9, "left"), (1, 9, "left")], "rec long, ic long, lr_label string")
     assert {(r.ic, r.lr_label) for r in L.clean_contacts(df, ["rec"]).collect()} == {(5, None), (9, "left")}
+
+
+def test_thresholds_on_a_million_bouts(spark):
+    rows = spark.range(1_000_000).selectExpr("id AS wb_id", "'HA' AS cohort", "30 + id % 150 AS cadence_spm", "0.05 + (id % 250) / 100 AS walking_speed_mps", "0.1 + (id % 300) / 100 AS stride_length_m", "0.3 + (id % 40) / 10 AS stride_duration_s")
+    mask = D.apply_thresholds(rows, D.threshold_table(spark), "free_living", keys=["wb_id"])
+    counts = mask.agg(*[F.sum(F.col(d).cast("int")).alias(d) for d in D.CHECKED]).first()
+    # plausible: 35.75 to 172.9 steps a minute, 0.0815 to 2.22 m/s, 0.1505 to 2.19 m, 0.46 to 3.2544 s
+    assert counts.cadence_spm == pytest.approx(1e6 * 137 / 150, rel=0.001) and counts.walking_speed_mps == pytest.approx(1e6 * 214 / 250, rel=0.001)
+    assert counts.stride_length_m == pytest.approx(1e6 * 204 / 300, rel=0.001) and counts.stride_duration_s == pytest.approx(1e6 * 28 / 40, rel=0.001)
