@@ -324,7 +324,7 @@ def icc(spark, folder):
     return S.icc(_matched(spark, folder), [], "value__reference", "value__detected")
 
 
-_SHARE = "list_sum(list_transform(range(4001), lambda i: CASE WHEN i = 0 THEN 0 ELSE CASE WHEN i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln(x * i / 4000) + (b - 1) * ln(1 - x * i / 4000)) END)) * x / 12000"
+_SHARE = "list_sum(list_transform(range(40001), lambda i: CASE WHEN i = 0 THEN 0 ELSE CASE WHEN i = 40000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln(x * i / 40000) + (b - 1) * ln(1 - x * i / 40000)) END)) * x / 120000"
 
 
 @query("detected reference", _OVERLAP + f""", m AS (SELECT count(*)::DOUBLE AS n, avg(dv) AS md, avg(rv) AS mr, avg((dv + rv) / 2) AS mm FROM p),
