@@ -13,16 +13,69 @@ from pyspark.sql import functions as F
 from ambulo.operators import intervals as I
 from ambulo.operators import scores as S
 from ambulo.operators import series as R
+from ambulo.operators import stages
+from ambulo.operators.bouts import regions_of
+from ambulo.operators.evaluation import misoriented
 
 PARTS = ("detected", "reference", "error", "rel_error", "abs_error", "abs_rel_error")
 
 
-def emulate(samples: DataFrame, reference_bouts: DataFrame, by: list[str], stage: Callable[[DataFrame, DataFrame, list[str]], DataFrame]) -> DataFrame:
+def inside_bouts(samples: DataFrame, bouts: DataFrame, by: list[str]) -> DataFrame:
+    """Samples of the reference's bouts (by, wb_id, start, end), counted from the start of the bout."""
+    return regions_of(samples, bouts, by).drop("sample").withColumnRenamed("offset", "sample")
+
+
+def emulate(samples: DataFrame, bouts: DataFrame, by: list[str], stage: Callable[[DataFrame, DataFrame, list[str]], DataFrame]) -> DataFrame:
     """Run a stage on the reference's bouts: stage(samples in a bout, bouts, by + wb_id), times from the start of the bout."""
-    from ambulo.operators.bouts import regions_of
+    return stage(inside_bouts(samples, bouts, by), bouts, [*by, "wb_id"])
+
+
+def _from_start(rows: DataFrame, bouts: DataFrame, by: list[str], *columns: str, back: bool = False) -> DataFrame:
+    """Columns counted from the start of the bout; back: from the start of the recording again."""
+    starts = bouts.select(*by, "wb_id", F.col("start").alias("from__"))
+    sign = 1 if back else -1
+    return rows.join(starts, [*by, "wb_id"]).withColumns({c: F.col(c) + sign * F.col("from__") for c in columns}).drop("from__")
+
+
+def emulated_contacts(samples: DataFrame, bouts: DataFrame, by: list[str], fs: float, detect: Callable[[DataFrame, list[str], float], DataFrame] = stages.initial_contacts) -> DataFrame:
+    """(by, wb_id, ic) that a detector finds in the reference's bouts, counted from the start of the recording."""
+    found = emulate(samples, bouts, by, lambda rows, _, keys: detect(rows, keys, fs))
+    return _from_start(found, bouts, by, "ic", back=True)
+
+
+def emulated_laterality(samples: DataFrame, bouts: DataFrame, contacts: DataFrame, by: list[str], fs: float, label: Callable[[DataFrame, DataFrame, list[str], float], DataFrame] = stages.laterality_by_rate) -> DataFrame:
+    """The reference's contacts (by, wb_id, ic, lr_label) with lr_label__reference and the label that a stage gives them, lr_label__detected."""
+    keys = [*by, "wb_id"]
+    given = _from_start(contacts.select(*keys, "ic", F.col("lr_label").alias("lr_label__reference")), bouts, by, "ic")
+    found = emulate(samples, bouts, by, lambda rows, _, k: label(rows, given, k, fs)).withColumnRenamed("lr_label", "lr_label__detected")
+    return _from_start(found, bouts, by, "ic", back=True)
+
+
+def emulated_cadence(bouts: DataFrame, contacts: DataFrame, strides: DataFrame, by: list[str], fs: float) -> DataFrame:
+    """The reference's strides (by, wb_id, start, end, ...) with cadence_spm, computed from its contacts."""
+    keys = [*by, "wb_id"]
+    per_second = stages.cadence(_from_start(contacts.select(*keys, "ic"), bouts, by, "ic"), bouts.select(*keys, "start", "end"), keys, fs)
+    found = values_per_stride(per_second, _from_start(strides, bouts, by, "start", "end"), by, "cadence_spm", fs)
+    return _from_start(found, bouts, by, "start", "end", back=True)
+
+
+def emulated_stride_length(samples: DataFrame, bouts: DataFrame, contacts: DataFrame, strides: DataFrame, by: list[str], fs: float, height: str = "sensor_height_m", factor: float = 1.0) -> DataFrame:
+    """The reference's strides with stride_length_m from its bouts and contacts; samples carry the sensor's height."""
+    keys = [*by, "wb_id"]
+    given = _from_start(contacts.select(*keys, "ic"), bouts, by, "ic")
+    per_second = emulate(samples, bouts, by, lambda rows, _, k: stages.stride_length(rows, given, k, fs, height, factor))
+    found = values_per_stride(per_second, _from_start(strides, bouts, by, "start", "end"), by, "stride_length_m", fs)
+    return _from_start(found, bouts, by, "start", "end", back=True)
+
+
+def emulated_orientations(samples: DataFrame, bouts: DataFrame, by: list[str], fs: float, mode: str = "full") -> DataFrame:
+    """(by, wb_id, label, prediction): every bout with the sensor worn in each way, and what re-orientation takes it for."""
+
+    def stage(rows: DataFrame, _: DataFrame, keys: list[str]) -> DataFrame:
+        turned = stages.reorient(misoriented(rows), [*keys, "orientation"], fs, mode=mode)
+        return turned.select(*keys, F.col("orientation").alias("label"), F.col("detected_orientation").alias("prediction")).distinct()
 
-    inside = regions_of(samples, reference_bouts, by).drop("sample").withColumnRenamed("offset", "sample")
-    return stage(inside, reference_bouts, [*by, "wb_id"])
+    return emulate(samples, bouts, by, stage)
 
 
 def values_per_stride(per_second: DataFrame, strides: DataFrame, by: list[str], value: str, sampling_rate_hz: float) -> DataFrame:

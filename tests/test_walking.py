@@ -204,3 +204,28 @@ def test_cadence_with_its_own_detector(spark, samples):
     regions = spark.createDataFrame([("r1", 0, 60 * FS), ("r2", 0, 60 * FS)], "rec string, start long, end long")
     rows = stages.cadence_with_detector(samples, regions, ["rec"], FS, stages.initial_contacts_by_crossings).where("sec_center_samples between 1500 and 4500").collect()
     assert len(rows) > 50 and np.median([r.cadence_spm for r in rows if r.cadence_spm]) == pytest.approx(108, abs=4)
+
+
+def test_stages_on_the_bouts_of_the_reference(spark, samples):
+    from ambulo.operators.evaluation import ORIENTATIONS
+    from ambulo.plans import scoring
+
+    bouts = spark.createDataFrame([("r1", 0, 1500, 4500), ("r2", 0, 2000, 4000)], "rec string, wb_id long, start long, end long")
+    contacts = scoring.emulated_contacts(samples, bouts, ["rec"], FS).cache()
+    assert 50 <= contacts.where("rec = 'r1' and ic between 1500 and 4500").count() <= 58
+    feet = contacts.withColumn("lr_label", F.lit("left"))
+    labelled = scoring.emulated_laterality(samples, bouts, feet, ["rec"], FS)
+    assert labelled.count() == contacts.count() and {r.lr_label__detected for r in labelled.collect()} == {"left", "right"}
+    strides = spark.createDataFrame([("r1", 0, i, 2000 + 111 * i, 2111 + 111 * i, 1.11, 1.2) for i in range(15)], "rec string, wb_id long, id long, start long, end long, duration_s double, length_m double")
+    paced = scoring.emulated_cadence(bouts, contacts, strides, ["rec"], FS)
+    assert paced.count() == 15 and min(r.start for r in paced.collect()) == 2000
+    own = spark.createDataFrame([("r1", 0, 108.0, 1.2)], "rec string, wb_id long, avg_cadence_spm double, avg_stride_length_m double")
+    score = scoring.cadence_scores(paced, own, ["rec"]).first()
+    assert abs(score.stride__rel_error) < 0.03 and abs(score.wb__error) < 4 and score.stride__reference == pytest.approx(120 / 1.11)
+    tall = samples.withColumn("sensor_height_m", F.lit(0.9))
+    long = scoring.emulated_stride_length(tall, bouts, contacts, strides, ["rec"], FS)
+    score = scoring.stride_length_scores(long, own, ["rec"]).first()
+    assert 0.2 < score.stride__detected < 2 and score.stride__reference == pytest.approx(1.2)
+    seen = scoring.emulated_orientations(samples, bouts, ["rec"], FS)
+    single, combined, matrix = scoring.orientation_scores(seen, ["rec"], list(ORIENTATIONS))
+    assert combined.first()[0] == 1.0 and matrix.count() == 8
