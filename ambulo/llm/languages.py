@@ -169,8 +169,8 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, per_language:
     return with_language(docs.select(F.col("doc_id").cast("long"), held_out("doc_id", 4, 2).alias("held_out"), "text"), model).drop("text")
 
 
-def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs with columns lang_pred and score behind their own: a prediction for each row's text."""
+def with_language(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the prediction and its score for each row's text in two columns behind their own, whose names must be new."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +180,6 @@ def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 x = features(text.as_py()) if model and text.is_valid else None
                 out.append(("und", 0.0) if x is None else model.predict(x))
             langs, scores = zip(*out, strict=True) if out else ((), ())
-            yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from math import acos, log, pi
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -346,7 +346,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
                 out.append(b"".join(kept) + data[at:])
                 stays.append(len(word_spans(np.frombuffer(out[-1], np.uint8))[0]) > 0)
             columns = [pa.array(out, pa.binary()).cast(pa.string()) if n == "text" else c for n, c in zip(batch.schema.names[:-1], batch.columns, strict=False)]
-            columns.append(pa.compute.is_valid(batch.column("spans__")))
+            columns.append(pc.is_valid(batch.column("spans__")))
             yield pa.record_batch(columns, [*batch.schema.names[:-1], "cut__"]).filter(pa.array(stays))
 
     cut = docs.join(spans, (docs["doc_id"] == F.col("id__")) & (F.xxhash64(docs["text"]) == F.col("hash__")), "left").select(*docs.columns, "spans__")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ambulo.llm import decontamination, languages, mixing, simhash, substrings
 
@@ -45,7 +47,8 @@ def test_stages_take_nulls_repeated_ids_and_empty_tables(spark, tmp_path):
     texts = [r.text for r in docs.where("length(text) > 600").orderBy("doc_id").limit(3).collect()]
     rows = [(None, texts[0], None), (None, None, None), (1, texts[1], None), (1, texts[1], "x"), (1, "", None), (2, texts[1] + " " + texts[2], "en"), (2, texts[2], None)]
     odd = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
-    for start in (docs.unionByName(odd), docs.limit(0)):
+    clashing = [F.lit(i).alias(n) for i, n in enumerate(("score", "lang_pred", "text_hash", "node", "item_id", "size", "start", "seed", "label"))]
+    for start in (docs.unionByName(odd).select("*", *clashing), docs.limit(0)):
         now = start
         for name, stage in corpus_pipeline.STAGES:
             folder = str(tmp_path / f"{name}{start is now}{id(start)}")
