@@ -25,8 +25,8 @@ ORACLE_SQL = None
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts whose language can be told: predicted with a score of LEAST_SCORE; a null lang becomes the prediction."""
-    told = languages.with_language(docs, languages.fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = languages.with_language(docs, languages.fit(docs), ("pred__", "score__")).where((F.col("pred__") != "und") & (F.col("score__") >= LEAST_SCORE))
+    return told.withColumn("lang", F.coalesce("lang", "pred__")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
