@@ -8,6 +8,7 @@ vocabulary and its scores come from a public SentencePiece model file.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -50,22 +51,31 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def word(self, text: str) -> int:
-        """Pieces of one word that the vocabulary search may not leave."""
+        """Pieces of one word that the vocabulary search may not leave.
+
+        Matches come by their end, the longest first, so an end is settled
+        when the first match behind it turns up.
+        """
         n = len(text)
-        by_start: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for last, (size, score) in self.automaton.iter(text):
-            by_start[last + 1 - size].append((last + 1, score))
-        score, count, from_unknown = [None] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        score[0] = 0.0
-        for start in range(n):
-            here, single = score[start], False
-            for end, gain in by_start[start]:
-                single |= end == start + 1
-                if score[end] is None or here + gain > score[end]:
-                    score[end], count[end], from_unknown[end] = here + gain, count[start] + 1, False
-            if not single and (score[start + 1] is None or here + self.unknown > score[start + 1]):
-                more = len(text[start].encode("utf-8", "replace")) if self.byte_pieces else int(not from_unknown[start])
-                score[start + 1], count[start + 1], from_unknown[start + 1] = here + self.unknown, count[start] + more, True
+        score, count, from_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        best, pieces, single, settled = None, 0, False, 0
+        for last, match in chain(self.automaton.iter(text), ((n, None),)):
+            while settled < last:
+                settled += 1
+                lost = score[settled - 1] + self.unknown
+                if single or best is not None and best >= lost:
+                    score[settled], count[settled] = best, pieces
+                else:
+                    more = len(text[settled - 1].encode("utf-8", "replace")) if self.byte_pieces else int(not from_unknown[settled - 1])
+                    score[settled], count[settled], from_unknown[settled] = lost, count[settled - 1] + more, True
+                best, single = None, False
+            if match is None:
+                break
+            size, gain = match
+            single |= size == 1
+            start = last + 1 - size
+            if best is None or score[start] + gain > best:
+                best, pieces = score[start] + gain, count[start] + 1
         return count[n]
 
     def text(self, text: str) -> int:
