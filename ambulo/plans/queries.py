@@ -767,3 +767,19 @@ def reference_contacts(spark, folder):
     wb = F.struct(F.col("part"), F.struct(*[given.get(n, F.lit(None)).alias(n) for n in names]).alias("w"))
     rows = bouts.groupBy("rec").agg(F.transform(F.sort_array(F.collect_list(wb)), lambda x: x["w"]).cast(P.WB).alias("wb"))
     return P.reference_parameters(rows, BY, 100, 100).contacts.select("rec", "wb_id", "ic", "lr_label")
+
+
+@query("", """, a AS (SELECT rec, sample, centred AS r, abs(centred) AS a, lag(abs(centred)) OVER w AS before, lead(abs(centred)) OVER w AS behind, coalesce((centred + lag(centred) OVER w) / 20, 0) AS step FROM series WINDOW w AS (PARTITION BY rec ORDER BY sample)),
+y AS (SELECT rec, sample, sum(step) OVER (PARTITION BY rec ORDER BY sample) AS yaw FROM a),
+c AS (SELECT rec, sample FROM a WHERE (a < 5) <> (behind < 5)), e AS (SELECT rec, min(sample) AS first, max(sample) AS last FROM a GROUP BY rec),
+p AS (SELECT a.rec, coalesce((SELECT max(c.sample) FROM c WHERE c.rec = a.rec AND c.sample < a.sample), e.first) AS "start", coalesce((SELECT min(c.sample) FROM c WHERE c.rec = a.rec AND c.sample >= a.sample), e.last) + 1 AS "end"
+  FROM a JOIN e ON e.rec = a.rec WHERE a.a >= 15 AND a.a > a.before AND a.a > a.behind AND a.rec IN (SELECT rec FROM c)),
+m AS (SELECT DISTINCT p.rec, p."start", p."end", CASE WHEN z.yaw - x.yaw > 0 THEN 1 WHEN z.yaw - x.yaw < 0 THEN -1 ELSE 0 END AS side FROM p JOIN y x ON x.rec = p.rec AND x.sample = p."start" JOIN y z ON z.rec = p.rec AND z.sample = p."end" - 1),
+r AS (SELECT *, max("end") OVER (PARTITION BY rec, side ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY rec, side ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM r),
+u AS (SELECT rec, min("start") AS "start", max("end") AS "end" FROM i GROUP BY rec, side, island),
+t AS (SELECT u.*, z.yaw - x.yaw AS angle FROM u JOIN y x ON x.rec = u.rec AND x.sample = u."start" JOIN y z ON z.rec = u.rec AND z.sample = u."end" - 1)
+SELECT rec, "start", "end", round(angle + 1e-9, 6) AS angle_deg, round(("end" - "start") / 10.0::DOUBLE + 1e-9, 6) AS duration_s, CASE WHEN angle > 0 THEN 'left' WHEN angle < 0 THEN 'right' ELSE 'none' END AS direction FROM t
+WHERE ("end" - "start") / 10.0 BETWEEN 0.2 AND 10 AND abs(angle) >= 5""")
+def turn_list(spark, folder):
+    return R.turns(series(spark, folder), BY, "sample", "centred", 10, duration_s=(0.2, 10), angle=(5, float("inf")))
