@@ -140,9 +140,13 @@ def timing_errors(contacts: DataFrame, matches: DataFrame, by: list[str], bout:
     return matches.join(steps, [*by, bout], "left").groupBy(*by).agg(F.coalesce(F.avg(gap), F.lit(0.0)).alias("tp_absolute_timing_error_s"), F.coalesce(F.avg(F.try_divide(gap, F.col("step_s"))), F.lit(0.0)).alias("tp_relative_timing_error"))
 
 
-def laterality_scores(labels: DataFrame, by: list[str], position: str, reference: str, detected: str) -> DataFrame:
-    """Share of right left/right labels, and of right changes from one contact to the next."""
-    w = Window.partitionBy(*by).orderBy(position)
+def laterality_scores(labels: DataFrame, by: list[str], position: str, reference: str, detected: str, ident: str | None = None) -> DataFrame:
+    """Share of right left/right labels, and of right changes from one contact to the next.
+
+    Contacts at one position come in the order of ident, without it in that of
+    their labels.
+    """
+    w = Window.partitionBy(*by).orderBy(position, *([ident] if ident else []), reference, detected)
     change = lambda c: F.col(c) != F.lag(c).over(w)
     rows = labels.withColumn("same__", (change(reference) == change(detected)).cast("double"))
     return rows.groupBy(*by).agg(F.avg((F.col(reference) == F.col(detected)).cast("double")).alias("accuracy"), F.avg("same__").alias("accuracy_pairwise"))

@@ -523,7 +523,7 @@ def multilevel_merge(spark, folder):
 SELECT rec, round(avg((ref = det)::INT::DOUBLE) + 1e-9, 6) AS accuracy, round(avg(same) + 1e-9, 6) AS accuracy_pairwise FROM x GROUP BY rec""")
 def laterality_scores(spark, folder):
     c = view(spark, folder, "contacts").withColumn("det", F.when(F.col("id") % 7 < 3, "left").otherwise("right"))
-    return S.laterality_scores(c, BY, "ic", "lr_label", "det")
+    return S.laterality_scores(c, BY, "ic", "lr_label", "det", "id")
 
 
 @query("", """SELECT user_id AS rec, event_id, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE CASE user_id % 3 WHEN 0 THEN 'Europe/Berlin' WHEN 1 THEN 'Europe/London' ELSE 'Asia/Jerusalem' END, '%Y-%m-%d') AS local_date FROM events""")

@@ -200,3 +200,13 @@ def test_thresholds_on_a_million_bouts(spark):
     # plausible: 35.75 to 172.9 steps a minute, 0.0815 to 2.22 m/s, 0.1505 to 2.19 m, 0.46 to 3.2544 s
     assert counts.cadence_spm == pytest.approx(1e6 * 137 / 150, rel=0.001) and counts.walking_speed_mps == pytest.approx(1e6 * 214 / 250, rel=0.001)
     assert counts.stride_length_m == pytest.approx(1e6 * 204 / 300, rel=0.001) and counts.stride_duration_s == pytest.approx(1e6 * 28 / 40, rel=0.001)
+
+
+def test_laterality_of_contacts_at_one_position(spark):
+    rows = [(1, 0, 10, "left", "left"), (1, 1, 20, "left", "right"), (1, 2, 20, "right", "right"), (1, 3, 20, "left", "left"), (1, 4, 30, "right", "left")]
+    for order in (rows, rows[::-1]):
+        labels = spark.createDataFrame(order, "rec long, id long, ic long, ref string, det string").coalesce(1)
+        found = S.laterality_scores(labels, ["rec"], "ic", "ref", "det", "id").first()
+        assert (found.accuracy, found.accuracy_pairwise) == (0.6, 0.25)
+    found = {S.laterality_scores(spark.createDataFrame(o, "rec long, id long, ic long, ref string, det string").coalesce(1), ["rec"], "ic", "ref", "det").first().accuracy_pairwise for o in (rows, rows[::-1])}
+    assert len(found) == 1
