@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ambulo.functions.columns import require, within
 
 
-def strides_per_foot(contacts: DataFrame, by: list[str], position: str = "ic", foot: str = "lr_label") -> DataFrame:
-    """Stride from each initial contact to the next one of the same foot; the last one of a foot makes none."""
-    w = Window.partitionBy(*by, foot).orderBy(position)
+def strides_per_foot(contacts: DataFrame, by: list[str], position: str = "ic", foot: str = "lr_label", ident: str | None = None) -> DataFrame:
+    """Stride from each initial contact to the next one of the same foot; the last one of a foot makes none.
+
+    Contacts at one position come in the order of ident, without it in any order.
+    """
+    w = Window.partitionBy(*by, foot).orderBy(position, *([ident] if ident else []))
     return contacts.withColumn("start", F.col(position)).withColumn("end", F.lead(position).over(w)).where("end is not null")
 
 

@@ -366,7 +366,7 @@ def ic_scores(spark, folder):
 
 @query("contacts", 'SELECT * FROM (SELECT rec, id, lr_label, ic AS "start", lead(ic) OVER (PARTITION BY rec, lr_label ORDER BY ic) AS "end" FROM contacts) WHERE "end" IS NOT NULL')
 def stride_list(spark, folder):
-    return B.strides_per_foot(view(spark, folder, "contacts"), BY).drop("ic")
+    return B.strides_per_foot(view(spark, folder, "contacts"), BY, ident="id").drop("ic")
 
 
 @query("strides", """SELECT s_id, CASE WHEN NOT (("end" - "start") / 10000.0 > 0.2 AND ("end" - "start") / 10000.0 <= 3) THEN 'stride_duration_thres' WHEN NOT coalesce(stride_length_m > 0.15, false) THEN 'stride_length_thres' END AS exclusion_reason FROM strides""")

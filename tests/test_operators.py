@@ -210,3 +210,11 @@ def test_laterality_of_contacts_at_one_position(spark):
         assert (found.accuracy, found.accuracy_pairwise) == (0.6, 0.25)
     found = {S.laterality_scores(spark.createDataFrame(o, "rec long, id long, ic long, ref string, det string").coalesce(1), ["rec"], "ic", "ref", "det").first().accuracy_pairwise for o in (rows, rows[::-1])}
     assert len(found) == 1
+
+
+def test_strides_of_contacts_at_one_position(spark):
+    rows = [(1, 0, 10, "left"), (1, 1, 20, "left"), (1, 2, 20, "left"), (1, 3, 20, "right"), (1, 4, 30, "left")]
+    for order in (rows, rows[::-1]):
+        contacts = spark.createDataFrame(order, "rec long, id long, ic long, lr_label string").coalesce(1)
+        found = B.strides_per_foot(contacts, ["rec"], ident="id").collect()
+        assert sorted((r.id, r.start, r.end) for r in found) == [(0, 10, 20), (1, 20, 20), (2, 20, 30)]
