@@ -206,6 +206,11 @@ def duplicate_keys(bouts: DataFrame, keys: list[str]) -> DataFrame:
     return bouts.groupBy(*keys).count().where("count > 1")
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """Rounded to digits with halves to the even one; what sums of doubles add behind the ninth digit makes no half uneven."""
+    return F.bround(F.round(c, 9), digits)
+
+
 def report_units(daily: DataFrame) -> DataFrame:
     """Stride lengths in cm, variations in percent, three digits, without wb_1030_sum."""
     def unit(name: str) -> Column:
@@ -215,7 +220,7 @@ def report_units(daily: DataFrame) -> DataFrame:
         return c * 100 if name.endswith("_var") else c
 
     floats = {n for n, t in daily.dtypes if t == "double"}
-    return daily.select(*[F.bround(unit(n), 3).alias(n) if n in floats else F.col(n) for n in daily.columns if n != "wb_1030_sum"])
+    return daily.select(*[half_even(unit(n), 3).alias(n) if n in floats else F.col(n) for n in daily.columns if n != "wb_1030_sum"])
 
 
 def weekly(daily: DataFrame, weartime: DataFrame, *, keys: tuple[str, str, str] = ("visit_type", "participant_id", "measurement_date"), least_hours: float = 12, least_days: int = 3) -> DataFrame:

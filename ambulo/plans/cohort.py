@@ -18,7 +18,7 @@ def rounded_weeks(weekly: DataFrame, keys: tuple[str, ...] = KEYS[:2]) -> DataFr
     def cut(name: str, kind: str) -> Column:
         if name in keys or kind not in ("double", "float"):
             return F.col(name)
-        return F.bround(F.col(name), 0 if name in WHOLE else 3).alias(name)
+        return dmo.half_even(F.col(name), 0 if name in WHOLE else 3).alias(name)
 
     return weekly.select(*[cut(n, t) for n, t in weekly.dtypes])
 

@@ -117,3 +117,14 @@ def test_orientation_scores_and_emulation(spark):
     bouts = spark.createDataFrame([("a", 0, 10, 20), ("a", 1, 15, 40)], "rec string, wb_id long, start long, end long")
     stage = lambda inside, b, by: inside.groupBy(*by).agg(F.min("sample").alias("first"), F.max("v").alias("v"))
     assert sorted(map(tuple, scoring.emulate(samples, bouts, ["rec"], stage).collect())) == [("a", 0, 0, 19.0), ("a", 1, 0, 39.0)]
+
+
+def test_study_tables_round_halves_to_the_even_digit(spark):
+    # the sum of the first day is 71.67 s = 1.1945 min and a little more by its rounding errors; the weeks' means are 1.5 and a little less
+    schema = "visit_type string, participant_id string, measurement_date string, duration_s double"
+    durations = {"p": [[9.3, 0.51, 31.57, 8.18, 22.11]] * 3, "q": [[9.12], [20.64], [240.24]]}
+    bouts = spark.createDataFrame([("T1", p, f"2024-01-0{i}", x) for p, days in durations.items() for i, day in enumerate(days, 1) for x in day], schema).coalesce(1)
+    wear = bouts.select("visit_type", "participant_id", "measurement_date").distinct().selectExpr("*", "13d AS total_worn_h", "13d AS total_worn_during_waking_h")
+    tables = cohort.study_tables(bouts, wear)
+    assert {r.walkdur_all_sum_d for r in tables["daily_agg_all"].where("participant_id = 'p'").collect()} == {1.194}
+    assert tables["weekly_agg_filtered"].where("participant_id = 'q'").first().walkdur_all_sum_w == 2.0
