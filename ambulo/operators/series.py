@@ -122,6 +122,8 @@ def turns(series: DataFrame, by: list[str], position: str, rate: str, sampling_r
     Around each local maximum of the absolute rate of at least ``peak`` the
     turn reaches to the crossings of ``low``; turns of one direction up to
     max_gap_s apart are united; then durations and angles are filtered.
+    Angles have nine digits, so that one of zero has no direction by what the
+    sums leave behind them.
     """
     w = Window.partitionBy(*by).orderBy(position)
     a = F.abs(F.col(rate))
@@ -140,7 +142,7 @@ def turns(series: DataFrame, by: list[str], position: str, rate: str, sampling_r
     def measured(t: DataFrame) -> DataFrame:
         for name, at in (("yaw0", F.col("start")), ("yaw1", F.col("end") - 1)):
             t = t.withColumn("pos", at).join(yaw.withColumnRenamed("yaw", name), [*by, "pos"]).drop("pos")
-        t = t.withColumn("angle_deg", F.col("yaw1") - F.col("yaw0")).drop("yaw0", "yaw1")
+        t = t.withColumn("angle_deg", F.round(F.col("yaw1") - F.col("yaw0"), 9)).drop("yaw0", "yaw1")
         return t.withColumns({"duration_s": (F.col("end") - F.col("start")) / sampling_rate_hz, "direction": F.when(F.col("angle_deg") > 0, "left").when(F.col("angle_deg") < 0, "right").otherwise("none")})
 
     united = merge(measured(peaks), [*by, "direction"], round(max_gap_s * sampling_rate_hz)).drop("direction")

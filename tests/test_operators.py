@@ -218,3 +218,11 @@ def test_strides_of_contacts_at_one_position(spark):
         contacts = spark.createDataFrame(order, "rec long, id long, ic long, lr_label string").coalesce(1)
         found = B.strides_per_foot(contacts, ["rec"], ident="id").collect()
         assert sorted((r.id, r.start, r.end) for r in found) == [(0, 10, 20), (1, 20, 20), (2, 20, 30)]
+
+
+def test_turns_of_no_angle_have_no_direction(spark):
+    # a turn of -5.99 degrees and, right behind it, one whose sum is zero but for -9e-16
+    rates = [0.0, 0.0, -17.9, -32.9, -18.2, -0.5, 27.4, -43.7, 33.1, 0.0, 0.0]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(rates)], "rec long, sample long, gyr double").coalesce(1)
+    found = R.turns(rows, ["rec"], "sample", "gyr", 10, duration_s=(0, 10), angle=(0, 360)).collect()
+    assert sorted((r.start, r.end, r.angle_deg, r.direction) for r in found) == [(1, 5, -5.99, "right"), (5, 9, 0.0, "none")]
